@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .components import merge_groups
+from .neighbours import similar_pairs
 from .splitting import split_oversized
 from .tokenize import encode_corpus
 
@@ -32,6 +33,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "kg_doc_chunk"), table(spark, sf_dir, "kg_settings"))
 
 
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of index rows of which one is among the five most similar of the other."""
+    return similar_pairs(table(spark, sf_dir, "kg_search_index"))
+
+
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
