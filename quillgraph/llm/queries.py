@@ -10,6 +10,7 @@ from ..session import table
 from .components import merge_groups
 from .neighbours import similar_pairs
 from .splitting import split_oversized
+from .survivors import surviving_values
 from .tokenize import encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "kg_doc_chunk"), table(spark, sf_dir, "kg_settings"))
 
 
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that hold the surviving value of every field of every duplicate group."""
+    return surviving_values(table(spark, sf_dir, "kg_graph_node"))
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of index rows of which one is among the five most similar of the other."""
