@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .components import merge_groups
+from .leakage import leaked_items
 from .neighbours import similar_pairs
 from .splitting import split_oversized
 from .survivors import surviving_values
@@ -50,3 +51,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry a held-out passage, with the items they leak."""
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.select("doc_id", "item_id")
