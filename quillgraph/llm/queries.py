@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .boilerplate import furniture_lines
 from .components import merge_groups
 from .leakage import leaked_items
 from .neighbours import similar_pairs
@@ -29,6 +30,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_groups(table(spark, sf_dir, "kg_merge_log"))
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of web pages that are not main body."""
+    return furniture_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every oversized chunk."""
