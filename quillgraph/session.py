@@ -4,14 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once a context, so that they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_quillgraph_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="quillgraph-ship-")) / "quillgraph.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*")):
+            if f.suffix in (".py", ".npz") and "__pycache__" not in f.parts:
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._quillgraph_shipped = True  # type: ignore[attr-defined]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a scale folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
