@@ -7,6 +7,8 @@ and word pairs.
 
 from __future__ import annotations
 
+import io
+import pkgutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -187,7 +189,9 @@ class BlockNet:
 
     @classmethod
     def load(cls, path: str) -> BlockNet:
-        with np.load(path) as z:
+        # read through the package, which may be a zip archive on the workers
+        data = pkgutil.get_data(__package__, Path(path).name) if path == WEIGHTS else Path(path).read_bytes()
+        with np.load(io.BytesIO(data)) as z:
             return cls(**{n: z[n].astype(np.float32) for n in cls.NAMES})
 
     def inputs(self, structure: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from ..session import table
 from .boilerplate import furniture_lines
 from .components import merge_groups
 from .leakage import leaked_items
+from .names import same_entity_pairs
 from .neighbours import similar_pairs
 from .splitting import split_oversized
 from .survivors import surviving_values
@@ -36,6 +37,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture_lines(table(spark, sf_dir, "documents"))
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows that name the same person or organisation."""
+    return same_entity_pairs(table(spark, sf_dir, "kg_graph_node"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every oversized chunk."""
