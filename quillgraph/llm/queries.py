@@ -13,6 +13,7 @@ from .leakage import leaked_items
 from .names import same_entity_pairs
 from .neighbours import similar_pairs
 from .splitting import split_oversized
+from .subjects import document_subjects
 from .survivors import surviving_values
 from .tokenize import encode_corpus
 
@@ -72,3 +73,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry a held-out passage, with the items they leak."""
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return found.select("doc_id", "item_id")
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas of every document."""
+    found = document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"), table(spark, sf_dir, "subject"))
+    return found.select("doc_id", "subject_no")
