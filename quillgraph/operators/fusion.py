@@ -34,7 +34,7 @@ def fusion_candidates(nodes: DataFrame, *, limit: int = 10, min_shared: int = 2,
     Blocks by bigram; a bigram in more than ``common`` names of a class neither opens a pair nor is lost for its score,
     which is computed from the whole sets.
     """
-    named = live(nodes).select(*_NODE_KEY, "class", F.array_distinct(bigrams(F.trim("name"))).alias("grams"))
+    named = live(nodes).select(*_NODE_KEY, "class", F.array_distinct(bigrams(F.regexp_replace("name", r"(?U)^\s+|\s+$", ""))).alias("grams"))
     posted = named.select(*_NODE_KEY, "class", F.explode("grams").alias("gram"))
     block = [*SCOPE, "class", "gram"]
     rare = posted.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 and n <= {common}")
