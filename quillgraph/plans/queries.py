@@ -551,9 +551,6 @@ def _tasks(spark, sf_dir):
     )
 
 
-_NOW = F.lit("2024-01-20 00:00:00")
-
-
 @query
 def task_progress(spark, sf_dir):
     s = _tasks(spark, sf_dir).select(F.col("graph_no").alias("run_no"), F.when(F.col("status") == "QUEUED", "SKIPPED").otherwise(F.col("status")).alias("status"))
