@@ -138,8 +138,9 @@ def line_features(texts: list[str]) -> Features:
     fence = full & (h == 96) & (second == 96)
     fences = np.cumsum(fence)
     inside_code = ((fences - np.concatenate([[0], fences])[first_line[text_of]]) % 2 == 1) | fence
-    blank_before = np.concatenate([[1], ~full[:-1]]).astype(np.float32)
-    blank_after = np.concatenate([~full[1:], [1]]).astype(np.float32)
+    # the ends of a text count as blank, whatever text stands next to it
+    blank_before = (np.concatenate([[True], ~full[:-1]]) | (number == 1)).astype(np.float32)
+    blank_after = (np.concatenate([~full[1:], [True]]) | (number == lines_in)).astype(np.float32)
     share = lambda x, y: x / np.maximum(y, 1)
     columns = [
         np.log1p(size) / 6, np.log1p(word_count) / 4, share(uppers, letters), share(digits, solid), share(wide, solid), share(capital, word_count),

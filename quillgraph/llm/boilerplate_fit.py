@@ -145,6 +145,20 @@ def prepare(texts: list[str], labels: list[list[int]]) -> list[tuple[np.ndarray,
     return out
 
 
+def quote_notices(pages: list[str], *, share: float = 0.3, seed: int = 5) -> list[str]:
+    """The pages, some with one of their furniture lines quoted at another place: a quotation is main body wherever it
+    stands and whatever it quotes."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for text in pages:
+        lines = text.split("\n")
+        furniture = [i for i, k in enumerate(seed_labels(text)) if k == 1]
+        if furniture and rng.random() < share:
+            lines.insert(int(rng.integers(len(lines) + 1)), "> " + lines[int(rng.choice(furniture))].strip())
+        out.append("\n".join(lines))
+    return out
+
+
 def fit(path: str) -> BlockNet:
     import pandas as pd
 
@@ -152,6 +166,7 @@ def fit(path: str) -> BlockNet:
     rows = rows[rows["text"].notna()].sort_values("doc_id")
     pages = rows[rows["source"] == "web"]["text"].head(FIT_PAGES).tolist()
     others = rows[rows["source"] != "web"]["text"].head(FIT_OTHERS).tolist()
+    pages = quote_notices(pages)
     labels = [seed_labels(t) for t in pages] + [[0 if line.strip() else -1 for line in t.split("\n")] for t in others]
     return train(prepare(pages + others, labels))
 
