@@ -25,6 +25,8 @@ WEIGHTS = str(Path(__file__).with_name("boilerplate_weights.npz"))
 #: Slots of the hashed words, size of their vectors, size of either LSTM state.
 SLOTS, WORD, STATE = 8192, 16, 24
 STRUCTURE = 40
+#: Log-odds from which a line counts as furniture.
+THRESHOLD = 1.0
 #: Code points worked on at once; a longer text is still taken whole, alone.
 BATCH_CHARS = 1_000_000
 
@@ -342,7 +344,7 @@ def block_net(path: str = WEIGHTS) -> BlockNet:
     return _NETS[path]
 
 
-def furniture_lines(documents: DataFrame, *, weights: str = WEIGHTS, threshold: float = 0.0) -> DataFrame:
+def furniture_lines(documents: DataFrame, *, weights: str = WEIGHTS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no) of every non-blank line of a web page that is not main body.
 
     Lines are split at line feeds and counted from 1. Only rows with source ``web`` are pages; null, empty and blank
