@@ -95,7 +95,7 @@ def split_oversized(chunks: DataFrame, settings: DataFrame) -> DataFrame:
     A null chunk_overlap means that of settings_no ``default`` (0 if that is missing too); overlaps are clamped to
     [0, chunk_size - 1]. Rows without known settings, with null or blank content, or within the limit give nothing;
     duplicate rows each give their pieces; identical duplicates give the same rows and are kept once. A null
-    line_start gives null lines. No shuffle: settings has one row a setting and joins by broadcast when Spark's own
+    line_start gives null lines. Only the light rows of the pieces are shuffled; settings has one row a setting and joins by broadcast when Spark's own
     size check allows it.
     """
     fallback = settings.filter("settings_no = 'default'").agg(F.max("chunk_overlap").alias("default_overlap"), F.lit(1).alias("one"))
@@ -112,4 +112,4 @@ def split_oversized(chunks: DataFrame, settings: DataFrame) -> DataFrame:
         .filter("id is not null")
         .select("id", "content", "line_start", "chunk_size", "overlap")
     )
-    return rows.mapInPandas(_split, PIECES)
+    return rows.mapInPandas(_split, PIECES).distinct()
