@@ -39,11 +39,14 @@ def fusion_candidates(nodes: DataFrame, *, limit: int = 10, min_shared: int = 2,
     block = [*SCOPE, "class", "gram"]
     rare = posted.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 and n <= {common}")
     kept = posted.join(rare.select(*block), block)
-    pairs = kept.join(kept.select(*block, F.col("graph_node_no").alias("candidate_no")), block).filter("graph_node_no <> candidate_no")
+    # each pair is counted and scored once, from its smaller key, and mirrored afterwards
+    pairs = kept.join(kept.select(*block, F.col("graph_node_no").alias("candidate_no")), block).filter("graph_node_no < candidate_no")
     pairs = pairs.groupBy(*_NODE_KEY, "candidate_no").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     other = named.select(*SCOPE, F.col("graph_node_no").alias("candidate_no"), F.col("grams").alias("grams_b"))
-    scored = pairs.join(named.select(*_NODE_KEY, "grams"), _NODE_KEY).join(other, [*SCOPE, "candidate_no"])
-    scored = scored.select(*_NODE_KEY, "candidate_no", F.round(F.size(F.array_intersect("grams", "grams_b")) / F.size(F.array_union("grams", "grams_b")), 6).alias("score"))
+    half = pairs.join(named.select(*_NODE_KEY, "grams"), _NODE_KEY).join(other, [*SCOPE, "candidate_no"])
+    half = half.select(*_NODE_KEY, "candidate_no", F.round(F.size(F.array_intersect("grams", "grams_b")) / F.size(F.array_union("grams", "grams_b")), 6).alias("score"))
+    sides = F.explode(F.array(F.struct(F.col("graph_node_no").alias("a"), F.col("candidate_no").alias("b")), F.struct(F.col("candidate_no").alias("a"), F.col("graph_node_no").alias("b"))))
+    scored = half.select(*SCOPE, "score", sides.alias("x")).select(*SCOPE, F.col("x.a").alias("graph_node_no"), F.col("x.b").alias("candidate_no"), "score")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*_NODE_KEY).orderBy(F.desc("score"), "candidate_no"))).filter(F.col("rank") <= limit)
 
 
