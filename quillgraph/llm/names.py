@@ -1,9 +1,10 @@
 """Variant spellings of persons and organisations, by suffix blocking and longest-common-subsequence comparison.
 
 Every row's name is split into folded words, titles and legal forms fall away, and all suffixes of the words are
-indexed within a graph. Suffixes that are overly common are refined with the place named in the description and
-discarded only if they are overly common even then. Pairs that share a suffix are compared word by word by the ratio of
-their longest common subsequence, with initials, short forms and abbreviations; descriptions confirm or refute.
+indexed within a graph. Suffixes that are overly common are refined with the place and employer named in the
+description, where a row without one meets all the others, and worked on in parts; none is discarded. Pairs that share a
+suffix are compared word by word by the ratio of their longest common subsequence, with initials, short forms and
+abbreviations; descriptions confirm or refute.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from ..session import Scratch
 from .components import connected_groups
 from .survivors import is_stand_in
 
-#: Letters a suffix must have; rows a suffix may have within a graph before it is refined, and after.
-MIN_SUFFIX, COMMON, COMMON_REFINED = 4, 60, 200
+#: Letters a suffix must have; rows a suffix may have within a graph before it is refined, and about as many rows a part has then.
+MIN_SUFFIX, COMMON, PART = 4, 60, 2000
 #: Least ratio of the longest common subsequence for two words to be spellings of each other.
 WORD_RATIO = 0.78
 
@@ -304,9 +305,9 @@ def same_entity_pairs(nodes: DataFrame, *, kinds: tuple[str, ...] = ("Person", "
     look = ["graph_no", "kind", "name", "place", "whom", "doing"]
     # Rows that look alike in everything compared stand behind the smallest of them.
     leaders = scratch.write(profiles.groupBy(*look).agg(F.min("id").alias("lead"), F.first("words").alias("words")))
-    words = leaders.select("lead", "graph_no", "kind", "place", F.explode(F.array_distinct("words")).alias("word"))
+    words = leaders.select("lead", "graph_no", "kind", "place", "whom", F.explode(F.array_distinct("words")).alias("word"))
     suffixes = words.select(
-        "lead", "graph_no", "kind", "place",
+        "lead", "graph_no", "kind", "place", "whom",
         F.explode(
             F.when(F.col("word").rlike("^[=<]"), F.array(F.struct(F.col("word").alias("suffix"), F.lit("^").alias("before"))))
             .otherwise(F.transform(
@@ -314,20 +315,19 @@ def same_entity_pairs(nodes: DataFrame, *, kinds: tuple[str, ...] = ("Person", "
                 lambda n: F.struct(F.substring(F.col("word"), n, F.length("word")).alias("suffix"), F.when(n == 1, F.lit("^")).otherwise(F.substring(F.col("word"), n - 1, F.lit(1))).alias("before")),
             ))
         ).alias("x"),
-    ).select("lead", "graph_no", "kind", "place", "x.suffix", "x.before").distinct()
+    ).select("lead", "graph_no", "kind", "place", "whom", "x.suffix", "x.before").distinct()
     block = ["graph_no", "kind", "suffix"]
     suffixes = scratch.write(suffixes)
     counts = suffixes.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counted = suffixes.join(counts, block)
-    rare = counted.filter(F.col("n") <= COMMON).select(*block, F.lit("").alias("refined"), "lead", "before")
-    common = counted.filter((F.col("n") > COMMON) & F.col("place").isNotNull()).select(*block, F.col("place").alias("refined"), "lead", "before")
-    refined = common.groupBy(*block, "refined").agg(F.count(F.lit(1)).alias("m")).filter(f"m > 1 and m <= {COMMON_REFINED}")
-    entries = rare.unionByName(common.join(refined, [*block, "refined"]).drop("m"))
-    other = entries.select(*block, "refined", F.col("lead").alias("other"), F.col("before").alias("before_other"))
+    rare = counted.filter(F.col("n") <= COMMON).select(*block, "lead", "before")
+    other = rare.select(*block, F.col("lead").alias("other"), F.col("before").alias("before_other"))
     # A pair meets at its longest common suffix only: where the letters before differ or both words are whole.
-    met = entries.join(other, [*block, "refined"]).filter("lead < other and (before <> before_other or before = '^')").select("lead", "other").distinct()
+    longest = "before <> before_other or before = '^'"
+    met = rare.join(other, block).filter("lead < other").filter(longest).select("lead", "other")
+    met = met.unionByName(_met_in_parts(counted.filter(F.col("n") > COMMON), block, longest)).distinct()
     side = lambda n, s: leaders.select(F.col("lead").alias(n), *[F.col(c).alias(f"{c}{s}") for c in look])
-    candidates = met.join(side("lead", "_a"), "lead").join(side("other", "_b"), "other").filter("place_a is null or place_b is null or place_a = place_b")
+    candidates = met.join(side("lead", "_a"), "lead").join(side("other", "_b"), "other").filter("(place_a is null or place_b is null or place_a = place_b) and (whom_a is null or whom_b is null or whom_a = whom_b)")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -357,6 +357,28 @@ def same_entity_pairs(nodes: DataFrame, *, kinds: tuple[str, ...] = ("Person", "
     return members.select(F.col("id").alias("id_a"), "root").join(members.select(F.col("id").alias("id_b"), "root"), "root").filter("id_a < id_b").select("id_a", "id_b")
 
 
+def _met_in_parts(entries: DataFrame, block: list[str], longest: str) -> DataFrame:
+    """(lead, other), smaller first, of all pairs of a block that place and employer do not refute.
+
+    Rows are told apart by which of the two they name; rows that both name one must agree in it, which is part of the
+    key, so a pair meets under one key. The rows of a key are dealt to parts and every two parts meet in a task.
+    """
+    names = F.when(F.col("place").isNotNull(), 1).otherwise(0) + F.when(F.col("whom").isNotNull(), 2).otherwise(0)
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = entries.withColumns({"names": names, "part": F.pmod(F.xxhash64("lead"), parts).cast("int"), "parts": F.sequence(F.lit(0), parts - 1)})
+    key = [*block, "names_a", "names_b", "part_a", "part_b", "same_place", "same_whom"]
+
+    def side(own: str, its: str, lead: str, before: str) -> DataFrame:
+        d = dealt.withColumn(f"names_{own}", F.col("names")).withColumn(f"names_{its}", F.explode(F.array(*map(F.lit, range(4))))).filter("names_a <= names_b")
+        d = d.withColumn(f"part_{own}", F.col("part")).withColumn(f"part_{its}", F.explode("parts"))
+        both = F.col("names_a").bitwiseAND(F.col("names_b"))
+        same = {"same_place": F.when(both.bitwiseAND(F.lit(1)) > 0, F.col("place")).otherwise(""), "same_whom": F.when(both.bitwiseAND(F.lit(2)) > 0, F.col("whom")).otherwise("")}
+        return d.withColumns(same).select(*key, F.col("lead").alias(lead), F.col("before").alias(before))
+
+    met = side("a", "b", "x", "before").join(side("b", "a", "y", "before_other"), key).filter("names_a < names_b or x < y").filter(longest)
+    return met.select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("other"))
+
+
 def _is_weak(kind: str, name: str) -> bool:
     if kind == "Person":
         given, _ = person_words(name)

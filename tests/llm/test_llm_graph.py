@@ -177,3 +177,14 @@ def test_entities_end_to_end(spark):
     )
     assert got == {(0, 1), (0, 2), (1, 2), (0, 8), (1, 8), (2, 8)}
     assert entities(spark) == set()
+
+
+@pytest.mark.parametrize("others,descriptions,part", [(70, (None, "baker, Oslo"), 2000), (215, ("baker, Oslo", "baker, Oslo"), 16)])
+def test_common_suffixes_lose_no_pair(spark, monkeypatch, others, descriptions, part):
+    monkeypatch.setattr("quillgraph.llm.names.PART", part, raising=False)
+    letters = "bcdfghjklmnpqstvwxyz"
+    given = [f"{x}u{y}u".capitalize() for x in letters for y in letters][:others]
+    full = [(10 + i, "g", f"Person:{i}", f"{x} Sandberger", descriptions[1], "") for i, x in enumerate(given)]
+    full += [(1, "g", "Person:r", "Robert Sandberger", descriptions[0], ""), (2, "g", "Person:b", "Bob Sandberger", descriptions[1], "")]
+    rows = spark.createDataFrame([r[:5] for r in full], "id bigint, graph_no string, graph_node_no string, name string, description string")
+    assert (1, 2) in {tuple(r) for r in same_entity_pairs(rows).collect()}
