@@ -31,23 +31,42 @@ def fusion_candidates(nodes: DataFrame, *, limit: int = 10, min_shared: int = 2,
     """(scope, graph_node_no, candidate_no, score, rank): the ``limit`` nodes of the same class most alike by the share
     of common name bigrams (Jaccard), itself left out.
 
-    Blocks by bigram; a bigram in more than ``common`` names of a class neither opens a pair nor is lost for its score,
-    which is computed from the whole sets.
+    A pair must share ``min_shared`` bigrams. Bigrams in at most ``common`` names of a class open pairs first. The score a
+    node's list ends with then bounds what else can enter it: a name that is as much alike has one of the node's rarest
+    bigrams, common or not, of which so many are looked up that no pair is lost.
     """
     named = live(nodes).select(*_NODE_KEY, "class", F.array_distinct(bigrams(F.regexp_replace("name", r"(?U)^\s+|\s+$", ""))).alias("grams"))
-    posted = named.select(*_NODE_KEY, "class", F.explode("grams").alias("gram"))
+    posted = named.select(*_NODE_KEY, "class", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     block = [*SCOPE, "class", "gram"]
-    rare = posted.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 and n <= {common}")
-    kept = posted.join(rare.select(*block), block)
+    counts = posted.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = posted.join(counts.filter(F.col("n") <= common).select(*block), block)
     # each pair is counted and scored once, from its smaller key, and mirrored afterwards
     pairs = kept.join(kept.select(*block, F.col("graph_node_no").alias("candidate_no")), block).filter("graph_node_no < candidate_no")
     pairs = pairs.groupBy(*_NODE_KEY, "candidate_no").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     other = named.select(*SCOPE, F.col("graph_node_no").alias("candidate_no"), F.col("grams").alias("grams_b"))
-    half = pairs.join(named.select(*_NODE_KEY, "grams"), _NODE_KEY).join(other, [*SCOPE, "candidate_no"])
-    half = half.select(*_NODE_KEY, "candidate_no", F.round(F.size(F.array_intersect("grams", "grams_b")) / F.size(F.array_union("grams", "grams_b")), 6).alias("score"))
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(named.select(*_NODE_KEY, "grams"), _NODE_KEY).join(other, [*SCOPE, "candidate_no"])
+        both = F.size(F.array_intersect("grams", "grams_b"))
+        return met.filter(both >= min_shared).select(*_NODE_KEY, "candidate_no", F.round(both / F.size(F.array_union("grams", "grams_b")), 6).alias("score"))
+
+    half = scores(pairs)
     sides = F.explode(F.array(F.struct(F.col("graph_node_no").alias("a"), F.col("candidate_no").alias("b")), F.struct(F.col("candidate_no").alias("a"), F.col("graph_node_no").alias("b"))))
     scored = half.select(*SCOPE, "score", sides.alias("x")).select(*SCOPE, F.col("x.a").alias("graph_node_no"), F.col("x.b").alias("candidate_no"), "score")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*_NODE_KEY).orderBy(F.desc("score"), "candidate_no"))).filter(F.col("rank") <= limit)
+    rank = F.row_number().over(Window.partitionBy(*_NODE_KEY).orderBy(F.desc("score"), "candidate_no"))
+    first = Scratch(nodes.sparkSession, "candidates").write(scored.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank"))
+
+    # The last score of a full list, less what rounding may hide.
+    last = first.groupBy(*_NODE_KEY).agg(F.count(F.lit(1)).alias("listed"), F.min("score").alias("least")).filter(F.col("listed") >= limit).select(*_NODE_KEY, (F.col("least") - 1e-6).alias("least"))
+    seeds = posted.join(counts, block).groupBy(*_NODE_KEY, "class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by_rarity"), F.count_if(F.col("n") > common).alias("over")).filter("over > 0")
+    seeds = seeds.join(last, _NODE_KEY, "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    seeds = seeds.withColumn("need", F.greatest(F.lit(min_shared), F.ceil(F.col("least") * F.col("size"))).cast("int"))
+    # Pairs not met yet share fewer than min_shared of the rarer bigrams.
+    seeds = seeds.filter(F.col("need") <= F.col("over") + (min_shared - 1)).withColumn("asked", F.size("by_rarity") - F.col("need") + 1).filter("asked > 0")
+    asked = seeds.select(*_NODE_KEY, "class", F.col("size").alias("own"), "least", F.explode(F.slice("by_rarity", F.lit(1), F.col("asked"))).alias("x")).withColumn("gram", F.col("x.gram"))
+    found = asked.join(posted.select(*block, F.col("graph_node_no").alias("candidate_no"), "size"), block).filter("graph_node_no <> candidate_no and size >= least * own and own >= least * size")
+    late = scores(found.select(*_NODE_KEY, "candidate_no").distinct())
+    return first.unionByName(late).distinct().withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
 def cluster(candidates: DataFrame, nodes: DataFrame, clusterer: Clusterer = slug_clusterer) -> DataFrame:

@@ -80,6 +80,21 @@ def test_components_of_chains(spark):
     assert set(got.values()) == {"k00", "z0"} and len(got) == n + 3
 
 
+def test_candidates_over_common_bigrams_are_those_of_all_pairs(spark):
+    names = [f"{a} {b}" for a in ("Anna", "Hanna", "Joanna", "Annabel") for b in ("Berg", "Berger", "Sandberg", "Iceberg")]
+    n = nodes(spark, *[(f"P:{i:02d}", name, None, "{}", {}, False) for i, name in enumerate(names)]).withColumn("class", F.lit("P"))
+    grams = [{x.lower()[i : i + 2] for i in range(len(x) - 1)} for x in names]
+    for limit, common in ((3, 3), (10, 5), (20, 1)):
+        want = {}
+        for i, a in enumerate(grams):
+            scores = sorted((-round(len(a & b) / len(a | b), 6), f"P:{j:02d}") for j, b in enumerate(grams) if j != i and len(a & b) >= 2)
+            want[f"P:{i:02d}"] = [(k, -x) for x, k in scores[:limit]]
+        got = {}
+        for r in U.fusion_candidates(n, limit=limit, common=common).orderBy("graph_node_no", "rank").collect():
+            got.setdefault(r["graph_node_no"], []).append((r["candidate_no"], r["score"]))
+        assert got == want
+
+
 def test_clusters_use_given_names_only(spark):
     n = nodes(spark, *[(f"P:{i}", name, None, "{}", {}, False) for i, name in enumerate(["Ada Lovelace", "ada-lovelace", "Grace Hopper"])]).withColumn("class", F.lit("P"))
     c = U.fusion_candidates(n, min_shared=1)
