@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Scratch
 from .boilerplate import THRESHOLD, _Tables, block_net, line_features
 from .tokenize import _LETTER, _NUMBER, _SPACE
 
-#: Label rows the models are fitted on, and further documents the acceptance is calibrated on, at most.
-FIT_LABELS, CALIBRATE = 6000, 400
+#: Label rows the models are fitted on, at most.
+FIT_LABELS = 6000
+#: Bins a nat in the histogram of all sentences' gains that acceptance is calibrated on, and the nats it ends at.
+BINS, FAR = 256, 1000
 #: Pseudo-count that ties the bigrams to the unigrams and these to the background.
 K = 4.0
 #: Rounds of sentence assignment, and the gain from which a sentence is clearly about a subject while fitting.
@@ -155,7 +158,6 @@ class SubjectModel:
     pairs: np.ndarray
     word_gain: np.ndarray
     pair_gain: np.ndarray
-    threshold: float = 0.0
 
     def gains(self, s: Sentences) -> np.ndarray:
         """(sentence, subject) gains over the background, summed over the words."""
@@ -178,14 +180,6 @@ class SubjectModel:
             out[at : at + step] = np.add.reduceat(table[row[a:z]], heads[at : at + step] - a, axis=0)
         return out
 
-    def assign(self, s: Sentences) -> np.ndarray:
-        """Subject of every sentence, -1 for none."""
-        g = self.gains(s)
-        if not len(g):
-            return np.zeros(0, np.int64)
-        best = g.argmax(1)
-        return np.where(g[np.arange(len(g)), best] > self.threshold, best, -1)
-
 
 class _Estimator:
     """Weighted counts of the sample by subject, against the corpus counts of the same vocabulary."""
@@ -236,7 +230,7 @@ class _Estimator:
         return SubjectModel(self.subjects, self.words, self.pairs, np.log(ratio).astype(np.float32), np.log(pair_ratio).astype(np.float32))
 
 
-def fit_model(s: Sentences, labels: list[set[str]], languages: list[str], subjects: list[str], counts, unseen: Sentences | None = None) -> SubjectModel:
+def fit_model(s: Sentences, labels: list[set[str]], languages: list[str], subjects: list[str], counts) -> SubjectModel:
     """Model from sentences of labelled texts; ``counts`` maps (words, pairs) to the corpus counts of both, its tokens
     and its sentences.
 
@@ -262,17 +256,15 @@ def fit_model(s: Sentences, labels: list[set[str]], languages: list[str], subjec
         flat = 1 / (1 + np.exp(np.clip(2 * (g.max(1, keepdims=True) - CLEAR), -30, 30)))
         weight = (1 - flat) * p / p.sum(1, keepdims=True) + flat * prior[s.text]
         model = e.model(weight)
-    held = unseen if unseen is not None and unseen.full.sum() >= 100 else s
-    model.threshold = _valley(model.gains(held).max(1)[held.full])
     return model
 
 
-def _valley(x: np.ndarray) -> float:
-    """Threshold between two classes of normally distributed values, by minimum error."""
-    if len(x) < 10:
+def _valley(x: np.ndarray, n: np.ndarray) -> float:
+    """Threshold between two classes of normally distributed values, by minimum error; x ascending, each n times."""
+    if n.sum() < 10:
         return CLEAR
-    x = np.clip(x, *np.percentile(x, [0.5, 99]))
-    count, edge = np.histogram(x, bins=160)
+    x = np.clip(x, *x[np.searchsorted(np.cumsum(n), np.array([0.005, 0.99]) * n.sum())])
+    count, edge = np.histogram(x, bins=160, weights=n.astype(np.float64))
     middle = (edge[:-1] + edge[1:]) / 2
     n0, s0, q0 = (np.cumsum(count * middle**i) for i in range(3))
     n1, s1, q1 = n0[-1] - n0, s0[-1] - s0, q0[-1] - q0
@@ -329,8 +321,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
     The models are fitted on at most ``fit_labels`` label rows, taken in the order of a hash of label_id; label
     spellings are trimmed and lower-cased, null and unknown ones are left out. Acceptance is calibrated on the sentences
-    of CALIBRATE further documents, taken in the order of a hash of doc_id. Null, empty and blank texts have no
-    subject; without labels or subjects the result is empty; repeated documents give one row; texts are read whole;
+    of all documents: their gains are written once, counted, and compared with the threshold that follows. Null, empty
+    and blank texts have no subject; without labels or subjects the result is empty; repeated documents give one row; texts are read whole;
     the subject list is a parameter table of few rows. Two passes over the texts, no shuffle of them.
     """
     spark = documents.sparkSession
@@ -341,34 +333,41 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     sample = clean.orderBy(F.xxhash64("label_id"), "label_id", "doc_id", "subject").limit(fit_labels)
     marks = sample.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     usable = documents.filter(F.col("text").rlike(r"(?U)\S")).select("doc_id", "text", (F.col("source") == "web").alias("page"), F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang"))
-    # further documents, whose sentences the models have not seen, in the order of a hash
-    more = documents.select("doc_id").filter("doc_id is not null").distinct().join(F.broadcast(marks.select("doc_id")), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATE)
-    wanted = marks.unionByName(more.withColumn("subjects", F.array().cast("array<string>")))
-    # at most fit_labels + CALIBRATE rows, so the broadcast is bounded
-    rows = usable.join(F.broadcast(wanted), "doc_id").orderBy("doc_id", "text").toPandas()
+    # at most fit_labels rows, so the broadcast is bounded
+    rows = usable.join(F.broadcast(marks), "doc_id").orderBy("doc_id", "text").toPandas()
     rows["page"] = rows["page"].fillna(False).astype(bool)
-    known = rows["subjects"].map(len) > 0
-    fit, extra = rows[known], rows[~known]
-    if not len(fit) or not names:
+    if not len(rows) or not names:
         return spark.createDataFrame([], schema)
-    s = cut_sentences(main_body(fit["text"].tolist(), fit["page"].tolist()))
-    unseen = cut_sentences(main_body(extra["text"].tolist(), extra["page"].tolist()))
-    model = fit_model(s, [{spelled[x] for x in v} for v in fit["subjects"]], fit["lang"].tolist(), names, _corpus_counts(usable.select("text")), unseen)
+    s = cut_sentences(main_body(rows["text"].tolist(), rows["page"].tolist()))
+    model = fit_model(s, [{spelled[x] for x in v} for v in rows["subjects"]], rows["lang"].tolist(), names, _corpus_counts(usable.select("text")))
     shared = spark.sparkContext.broadcast(model)
+    told = T.StructType([schema["doc_id"], T.StructField("best", T.ArrayType(T.FloatType())), T.StructField("subject", T.ArrayType(T.ShortType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        k = len(m.subjects)
         for batch in batches:
             for at, end, texts in _batches(batch, 1):
                 s = cut_sentences(main_body(texts, batch.column(2).slice(at, end - at).fill_null(False).to_pylist()))
-                subject = m.assign(s)
-                total = np.bincount(s.text[s.full], minlength=len(texts))
-                ok = s.full & (subject >= 0)
-                hits = np.bincount(s.text[ok] * k + subject[ok], minlength=len(texts) * k).reshape(len(texts), k)
-                part = hits / np.maximum(total, 1)[:, None]
-                t, c = np.nonzero((part >= share - 1e-9) & (hits > 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at).take(pa.array(t)), pa.array([m.subjects[i] for i in c.tolist()], pa.string()), pa.array(part[t, c], pa.float64())], names=schema.names)
-
-    found = usable.mapInArrow(run, schema)
+                g = m.gains(s)[s.full]
+                edges = pa.array(np.searchsorted(s.text[s.full], np.arange(len(texts) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (g.max(1), g.argmax(1).astype(np.int16))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *lists], names=told.names)
+
+    # the gain and subject of every full sentence, a few bytes each
+    scored = Scratch(spark, "subjects").write(usable.mapInArrow(gains, told))
+    bins = scored.select(F.explode("best").alias("x")).groupBy(F.floor(F.greatest(F.least("x", F.lit(float(FAR))), F.lit(-float(FAR))) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")
+    threshold = _valley((bins["bin"].to_numpy() + 0.5) / BINS, bins["n"].to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(names)
+        for batch in batches:
+            total = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            ok = batch.column(1).flatten().to_numpy() > threshold
+            row = np.repeat(np.arange(len(total)), total)[ok]
+            hits = np.bincount(row * k + batch.column(2).flatten().to_numpy()[ok], minlength=len(total) * k).reshape(len(total), k)
+            part = hits / np.maximum(total, 1)[:, None]
+            t, c = np.nonzero((part >= share - 1e-9) & (hits > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), pa.array([names[i] for i in c.tolist()], pa.string()), pa.array(part[t, c], pa.float64())], names=schema.names)
+
+    found = scored.mapInArrow(run, schema)
     return found.groupBy("doc_id", "subject_no").agg(F.max("share").alias("share"))

@@ -177,6 +177,17 @@ def test_subjects_of_held_out_documents(spark):
     assert S.document_subjects(d, lab.limit(0), sub).count() == 0 and S.document_subjects(d.limit(0), lab, sub).count() == 0
 
 
+def test_acceptance_is_calibrated_on_all_documents(spark, monkeypatch):
+    docs, truth = corpus()
+    labels = [(i, i, min(truth[i]), "lab") for i in range(0, 150, 2)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, subject_no string")
+    lab = spark.createDataFrame(labels, "label_id bigint, doc_id bigint, subject_no string, labeller string")
+    seen = []
+    monkeypatch.setattr(S, "_valley", lambda x, *n: seen.append(int(n[0].sum()) if n else len(x)) or S.CLEAR)
+    S.document_subjects(d, lab, spark.createDataFrame([(s, "") for s in WORDS], "subject_no string, scope_note string"))
+    assert seen == [int(S.cut_sentences([r[1] for r in docs]).full.sum())]
+
+
 def test_sentences():
     s = S.cut_sentences(["# Title here\nOne two three. Four five six?\n- alpha\n- beta\n```\ncode it now.\n```\n第一句话。第二句话。", "", "a wrapped line that goes on and on until the margin\nends here."])
     assert s.full.sum() == 5 and s.text.tolist().count(0) == 7 and s.text.tolist().count(2) == 1
