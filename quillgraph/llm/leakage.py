@@ -287,3 +287,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, words: int = 12, cha
     if found is None:
         return spark.createDataFrame([], schema)
     return found.groupBy("doc_id", "item_id").agg(F.max_by("place", "length").alias("place"), F.max("length").alias("length"))
+
+
+def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents that carry no passage, by the cases of ``leaked_items``; all columns and repeated rows stay.
+
+    Rows without doc_id cannot be told apart: they are all removed if one of them carries a passage.
+    """
+    hit = found.select(F.col("doc_id").alias("hit")).distinct()
+    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")

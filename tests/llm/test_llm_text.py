@@ -101,6 +101,12 @@ def test_leaks_end_to_end(spark):
     assert K.leaked_items(docs, items.limit(0)).count() == 0 and K.leaked_items(docs.limit(0), items).count() == 0
 
 
+def test_affected_documents_are_removed(spark):
+    docs = spark.createDataFrame([(1, "see " + ITEM + " end"), (2, None), (3, "nothing"), (None, "nothing"), (1, "another")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, "en", ITEM)], "item_id bigint, lang string, text string")
+    assert {tuple(r) for r in K.without_leaks(docs, K.leaked_items(docs, items)).collect()} == {(2, None), (3, "nothing"), (None, "nothing")}
+
+
 PAGE = """Support > About us > Press > Home
 Home / Press / How it works
 
