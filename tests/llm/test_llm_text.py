@@ -1,5 +1,7 @@
 import os
 import random
+import re
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -83,17 +85,58 @@ ZH = "为什么衡昱调试了霁衡的分支而消息队列只有822当珩邈
     [
         (ITEM, True), (ITEM.upper(), True), ("> " + ITEM.replace(" ", "\n> "), True), (ITEM.replace("of", "<b>of</b>").replace(" ", "&nbsp;"), True), (" ".join(ITEM.split()[:12]), True), (" ".join(ITEM.split()[3:14]), False),
         ('{"p": "' + ITEM.replace("G", "\\u0047") + '"}', True), ("".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in ITEM), True), (ITEM.replace("a", "a​"), True), ("Answer in one sentence: " + " ".join(ITEM.split()[:8]), False), (None, False), ("", False), ("x " * 3000 + ITEM, True),
+        (ITEM.replace("form", '<span style="' + "x:1;" * 120 + '">form</span>'), True), (ITEM.replace("form", "<!-- " + "note\n" * 200 + "-->form"), True), (quote(ITEM), True), (" ".join(ITEM.split()[:6]) + " i <n and " + " ".join(ITEM.split()[6:]) + ">", False),
+        (quote(ZH), True), (quote(ZH).lower(), True), ("50%de " + ITEM, True), ("[" + ITEM.replace("form", "form](https://a.example/b_(c)?q=" + "x" * 400 + ' "t") ['), True),
         (ZH[:24], True), (ZH[:23], False), ("，".join(ZH[3:30]), True),
     ],
 )
 def test_leaks_in_any_dress(text, hit):
-    items = [(1, "en", "Answer in one sentence: " + ITEM), (2, "zh", ZH)]
-    test = K.build_test_set(items, ["Answer in one sentence: "], words=12, chars=24)
+    test = K.build_test_set([(1, "en", ITEM), (2, "zh", ZH)], words=12, chars=24)
     assert bool(K.search_shard(test, ["filler text", text or "", "other"])) == hit
 
 
+def test_longest_match_against_the_loop():
+    rng = random.Random(4)
+    words = ["ab", "ba", "a", "b", "aab"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, "en", say(rng.choice([8, 14, 30]))) for i in range(12)]
+    test = K.build_test_set(items, words=5, chars=24)
+    texts = [say(40) + " " + " ".join(rng.choice(items)[2].split()[rng.randrange(4) :]) + " " + say(9) for _ in range(12)]
+    want = {}
+    for t, text in enumerate(texts):
+        bare = text.replace(" ", "")
+        for i, _, item in items:
+            parts = item.split()
+            longest = 0
+            for s in range(len(parts) - 4):
+                rest, need = "".join(parts[s:]), len("".join(parts[s : s + 5]))
+                n = max(n for n in range(len(rest) + 1) if rest[:n] in bare)
+                longest = max(longest, n if n >= need else 0)
+            if longest:
+                want[t, i] = longest
+    got = K.search_shard(test, texts)
+    assert {(t, i): n for t, i, _, n in got} == want
+    for t, i, at, n in got:
+        assert re.sub(r"\W", "", texts[t][at:])[:n] in dict((i, x.replace(" ", "")) for i, _, x in items)[i]
+
+
+def test_shared_instructions_are_cut_and_shared_passages_are_not(spark):
+    first, *rest = ["The keeper of the mill told us.", *(f"Then guest {i} left for the hills with a load of {i} stones and rope" for i in range(9))]
+    rows = [(i, "en", "Question: " + rest[i]) for i in range(2)] + [(i, "en", first + " " + rest[7]) for i in range(2, 7)] + [(8, "en", "Only one. " + rest[8])]
+    items = spark.createDataFrame(rows, "item_id bigint, lang string, text string")
+    got = {r["item_id"]: r["text"] for r in K._with_openings_cut(items, words=12, chars=24).collect()}
+    assert got == {i: t.removeprefix("Question: ") for i, _, t in rows}
+
+
+def test_blocks_of_items_find_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"see {ITEM.replace('972', str(i))} end") for i in range(6)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10 + i, "en", ITEM.replace("972", str(i))) for i in range(6)], "item_id bigint, lang string, text string")
+    whole = {tuple(r) for r in K.leaked_items(docs, items).collect()}
+    monkeypatch.setattr(K, "BLOCK_CHARS", 200)
+    assert {tuple(r) for r in K.leaked_items(docs, items).collect()} == whole and len(whole) == 36
+
+
 def test_leaks_end_to_end(spark):
-    assert K.shared_openings(["Question: a b"] * 5 + ["Only one. x"]) == ["Question: "]
     docs = spark.createDataFrame([(1, "see " + ITEM + " end", "a"), (2, None, "b"), (3, "nothing", "c"), (1, "see " + ITEM + " end", "a")], "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([(10, "s", "en", ITEM), (11, "s", "en", None), (12, "s", None, "too short")], "item_id bigint, suite string, lang string, text string")
     rows = K.leaked_items(docs, items).collect()
