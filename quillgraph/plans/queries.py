@@ -45,7 +45,7 @@ def query(f: Query) -> Query:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents added, removed or changed between consecutive snapshots of a graph."""
     rows = table(spark, sf_dir, "kg_doc")
-    return snapshot_changes(rows, compared=F.lower("sha256"), recency=[F.col("update_time"), F.col("id")])
+    return snapshot_changes(rows, compared=[F.lower("sha256")], time=F.col("update_time"))
 
 
 # --- scans, filters, joins ----------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ SCHEMA = "id bigint, graph_no string, graph_version bigint, doc_no string, sha25
 def rows(spark, *data):
     full = [(i, g, v, d, s, datetime(2024, 1, 1, 0, 0, t) if t is not None else None, "x") for i, (g, v, d, s, t) in enumerate(data)]
     df = spark.createDataFrame(full, SCHEMA)
-    out = snapshot_changes(df, compared=F.lower("sha256"), recency=[F.col("update_time"), F.col("id")])
+    out = snapshot_changes(df, compared=[F.lower("sha256")], time=F.col("update_time"))
     return {tuple(r) for r in out.collect()}
 
 
@@ -35,4 +35,19 @@ def test_null_values_keys_and_empty_table(spark):
 
 def test_row_hash_tells_null_from_text(spark):
     df = spark.createDataFrame([(None, "a"), ("n", "a"), ("va", None), ("v", "a")], "x string, y string")
-    assert df.select(row_hash(["x", "y"])).distinct().count() == 4
+    assert df.select(row_hash([F.col("x"), F.col("y")])).distinct().count() == 4
+    swapped = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    assert swapped.select(row_hash([F.col("x"), F.col("y")])).distinct().count() == 2
+
+
+def test_equal_times_go_to_the_greater_id_and_other_kinds_of_time(spark):
+    df = spark.createDataFrame([(1, "g", 1, "a", "x", 5), (9, "g", 1, "a", "y", 5), (3, "g", 2, "a", "y", 1), (4, "g", 2, "a", "z", None)], "id bigint, graph_no string, graph_version bigint, doc_no string, sha256 string, t int")
+    for time in (F.col("t"), F.timestamp_seconds("t"), F.timestamp_seconds("t").cast("timestamp_ntz")):
+        assert snapshot_changes(df, compared=[F.col("sha256")], time=time).count() == 0
+    assert snapshot_changes(df.filter("id <> 9"), compared=[F.col("sha256")], time=F.col("t")).count() == 1
+
+
+def test_one_exchange_of_the_rows_and_no_sort(spark):
+    df = spark.createDataFrame([(1, "g", 1, "a", "x", 5), (3, "g", 2, "a", "y", 1)], "id bigint, graph_no string, graph_version bigint, doc_no string, sha256 string, t int")
+    plan = snapshot_changes(df, compared=[F.col("sha256")], time=F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 1 and "SortAggregate" not in plan and "HashAggregate" in plan
