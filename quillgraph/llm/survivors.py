@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ neznámý nieznany brak неизвестно нетданных нд нет な
 CUT_MARK = r"(?i)\s*(\[[^\]]{0,20}\]|\((?:\.{2,}|…|cut|truncated|more|continued)\)|…|\.{2,}|&hellip;|‥)\s*$"
 #: Descriptions are compared within a group by this many leading characters first, which spreads a hot group.
 HEAD = 12
+#: The class of statements without a time; lags of more than 2**60 seconds do not occur.
+OLDEST = 62
+#: Greatest trust in a source.
+SURE = 1 - 1e-6
 
 
 def is_stand_in(value: Column) -> Column:
@@ -98,49 +104,71 @@ def field_claims(rows: DataFrame) -> DataFrame:
     return plain.unionByName(props).unionByName(refs)
 
 
-def discover_truth(claims: DataFrame, scratch: Scratch, *, rounds: int = 6, tolerance: float = 0.01) -> DataFrame:
-    """(KEY, field, value, support): weighted votes for every value claimed.
+def age_class(latest: Column, time: Column) -> Column:
+    """0 for a statement as late as the latest of its field, then one class a doubling of the lag in seconds; the last
+    class is that of rows without a time, unless no row of the field has one."""
+    seconds = lambda t: F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t.cast("timestamp_ntz"))
+    lag = seconds(latest) - seconds(time)
+    old = F.least(F.lit(OLDEST - 1), F.floor(F.log2(F.greatest(lag, F.lit(1)).cast("double"))).cast("int") + 1)
+    return F.when(latest.eqNullSafe(time), 0).when(time.isNull(), OLDEST).otherwise(old)
+
+
+def discover_truth(statements: DataFrame, scratch: Scratch, *, tolerance: float = 1e-4, limit: int = 60) -> tuple[DataFrame, dict[int, float]]:
+    """((slot, vote, support), trust by source) of statements (slot, vote, source, n rows), source a small number.
 
-    Every row is a source. Its reliability starts equal and becomes the mean, over its claims, of the share of the
-    weighted votes its values hold; the votes are then weighed anew, until no reliability moves by more than
-    ``tolerance`` or ``rounds`` is reached. Both steps are aggregations with partial sums.
+    Sources are stable across all fields; n rows of one source count 1 + ln n times. Of every slot the value with the most support is taken for true; a source's trust becomes the share of its statements that are
+    true, and its weight -ln(1 - trust), until no trust moves by more than ``tolerance``. Trust that swings is damped;
+    if it has not come to rest after ``limit`` rounds, that is an error. The driver holds one number a source.
     """
-    slot = F.xxhash64(*KEY, "field").alias("slot")
-    votes = scratch.write(claims.select("id", slot, F.xxhash64(*KEY, "field", "value").alias("vote")).distinct())
-    trust = votes.select("id").distinct().withColumn("w", F.lit(1.0))
-    shares = None
-    for _ in range(rounds):
-        weighed = votes.join(trust, "id")
-        support = weighed.groupBy("slot", "vote").agg(F.sum("w").alias("support"))
-        total = support.groupBy("slot").agg(F.sum("support").alias("total"))
-        shares = scratch.write(support.join(total, "slot").select("vote", (F.col("support") / F.col("total")).alias("support")))
-        judged = votes.join(shares, "vote").groupBy("id").agg(F.greatest(F.avg("support"), F.lit(1e-6)).alias("w2"))
-        moved = scratch.write(judged.join(trust, "id").select("id", F.col("w2").alias("w"), F.abs(F.col("w2") - F.col("w")).alias("moved")))
-        scratch.drop(trust)
-        trust = moved.select("id", "w")
-        trust._scratch_path = moved._scratch_path
-        change = moved.agg(F.max("moved")).first()[0]
-        if change is None or change <= tolerance:
-            break
-    return shares
-
-
-def surviving_values(nodes: DataFrame) -> DataFrame:
+    found = {r[0] for r in statements.select("source").distinct().collect()}
+    # before anything is known, what is said last is believed
+    trust = {c: SURE if c == 0 else 0.5 for c in found}
+    if not found:
+        return statements.select("slot", "vote", F.lit(0.0).alias("support")), trust
+
+    def votes(trust: dict[int, float]) -> DataFrame:
+        weight = F.create_map(*[x for c, t in sorted(trust.items()) for x in (F.lit(c), F.lit(-math.log1p(-t)))])
+        return statements.groupBy("slot", "vote").agg(F.round(F.sum(weight[F.col("source")] * (1 + F.ln("n"))), 9).alias("support"))
+
+    for number in range(limit):
+        best = votes(trust).groupBy("slot").agg(F.max(F.struct("support", "vote")).alias("x")).select("slot", F.col("x.vote").alias("true"))
+        rows = statements.join(best, "slot").groupBy("source").agg(F.sum(F.when(F.col("vote") == F.col("true"), F.col("n")).otherwise(0)) / F.sum("n")).collect()
+        told = {c: min(t, SURE) for c, t in rows}
+        if number >= 5:
+            told = {c: (t + trust[c]) / 2 for c, t in told.items()}
+        moved = max(abs(t - trust[c]) for c, t in told.items())
+        trust = told
+        if moved <= tolerance:
+            return scratch.write(votes(trust)), trust
+    raise RuntimeError(f"trust has not come to rest after {limit} rounds: {trust}")
+
+
+def surviving_values(nodes: DataFrame, *, check: bool = True) -> DataFrame:
     """(KEY, field, id) of the surviving value of every field of every key with two or more rows.
 
-    Votes are compared by recency first and by discovered support second: the latest update_time wins (null is
-    oldest), of values equally late the one with the higher support, then the smaller id. ``id`` is the smallest id of
-    the group's rows that hold exactly this value. Null key columns are keys like any other; rows repeated in full
-    count as rows; a field without a usable value gives no row; columns not named are ignored; an empty table gives an
-    empty result. A group of any size is only aggregated, never gathered.
+    The surviving value is the one truth discovery finds the best supported, where the sources are the ages of
+    statements: how long before the field's latest statement a row was written. It learns from all fields on which rows
+    differ how much a statement of an age is worth. ``check`` then makes sure of the definition that the latest
+    update_time wins (null is oldest): where the value found is not the latest, the best supported of the latest takes its
+    place. Equal support goes to the smaller id. ``id`` is the smallest id of the group's rows that hold exactly this
+    value. Null key columns are keys like any other; rows repeated in full count as rows; a field without a usable value
+    gives no row; columns not named are ignored; an empty table gives an empty result. Claims are only aggregated, never
+    gathered; the descriptions of one key that begin with the same letters are sorted in one task.
     """
     scratch = Scratch(nodes.sparkSession, "survivors")
     several = nodes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(c).alias(f"_{c}") for c in KEY])
     rows = nodes.select(*KEY, "id", "name", "description", "properties", "ref", "update_time")
     rows = scratch.write(rows.join(several, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left_semi"))
-    claims = scratch.write(field_claims(rows))
-    support = discover_truth(claims, scratch)
-    values = claims.groupBy(*KEY, "field", "value").agg(F.max("update_time").alias("latest"), F.min("id").alias("id"))
-    values = values.withColumn("vote", F.xxhash64(*KEY, "field", "value")).join(support, "vote", "left")
-    best = values.groupBy(*KEY, "field").agg(F.max(F.struct("latest", F.round(F.coalesce("support", F.lit(0.0)), 6).alias("support"), (-F.col("id")).alias("neg"))).alias("x"))
+    claims = scratch.write(field_claims(rows).withColumns({"slot": F.xxhash64(*KEY, "field"), "vote": F.xxhash64("value", F.lit(1))}))
+    values = scratch.write(claims.groupBy(*KEY, "field", "slot", "vote", "value").agg(F.max("update_time").alias("last"), F.min("id").alias("id")).drop("value"))
+    scratch.drop(rows)
+    slots = scratch.write(values.groupBy("slot").agg(F.max("last").alias("latest"), F.count(F.lit(1)).alias("values")))
+    # fields on which all rows agree need no discovery
+    open_ = slots.filter("values > 1").select("slot", "latest")
+    statements = scratch.write(claims.select("slot", "vote", "update_time").join(open_, "slot").select("slot", "vote", age_class(F.col("latest"), F.col("update_time")).alias("source")).groupBy("slot", "vote", "source").agg(F.count(F.lit(1)).alias("n")))
+    scratch.drop(claims)
+    support, _ = discover_truth(statements, scratch)
+    scored = values.join(slots.select("slot", "latest"), "slot").join(support, ["slot", "vote"], "left")
+    order = [F.col("last").eqNullSafe(F.col("latest")).alias("late")] if check else []
+    best = scored.groupBy(*KEY, "field").agg(F.max(F.struct(*order, F.coalesce("support", F.lit(0.0)).alias("support"), (-F.col("id")).alias("neg"))).alias("x"))
     return best.select(*KEY, "field", (-F.col("x.neg")).alias("id"))

@@ -134,6 +134,27 @@ def test_ties_of_time_go_to_the_better_supported_value(spark):
     assert got[("k", "name")] == 1 and got[("k", "properties.p")] == 1
 
 
+def test_truth_discovery_alone_finds_the_latest_where_late_rows_are_right(spark):
+    rows = []
+    for k in range(30):
+        rows += [(len(rows), "g", 1, f"k{k}", f"old {k % 3}", "ENTITY", None, None, None, False, None, datetime(2024, 1, 1, 0, 0, 1), None, "x"), (len(rows) + 1, "g", 1, f"k{k}", f"old {k % 2}", "ENTITY", None, None, None, False, None, datetime(2024, 1, 1, 0, 0, 9), None, "x"), (len(rows) + 2, "g", 1, f"k{k}", f"new {k}", "ENTITY", None, None, None, False, None, datetime(2024, 1, 1, 0, 1, 9), None, "x")]
+    df = spark.createDataFrame([(*r[:12], r[13]) for r in rows], NODE)
+    plain = {tuple(r) for r in surviving_values(df, check=False).collect()}
+    assert plain == {tuple(r) for r in surviving_values(df).collect()} and {r[4] for r in plain} == {3 * k + 2 for k in range(30)}
+
+
+def test_trust_by_source(spark):
+    from quillgraph.llm.survivors import discover_truth
+    from quillgraph.session import Scratch
+
+    # source 0 always agrees with 2, source 1 never does
+    rows = [(k, v, c, 1) for k in range(20) for v, c in ((k * 10, 0), (k * 10, 2), (k * 10 + 1, 1))]
+    support, trust = discover_truth(spark.createDataFrame(rows, "slot bigint, vote bigint, source int, n bigint"), Scratch(spark, "t"))
+    assert trust[0] == trust[2] > 0.99 and trust[1] == 0.0
+    assert all((r["support"] > 1) == (r["vote"] % 10 == 0) for r in support.collect())
+    assert discover_truth(support.limit(0).withColumn("source", support["slot"]), Scratch(spark, "t"))[1] == {}
+
+
 def test_cut_descriptions_short_and_marked(spark):
     got = survivors(spark, ("k", "n", "abc", None, None, 1), ("k", "n", "ab", None, None, 9), ("k", "n", "Zulu team of forty", None, None, 3), ("k", "n", "Zulu team of …", None, None, 8), ("k", "n", "Zulu [cut]", None, None, 7))
     assert got[("k", "description")] == 2
