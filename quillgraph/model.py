@@ -35,6 +35,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "doc_chunk": _schema({**_GV, "doc_no": _S, "chunk_no": _S, "chunk_index": _I, "content": _S, "origin_url": _S, "file_path": _S, "line_start": _I, "line_end": _I, "sha256": _S}),
     "search_index": _schema({**_GV, "object_type": _S, "object_no": _S, "searchable_text": _S, "embedding": T.ArrayType(T.DoubleType())}),
     "entity_alias": _schema({**_GV, "canonical_node_no": _S, "alias": _S, "source": _S}),
+    "merge_edge": _schema({**_GV, "batch": _S, "graph_edge_no": _S, "source_node_no": _S, "target_node_no": _S, "name": _S, "description": _S, "properties": _S, "ref": _REF, "deleted": _B}),
     "merge_log": _schema({**_GV, "merge_id": _S, "winner_node_no": _S, "loser_node_no": _S, "snapshot": _S, "status": _S}),
     "graph": _schema({**_GV, "name": _S, "status": _S, "projection_done": _B}),
     "graph_file": _schema({"graph_no": _S, "doc_no": _S, "path": _S, "source_type": _S, "origin_url": _S, "deleted": _B}),

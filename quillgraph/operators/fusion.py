@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,7 +99,7 @@ def cluster(candidates: DataFrame, nodes: DataFrame, clusterer: Clusterer = slug
     return asked.mapInPandas(run, "graph_no string, graph_version bigint, a string, b string").distinct()
 
 
-def fusion_components(pairs: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def fusion_components(pairs: DataFrame) -> DataFrame:
     """(scope, graph_node_no, winner_node_no): the smallest key of all nodes tied directly or through others.
 
     Minimum labels spread along the pairs and along the labels themselves, so the rounds grow with the logarithm of the
@@ -107,7 +108,7 @@ def fusion_components(pairs: DataFrame, *, max_rounds: int = 64) -> DataFrame:
     scratch = Scratch(pairs.sparkSession, "fusion")
     arcs = scratch.write(pairs.select(*SCOPE, "a", "b").unionByName(pairs.select(*SCOPE, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.write(arcs.groupBy(*SCOPE, "a").agg(F.min("b").alias("m")).select(*SCOPE, "a", F.least("a", "m").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = arcs.join(labels.select(*SCOPE, F.col("a").alias("b"), F.col("label").alias("other")), [*SCOPE, "b"]).groupBy(*SCOPE, "a").agg(F.min("other").alias("other"))
         step = labels.join(near, [*SCOPE, "a"], "left").select(*SCOPE, "a", F.least("label", F.coalesce("other", "label")).alias("label"), F.col("label").alias("old"))
         # what a label's own node has learnt is passed on at once
@@ -152,26 +153,67 @@ def merged_nodes(nodes: DataFrame, groups: DataFrame, *, names: DataFrame | None
     }).drop("losers", "long", "all_properties", "all_refs", "canonical_name", "lost")
 
 
-def remapped_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Live edges after merges: (scope, graph_edge_no, source, target, name, properties, ref, folded).
+_EDGE = [*SCOPE, "graph_edge_no", "source_node_no", "target_node_no", "name", "description", "properties", "ref", "deleted"]
 
-    Ends move to their winners, loops made by that vanish, edges that come to bear the same key fold into the one that
-    bore it before, else into the smallest former key: its properties win, references unite. ``folded`` counts them.
-    """
-    g = groups.filter(F.col("graph_node_no") != F.col("winner_node_no"))
-    e = live(edges)
+
+def _moved(edges: DataFrame, losers: DataFrame) -> DataFrame:
+    """Edges with the ends and the key they have once losers (scope, graph_node_no, winner_node_no) are replaced:
+    new_source_node_no, new_target_node_no, new_no, touched."""
+    e = edges
     for end in ("source_node_no", "target_node_no"):
-        w = g.select(*SCOPE, F.col("graph_node_no").alias(end), F.col("winner_node_no").alias(f"to_{end}"))
+        w = losers.select(*SCOPE, F.col("graph_node_no").alias(end), F.col("winner_node_no").alias(f"to_{end}"))
         e = e.join(w, [*SCOPE, end], "left").withColumn(f"new_{end}", F.coalesce(f"to_{end}", end)).drop(f"to_{end}")
     touched = (F.col("new_source_node_no") != F.col("source_node_no")) | (F.col("new_target_node_no") != F.col("target_node_no"))
-    e = e.filter(~(touched & (F.col("new_source_node_no") == F.col("new_target_node_no"))))
-    e = e.withColumn("new_no", F.when(touched, edge_no(F.col("new_source_node_no"), F.col("name"), F.col("new_target_node_no"))).otherwise(F.col("graph_edge_no")))
-    by = [*SCOPE, "graph_edge_no", "source_node_no", "target_node_no", "name"]
-    moved = e.select(*SCOPE, F.col("graph_edge_no").alias("former"), F.col("new_no").alias("graph_edge_no"), F.col("new_source_node_no").alias("source_node_no"), F.col("new_target_node_no").alias("target_node_no"), "name", "properties", "ref")
-    order = F.struct(F.col("former") != F.col("graph_edge_no"), F.col("former"))
-    folded = moved.groupBy(*by).agg((F.count(F.lit(1)) - 1).cast("int").alias("folded"))
-    out = folded.join(fold_properties(moved, by, order), by, "left").join(fold_refs(moved, by), by, "left")
-    return out.select(*by, F.coalesce("properties", F.lit("{}")).alias("properties"), F.coalesce("ref", F.create_map().cast("map<string,array<string>>")).alias("ref"), "folded")
+    return e.withColumn("touched", touched).withColumn("new_no", F.when(F.col("touched"), edge_no(F.col("new_source_node_no"), F.col("name"), F.col("new_target_node_no"))).otherwise(F.col("graph_edge_no")))
+
+
+def edge_images(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of the edge table that merges touch, as they are: live edges with an end among the losers, and what bears
+    the keys these come to bear, dead rows included. Everything else is left where it is."""
+    scratch = Scratch(edges.sparkSession, "images")
+    losers = groups.filter(F.col("graph_node_no") != F.col("winner_node_no"))
+    gone = losers.select(*SCOPE, "graph_node_no")
+    sides = [live(edges).join(gone.withColumnRenamed("graph_node_no", end), [*SCOPE, end], "left_semi").select(*SCOPE, "graph_edge_no") for end in ("source_node_no", "target_node_no")]
+    hit = scratch.write(live(edges).join(sides[0].unionByName(sides[1]).distinct(), [*SCOPE, "graph_edge_no"], "left_semi").select(*_EDGE))
+    taken = _moved(hit, losers).select(*SCOPE, F.col("new_no").alias("graph_edge_no")).distinct()
+    there = edges.join(taken, [*SCOPE, "graph_edge_no"], "left_semi")
+    return hit.unionByName(there.select(*_EDGE)).withColumn("deleted", F.coalesce("deleted", F.lit(False))).dropDuplicates([*SCOPE, "graph_edge_no", "deleted"])
+
+
+def folded_edges(images: DataFrame, groups: DataFrame) -> DataFrame:
+    """What images become under merges: (edge columns, folded).
+
+    Ends move to their winners and a loop made by that is soft-deleted. Edges that come to bear the same key fold into the
+    one that bore it before, else into the smallest former key: its properties and its description win, references
+    unite, the others are soft-deleted under their former key. ``folded`` counts them. A dead row gives way to a live
+    one of its key.
+    """
+    losers = groups.filter(F.col("graph_node_no") != F.col("winner_node_no"))
+    e = Scratch(images.sparkSession, "folded").write(_moved(live(images), losers))
+    loop = F.col("touched") & (F.col("new_source_node_no") == F.col("new_target_node_no"))
+    by = [*SCOPE, "new_no"]
+    order = F.struct(F.col("graph_edge_no") != F.col("new_no"), F.col("graph_edge_no"))
+    kept = e.filter(~loop)
+    lead = kept.groupBy(*by).agg(F.min(order).alias("first"), (F.count(F.lit(1)) - 1).cast("int").alias("folded")).select(*by, F.col("first.graph_edge_no").alias("lead_no"), "folded")
+    several = lead.filter("folded > 0")
+    many = kept.join(several.select(*by), by, "left_semi")
+    content = several.join(fold_properties(many, by, order).withColumnRenamed("properties", "all_properties"), by, "left").join(fold_refs(many, by).withColumnRenamed("ref", "all_refs"), by, "left").select(*by, "all_properties", "all_refs")
+    marked = kept.join(lead, by).join(content, by, "left")
+    leads = marked.filter("graph_edge_no = lead_no").select(
+        *SCOPE, F.col("new_no").alias("graph_edge_no"), F.col("new_source_node_no").alias("source_node_no"), F.col("new_target_node_no").alias("target_node_no"), "name", "description",
+        F.coalesce("all_properties", "properties", F.lit("{}")).alias("properties"), F.coalesce("all_refs", "ref", F.create_map().cast("map<string,array<string>>")).alias("ref"), F.lit(False).alias("deleted"), "folded",
+    )
+    dead = marked.filter("graph_edge_no <> lead_no").select(*_EDGE).unionByName(e.filter(loop).select(*_EDGE)).withColumn("deleted", F.lit(True))
+    twins = images.filter(F.coalesce("deleted", F.lit(False))).select(*_EDGE).unionByName(dead)
+    twins = twins.join(leads.select(*SCOPE, "graph_edge_no"), [*SCOPE, "graph_edge_no"], "left_anti")
+    return leads.unionByName(twins.withColumn("folded", F.lit(0)))
+
+
+def remapped_edges(edges: DataFrame, groups: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Edge table after merges, all columns and rows: see ``folded_edges``; rows no merge touches are untouched."""
+    images = Scratch(edges.sparkSession, "remapped").write(edge_images(edges, groups)) if images is None else images
+    rest = edges.join(images.select(*SCOPE, "graph_edge_no"), [*SCOPE, "graph_edge_no"], "left_anti")
+    return rest.select(*_EDGE).withColumn("folded", F.lit(0)).unionByName(folded_edges(images, groups))
 
 
 def added_aliases(existing: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,34 +228,124 @@ def node_snapshot() -> Column:
     return F.struct("graph_node_no", "name", "type", "description", "properties", "ref", "class", "entity_spec")
 
 
-def merge_log_rows(nodes: DataFrame, groups: DataFrame, *, merge_id: Column | None = None) -> DataFrame:
-    """One MERGED row a loser with a typed snapshot of both nodes; the default merge_id is a digest of scope and pair, so
-    writing the same merge again gives the same row."""
+NODE_SNAPSHOT = "struct<graph_node_no:string,name:string,type:string,description:string,properties:string,ref:map<string,array<string>>,class:string,entity_spec:string>"
+SNAPSHOT = f"struct<batch:string,winner:{NODE_SNAPSHOT},loser:{NODE_SNAPSHOT},aliases:array<string>>"
+
+
+def _digest(*parts: Column | str) -> Column:
+    return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(32))
+
+
+def merge_log_rows(nodes: DataFrame, groups: DataFrame, *, batch: str = "", aliases: DataFrame | None = None) -> DataFrame:
+    """One MERGED row a loser with a typed snapshot of both nodes and the aliases (scope, canonical_node_no, alias) the
+    merge adds for it; merge_id is a digest of scope, batch and pair, so writing the same merge again gives the same row."""
     lost = groups.filter(F.col("graph_node_no") != F.col("winner_node_no"))
     snap = nodes.select(*_NODE_KEY, node_snapshot().alias("s"))
     rows = lost.join(snap.withColumnRenamed("s", "loser"), _NODE_KEY).join(snap.select(*SCOPE, F.col("graph_node_no").alias("winner_node_no"), F.col("s").alias("winner")), [*SCOPE, "winner_node_no"])
-    number = merge_id if merge_id is not None else F.left(F.sha2(F.concat_ws("|", "graph_no", F.col("graph_version").cast("string"), "winner_node_no", "graph_node_no"), 256), F.lit(32))
-    return rows.select(*SCOPE, number.alias("merge_id"), "winner_node_no", F.col("graph_node_no").alias("loser_node_no"), F.struct("winner", "loser").alias("snapshot"), F.lit(MERGED).alias("status"))
+    none = F.array().cast("array<string>")
+    if aliases is not None:
+        own = aliases.select(*SCOPE, F.col("canonical_node_no").alias("winner_node_no"), F.col("alias").alias("said")).distinct()
+        rows = rows.withColumn("said", F.col("loser.name")).join(own.withColumn("new", F.lit(True)), [*SCOPE, "winner_node_no", "said"], "left").withColumn("aliases", F.when(F.col("new"), F.array("said")).otherwise(none))
+    else:
+        rows = rows.withColumn("aliases", none)
+    number = _digest(F.col("graph_no"), F.col("graph_version").cast("string"), F.lit(batch), F.col("winner_node_no"), F.col("graph_node_no"))
+    snapshot = F.struct(F.lit(batch).alias("batch"), "winner", "loser", "aliases")
+    return rows.select(*SCOPE, number.alias("merge_id"), "winner_node_no", F.col("graph_node_no").alias("loser_node_no"), snapshot.alias("snapshot"), F.lit(MERGED).alias("status"))
 
 
-def rolled_back(nodes: DataFrame, log: DataFrame, merge_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, log) after undoing merges: both nodes as their snapshots have them, the rows ROLLED_BACK.
+def domain_deleted(domain: DataFrame, keys: DataFrame, deleted: bool) -> DataFrame:
+    """Domain table with the rows of the keys (scope, graph_node_no) soft-deleted or brought back."""
+    marks = keys.select(*_NODE_KEY).distinct().withColumn("hit", F.lit(True))
+    out = domain.join(marks, _NODE_KEY, "left").withColumn("deleted", F.when(F.col("hit"), F.lit(deleted)).otherwise(F.col("deleted")))
+    return out.select(*domain.columns)
 
-    Rows that are absent or not MERGED or PRUNED any more are an error of the caller, see ``not_reversible``.
-    """
-    undone = log.join(merge_ids.select("merge_id").distinct(), "merge_id", "left_semi")
-    sides = undone.select(*SCOPE, F.explode(F.array("snapshot.winner", "snapshot.loser")).alias("s")).filter("s.graph_node_no is not null")
-    old = sides.select(*SCOPE, "s.graph_node_no", *[F.col(f"s.{c}").alias(f"was_{c}") for c in ("name", "type", "description", "properties", "ref")], F.lit(True).alias("back")).dropDuplicates(_NODE_KEY)
-    joined = nodes.join(old, _NODE_KEY, "left")
-    back = F.coalesce("back", F.lit(False))
-    restored = joined.withColumns({c: F.when(back, F.col(f"was_{c}")).otherwise(F.col(c)) for c in ("name", "type", "description", "properties", "ref")} | {"deleted": F.when(back, F.lit(False)).otherwise(F.col("deleted"))})
-    marked = log.join(merge_ids.select("merge_id", F.lit(True).alias("hit")).distinct(), "merge_id", "left").withColumn("status", F.when(F.col("hit"), F.lit(ROLLED_BACK)).otherwise(F.col("status")))
-    return restored.select(*nodes.columns), marked.select(*log.columns)
 
+@dataclass
+class Fused:
+    """Tables after merging or undoing; ``images`` are the edge rows as they were before a merge."""
 
-def not_reversible(log: DataFrame, merge_ids: DataFrame) -> DataFrame:
-    """Asked merge ids that cannot be undone: absent, or rolled back already."""
-    return merge_ids.select("merge_id").distinct().join(log.filter(F.col("status").isin(MERGED, PRUNED)).select("merge_id"), "merge_id", "left_anti")
+    nodes: DataFrame
+    edges: DataFrame
+    domain: DataFrame
+    aliases: DataFrame
+    log: DataFrame
+    images: DataFrame
+
+
+def apply_merges(nodes: DataFrame, edges: DataFrame, domain: DataFrame, aliases: DataFrame, groups: DataFrame, *, batch: str, names: DataFrame | None = None) -> Fused:
+    """All tables of a scope after merging groups (scope, graph_node_no, winner_node_no): nodes and edges merged, losers
+    and their domain rows soft-deleted, their names aliases of the winners; ``log`` has the new rows only. ``nodes`` have
+    class and entity_spec."""
+    lost = groups.filter(F.col("graph_node_no") != F.col("winner_node_no"))
+    wanted = nodes.join(lost, _NODE_KEY).select(*SCOPE, F.col("winner_node_no").alias("canonical_node_no"), F.col("name").alias("alias"), F.lit("merge").alias("source"))
+    added = added_aliases(aliases, wanted)
+    images = Scratch(edges.sparkSession, "merged").write(edge_images(edges, groups))
+    return Fused(
+        merged_nodes(nodes.drop("class", "entity_spec"), groups, names=names), remapped_edges(edges, groups, images).drop("folded"), domain_deleted(domain, lost, True),
+        aliases.unionByName(added, allowMissingColumns=True), merge_log_rows(nodes, groups, batch=batch, aliases=added), images.withColumn("batch", F.lit(batch)),
+    )
+
+
+def undo_merges(nodes: DataFrame, edges: DataFrame, domain: DataFrame, aliases: DataFrame, log: DataFrame, images: DataFrame, merge_ids: DataFrame) -> Fused:
+    """All tables of a scope after undoing merges and prunings; ``log`` (typed snapshots) comes back whole.
+
+    What the merges of the same batch that stay in force make of nodes and edges is worked out again from the rows before
+    the batch, so a merge can be undone by itself: losers come back to life with their edges, the winner keeps what the
+    others brought. An edge nothing folded into keeps what was written to it since. Aliases go that no merge in force has
+    added. Merges that cannot be undone are the caller's error, see ``not_reversible``.
+    """
+    hit = merge_ids.select("merge_id").distinct().withColumn("undo", F.lit(True))
+    rows = log.join(hit, "merge_id", "left").withColumn("undo", F.coalesce("undo", F.lit(False)))
+    undone = rows.filter(F.col("undo") & F.col("status").isin(MERGED, PRUNED))
+    back = undone.select(*SCOPE, F.col("loser_node_no").alias("graph_node_no")).distinct()
+    scope_batch = [*SCOPE, "batch"]
+    batches = undone.filter(F.col("status") == MERGED).select(*SCOPE, F.col("snapshot.batch").alias("batch")).distinct()
+    batch_log = rows.filter(F.col("status") == MERGED).withColumn("batch", F.col("snapshot.batch")).join(batches, scope_batch, "left_semi")
+    pairs = batch_log.select(*SCOPE, "batch", F.col("loser_node_no").alias("graph_node_no"), "winner_node_no", "undo")
+    stay = pairs.filter(~F.col("undo"))
+
+    # nodes: winners from the rows before the batch and the merges that stay, losers as they were
+    touched = pairs.filter("undo").select(*SCOPE, "winner_node_no").distinct()
+    sides = batch_log.join(touched, [*SCOPE, "winner_node_no"], "left_semi").select(*SCOPE, F.explode(F.array("snapshot.winner", "snapshot.loser")).alias("s"))
+    lone = undone.filter(F.col("status") == PRUNED).select(*SCOPE, F.col("snapshot.loser").alias("s"))
+    was = sides.unionByName(lone).filter("s.graph_node_no is not null").select(*SCOPE, *[f"s.{c}" for c in ("graph_node_no", "name", "type", "description", "properties", "ref")]).dropDuplicates(_NODE_KEY).withColumn("deleted", F.lit(False))
+    own = touched.select(*SCOPE, F.col("winner_node_no").alias("graph_node_no"), "winner_node_no")
+    again = merged_nodes(was, stay.select(*_NODE_KEY, "winner_node_no").join(touched, [*SCOPE, "winner_node_no"], "left_semi").unionByName(own))
+    changed = again.filter(~F.col("deleted")).select(*_NODE_KEY, *[F.col(c).alias(f"was_{c}") for c in ("name", "type", "description", "properties", "ref")], F.lit(True).alias("back"))
+    joined = nodes.join(changed, _NODE_KEY, "left")
+    new_nodes = joined.withColumns({c: F.when(F.col("back"), F.col(f"was_{c}")).otherwise(F.col(c)) for c in ("name", "type", "description", "properties", "ref")} | {"deleted": F.when(F.col("back"), F.lit(False)).otherwise(F.col("deleted"))})
+
+    # edges: the images that share a key with one of an undone loser, under the merges that stay
+    img = images.join(batches, scope_batch, "left_semi").select(*_EDGE).dropDuplicates([*SCOPE, "graph_edge_no", "deleted"])
+    keyed = _moved(live(img), pairs)
+    ends = [keyed.join(back.withColumnRenamed("graph_node_no", end), [*SCOPE, end], "left_semi").select(*SCOPE, "new_no") for end in ("source_node_no", "target_node_no")]
+    keys = ends[0].unionByName(ends[1]).distinct()
+    scratch = Scratch(nodes.sparkSession, "undone")
+    keys = scratch.write(keys)
+    mine = scratch.write(keyed.join(keys, [*SCOPE, "new_no"], "left_semi"))
+    single = mine.groupBy(*SCOPE, "new_no").agg(F.count(F.lit(1)).alias("n"), F.min("graph_edge_no").alias("graph_edge_no")).filter("n = 1")
+    now = single.join(live(edges).select(*SCOPE, F.col("graph_edge_no").alias("new_no"), *[F.col(c).alias(f"now_{c}") for c in ("description", "properties", "ref")]), [*SCOPE, "new_no"]).drop("n", "new_no")
+    fresh = mine.join(now.withColumn("fresh", F.lit(True)), [*SCOPE, "graph_edge_no"], "left").withColumns({c: F.when(F.col("fresh"), F.col(f"now_{c}")).otherwise(F.col(c)) for c in ("description", "properties", "ref")})
+    twins = img.filter("deleted").join(keys.withColumnRenamed("new_no", "graph_edge_no"), [*SCOPE, "graph_edge_no"], "left_semi")
+    stay = scratch.write(stay)
+    restored = folded_edges(fresh.select(*_EDGE).unionByName(twins), stay).drop("folded")
+    replaced = mine.select(*SCOPE, "graph_edge_no").unionByName(keys.withColumnRenamed("new_no", "graph_edge_no")).distinct()
+    new_edges = edges.join(replaced, [*SCOPE, "graph_edge_no"], "left_anti").select(*_EDGE).unionByName(restored)
+
+    said = lambda df: df.select(*SCOPE, F.col("winner_node_no").alias("canonical_node_no"), F.explode("snapshot.aliases").alias("alias")).distinct()
+    alias_key = [*SCOPE, "canonical_node_no", "alias"]
+    drop = said(undone.filter(F.col("status") == MERGED)).join(said(rows.filter(~F.col("undo") & (F.col("status") == MERGED))), alias_key, "left_anti")
+    marked = rows.withColumn("status", F.when(F.col("undo") & F.col("status").isin(MERGED, PRUNED), F.lit(ROLLED_BACK)).otherwise(F.col("status")))
+    return Fused(new_nodes.select(*nodes.columns), new_edges, domain_deleted(domain, back, False), aliases.join(drop, alias_key, "left_anti").select(*aliases.columns), marked.select(*log.columns), images)
+
+
+def not_reversible(log: DataFrame, merge_ids: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Asked merge ids that cannot be undone: absent, rolled back already, or of a winner that is itself merged by now."""
+    good = log.filter(F.col("status").isin(MERGED, PRUNED))
+    if nodes is not None:
+        alive = live(nodes).select(*SCOPE, F.col("graph_node_no").alias("winner_node_no"))
+        good = good.filter(F.col("status") == PRUNED).unionByName(good.filter(F.col("status") == MERGED).join(alive, [*SCOPE, "winner_node_no"], "left_semi").select(*good.columns))
+    return merge_ids.select("merge_id").distinct().join(good.select("merge_id"), "merge_id", "left_anti")
 
 
 def alias_of(nodes: DataFrame, aliases: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -231,8 +363,12 @@ def low_support(nodes: DataFrame, edges: DataFrame, *, min_support: int = 2) ->
 
 
 def pruned(nodes: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, log rows): the doomed nodes soft-deleted, each with a PRUNED row without a winner."""
+    """(nodes, log rows): the doomed nodes soft-deleted, each with a PRUNED row without a winner and a snapshot of it;
+    ``doomed`` has class and entity_spec or is given none."""
     marks = doomed.select(*_NODE_KEY, F.lit(True).alias("hit"))
     out = nodes.join(marks, _NODE_KEY, "left").withColumn("deleted", F.coalesce("hit", F.coalesce("deleted", F.lit(False)))).drop("hit")
-    rows = doomed.select(*SCOPE, F.left(F.sha2(F.concat_ws("|", "graph_no", F.col("graph_version").cast("string"), F.lit("prune"), "graph_node_no"), 256), F.lit(32)).alias("merge_id"), F.lit("").alias("winner_node_no"), F.col("graph_node_no").alias("loser_node_no"), F.lit(PRUNED).alias("status"))
-    return out, rows
+    for c in ("class", "entity_spec"):
+        doomed = doomed if c in doomed.columns else doomed.withColumn(c, F.lit(None).cast("string"))
+    snapshot = F.struct(F.lit("").alias("batch"), F.lit(None).cast(NODE_SNAPSHOT).alias("winner"), node_snapshot().alias("loser"), F.array().cast("array<string>").alias("aliases"))
+    number = _digest(F.col("graph_no"), F.col("graph_version").cast("string"), F.lit("prune"), F.col("graph_node_no"))
+    return out, doomed.select(*SCOPE, number.alias("merge_id"), F.lit("").alias("winner_node_no"), F.col("graph_node_no").alias("loser_node_no"), snapshot.alias("snapshot"), F.lit(PRUNED).alias("status"))

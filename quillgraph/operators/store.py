@@ -142,6 +142,16 @@ def upsert_index(old: DataFrame, new: DataFrame, *, embed=None) -> DataFrame:
     return upsert_by_key(old, new, [*SCOPE, "object_type", "object_no"])
 
 
+def reindexed(index: DataFrame, keys: DataFrame, *, nodes: DataFrame, edges: DataFrame, aliases: DataFrame | None, embed=None) -> DataFrame:
+    """Index with the rows of single nodes (with their aliases) and edges, given as (object_type, object_no), written
+    anew; what is no longer live leaves it. All other rows stay as they are."""
+    key = ["object_type", "object_no"]
+    wanted = keys.select(*key).distinct()
+    of = lambda rows, kind, no: rows.join(wanted.filter(F.col("object_type") == kind).select(F.col("object_no").alias(no)), no, "left_semi")
+    fresh = index_rows(of(nodes, NODE, "graph_node_no"), of(edges, EDGE, "graph_edge_no"), None, aliases, embed=embed)
+    return upsert_index(delete_by_key(index, wanted, key), fresh)
+
+
 def copy_version(index: DataFrame, keys: DataFrame, *, source: int, target: int) -> DataFrame:
     """Index rows of the keys (graph_no, object_type, object_no) copied from one version to another, embeddings as they
     are; keys without a source row are skipped."""

@@ -15,6 +15,10 @@ _VIEWS = {
       WHERE rn = 1 AND status = 'MERGED' AND trim(winner_node_no) <> '' AND trim(loser_node_no) <> '')""",
     "edges": """edges AS (SELECT p.graph_no, p.graph_version, left(sha256(a || '|same_as|' || b), 32) AS graph_edge_no, a AS source_node_no, b AS target_node_no, 'same_as' AS name, n.ref
       FROM pairs p LEFT JOIN nodes n ON n.graph_no = p.graph_no AND n.graph_version = p.graph_version AND n.graph_node_no = p.b)""",
+    "near": """near AS (SELECT graph_no, graph_version, left(sha256(a || '|cites|' || b), 32) AS graph_edge_no, a AS source_node_no, b AS target_node_no, 'cites' AS name, 'from ' || a AS description, docs FROM (
+      SELECT graph_no, graph_version, graph_node_no AS a, nxt AS b, list(DISTINCT doc_no) AS docs FROM (
+        SELECT *, lead(graph_node_no) OVER (PARTITION BY graph_no, graph_version, doc_no ORDER BY graph_node_no) AS nxt FROM (SELECT graph_no, graph_version, graph_node_no, unnest(map_keys(ref)) AS doc_no FROM alive WHERE ref IS NOT NULL))
+      WHERE nxt IS NOT NULL AND nxt <> graph_node_no GROUP BY ALL))""",
     "idx": """idx AS (SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY graph_no, graph_version, object_type, object_no ORDER BY updated_at DESC NULLS LAST, id DESC) AS rn FROM kg_search_index) WHERE rn = 1),
     questions AS (SELECT graph_no, graph_version, graph_no || '@' || graph_version AS query_no, variant_no, split_part(searchable_text, chr(10), 1) AS text, embedding FROM (
@@ -236,7 +240,7 @@ SELECT graph_no, graph_version, count(*) FILTER (t = 'NODE') AS nodes, count(*)
 
 SQL["fusion_candidates"] = _with("nodes") + rf""", g AS (SELECT graph_no, graph_version, graph_node_no, class, list_distinct([substr(lower(bare), i, 2) FOR i IN range(1, greatest(length(bare) - 1, 1) + 1)]) AS grams FROM (SELECT *, regexp_replace(name, '^{_WS}+|{_WS}+$', '', 'g') AS bare FROM alive) WHERE length(bare) > 0),
 posted AS (SELECT graph_no, graph_version, graph_node_no, class, unnest(grams) AS gram FROM g),
-rare AS (SELECT graph_no, graph_version, class, gram FROM posted GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200),
+rare AS (SELECT graph_no, graph_version, class, gram FROM posted GROUP BY ALL HAVING count(*) >= 2),
 p AS (SELECT a.graph_no, a.graph_version, a.graph_node_no, b.graph_node_no AS candidate_no FROM posted a JOIN rare r USING (graph_no, graph_version, class, gram) JOIN posted b USING (graph_no, graph_version, class, gram)
   WHERE a.graph_node_no <> b.graph_node_no GROUP BY ALL HAVING count(*) >= 2),
 s AS (SELECT p.*, round(len(list_intersect(x.grams, y.grams)) / len(list_distinct(list_concat(x.grams, y.grams))), 6) AS score FROM p
@@ -254,14 +258,24 @@ SELECT n.graph_no, n.graph_version, n.graph_node_no, n.name,
   CASE WHEN l.graph_node_no IS NOT NULL AND s.support IS NOT NULL THEN s.support ELSE coalesce(cardinality(n.ref), 0) END::int AS support,
   coalesce(n.deleted, false) OR (g.winner_node_no IS NOT NULL AND g.winner_node_no <> n.graph_node_no) AS deleted
 FROM nodes n LEFT JOIN long l USING (graph_no, graph_version, graph_node_no) LEFT JOIN sup s USING (graph_no, graph_version, graph_node_no) LEFT JOIN g USING (graph_no, graph_version, graph_node_no)"""
-SQL["rollback_identity"] = "SELECT graph_no, graph_version, graph_node_no FROM kg_graph_node WHERE false"
-SQL["merge_edges_remap"] = "WITH RECURSIVE " + ", ".join([_VIEWS["nodes"], _VIEWS["pairs"], _VIEWS["edges"], "arcs AS (SELECT graph_no, graph_version, a AS x, b AS y FROM pairs WHERE b < a UNION SELECT graph_no, graph_version, b, a FROM pairs WHERE b < a)", _VIEWS["groups"]]) + """,
-m AS (SELECT e.graph_no, e.graph_version, e.graph_edge_no AS old_no, e.source_node_no AS s0, e.target_node_no AS t0, coalesce(a.winner_node_no, e.source_node_no) AS s1, coalesce(b.winner_node_no, e.target_node_no) AS t1, e.name, e.ref FROM edges e
-  LEFT JOIN groups a ON a.graph_no = e.graph_no AND a.graph_version = e.graph_version AND a.graph_node_no = e.source_node_no LEFT JOIN groups b ON b.graph_no = e.graph_no AND b.graph_version = e.graph_version AND b.graph_node_no = e.target_node_no),
-k AS (SELECT *, CASE WHEN s0 <> s1 OR t0 <> t1 THEN left(sha256(s1 || '|' || name || '|' || t1), 32) ELSE old_no END AS new_no FROM m WHERE NOT ((s0 <> s1 OR t0 <> t1) AND s1 = t1)),
-d AS (SELECT graph_no, graph_version, new_no, count(DISTINCT doc) AS support FROM (SELECT graph_no, graph_version, new_no, unnest(map_keys(ref)) AS doc FROM k WHERE ref IS NOT NULL) GROUP BY ALL)
-SELECT k.graph_no, k.graph_version, k.new_no AS graph_edge_no, s1 AS source_node_no, t1 AS target_node_no, coalesce(any_value(d.support), 0)::int AS support, (count(*) - 1)::int AS folded
-FROM k LEFT JOIN d USING (graph_no, graph_version, new_no) GROUP BY k.graph_no, k.graph_version, k.new_no, s1, t1"""
+_REMAPPED = """, m AS (SELECT e.*, e.graph_edge_no AS old_no, e.source_node_no AS s0, e.target_node_no AS t0, coalesce(a.winner_node_no, e.source_node_no) AS s1, coalesce(b.winner_node_no, e.target_node_no) AS t1 FROM near e
+  LEFT JOIN g a ON a.graph_no = e.graph_no AND a.graph_version = e.graph_version AND a.graph_node_no = e.source_node_no LEFT JOIN g b ON b.graph_no = e.graph_no AND b.graph_version = e.graph_version AND b.graph_node_no = e.target_node_no),
+k AS (SELECT *, CASE WHEN s0 <> s1 OR t0 <> t1 THEN left(sha256(s1 || '|cites|' || t1), 32) ELSE old_no END AS new_no, (s0 <> s1 OR t0 <> t1) AND s1 = t1 AS loop FROM m),
+placed AS (SELECT *, row_number() OVER (PARTITION BY graph_no, graph_version, new_no ORDER BY old_no <> new_no, old_no) AS place, count(*) OVER (PARTITION BY graph_no, graph_version, new_no) AS size FROM k WHERE NOT loop) """
+_MERGED = _with("nodes", "pairs", "arcs", "groups", "near", recursive=True) + _GROUPED + _REMAPPED
+SQL["merge_edges_remap"] = _MERGED + """, d AS (SELECT graph_no, graph_version, new_no, count(DISTINCT doc) AS support FROM (SELECT graph_no, graph_version, new_no, unnest(docs) AS doc FROM placed) GROUP BY ALL)
+SELECT p.graph_no, p.graph_version, p.new_no AS graph_edge_no, s1 AS source_node_no, t1 AS target_node_no, support::int AS support, (size - 1)::int AS folded FROM placed p JOIN d USING (graph_no, graph_version, new_no) WHERE place = 1"""
+SQL["merge_edges_dropped"] = _MERGED + """, gone AS (SELECT graph_no, graph_version, old_no, s0, t0, description FROM placed WHERE place > 1 UNION ALL SELECT graph_no, graph_version, old_no, s0, t0, description FROM k WHERE loop)
+SELECT graph_no, graph_version, old_no AS graph_edge_no, s0 AS source_node_no, t0 AS target_node_no, description FROM gone
+WHERE (graph_no, graph_version, old_no) NOT IN (SELECT graph_no, graph_version, new_no FROM placed WHERE place = 1)"""
+SQL["rollback_nodes"] = _with("nodes") + """SELECT graph_no, graph_version, graph_node_no, name, description, properties,
+  array_to_string(list_sort(list_transform(map_entries(ref), lambda e: e.key || '=' || array_to_string(list_sort(e.value), ','))), ';') AS refs, coalesce(deleted, false) AS deleted FROM nodes"""
+SQL["rollback_edges"] = _with("nodes", "near") + """SELECT graph_no, graph_version, graph_edge_no, source_node_no, target_node_no, name, description, '{"confidence":"INFERRED"}' AS properties,
+  array_to_string(list_sort(list_transform(docs, lambda d: d || '=1')), ';') AS refs, false AS deleted FROM near"""
+SQL["rollback_aliases"] = _with("nodes") + """SELECT graph_no, graph_version, min(graph_node_no) AS canonical_node_no, '~' || name AS alias, 'import' AS source FROM alive WHERE name IS NOT NULL GROUP BY graph_no, graph_version, name"""
+SQL["rollback_domain"] = _with("nodes", "pairs", "arcs", "groups", recursive=True) + _GROUPED + """,
+lost AS (SELECT graph_no, graph_version, count(*) AS lost FROM g JOIN domains d USING (graph_no, graph_version, graph_node_no) WHERE winner_node_no <> graph_node_no GROUP BY ALL)
+SELECT graph_no, graph_version, type, count(*) AS n_rows, 0::bigint AS deleted, coalesce(any_value(lost), 0)::bigint AS lost FROM domains LEFT JOIN lost USING (graph_no, graph_version) GROUP BY graph_no, graph_version, type"""
 _ALIASES = """, wanted AS (SELECT DISTINCT p.graph_no, p.graph_version, a AS canonical_node_no, n.name AS alias FROM pairs p JOIN nodes n ON n.graph_no = p.graph_no AND n.graph_version = p.graph_version AND n.graph_node_no = p.b WHERE n.name IS NOT NULL AND trim(n.name) <> ''),
 aliases AS (SELECT graph_no, graph_version, min(canonical_node_no) AS canonical_node_no, alias, 'merge' AS source FROM wanted GROUP BY graph_no, graph_version, alias) """
 SQL["alias_owner"] = _with("nodes", "pairs") + _ALIASES + "SELECT * FROM aliases"

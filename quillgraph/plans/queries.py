@@ -22,7 +22,7 @@ from ..operators import search as S
 from ..operators import store as W
 from ..operators import versions as V
 from ..operators.snapshots import snapshot_changes
-from ..session import table
+from ..session import Scratch, table
 from ..sources.files import source_class
 from ..streaming import events as N
 from ..streaming import state as B
@@ -416,7 +416,7 @@ def _groups(spark, sf_dir, n):
     g = g.join(alive, [*SCOPE, "graph_node_no"], "left_semi")
     # the winner is the smallest live key of its group
     best = g.groupBy(*SCOPE, "winner_node_no").agg(F.min("graph_node_no").alias("best"))
-    return g.join(best, [*SCOPE, "winner_node_no"]).select(*SCOPE, "graph_node_no", F.col("best").alias("winner_node_no"))
+    return Scratch(spark, "groups").write(g.join(best, [*SCOPE, "winner_node_no"]).select(*SCOPE, "graph_node_no", F.col("best").alias("winner_node_no")))
 
 
 @query
@@ -426,13 +426,31 @@ def merge_nodes(spark, sf_dir):
     return out.select(*SCOPE, "graph_node_no", "name", F.length("description").alias("description_length"), R.support(F.col("ref")).alias("support"), "deleted")
 
 
+def _near_edges(spark, sf_dir, n):
+    """Edges ``cites`` between nodes whose references name one document: from each node to the next by key."""
+    d = live(n).select(*SCOPE, "graph_node_no", "ref", F.explode(F.map_keys("ref")).alias("doc_no"))
+    after = d.withColumn("next", F.lead("graph_node_no").over(Window.partitionBy(*SCOPE, "doc_no").orderBy("graph_node_no"))).filter("next is not null and next <> graph_node_no")
+    one = after.groupBy(*SCOPE, "graph_node_no", "next").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_set("doc_no")), lambda x: F.struct(x, F.array(F.lit("1"))))).alias("ref"))
+    return Scratch(spark, "near").write(one.select(
+        *SCOPE, K.edge_no(F.col("graph_node_no"), F.lit("cites"), F.col("next")).alias("graph_edge_no"), F.col("graph_node_no").alias("source_node_no"), F.col("next").alias("target_node_no"), F.lit("cites").alias("name"),
+        F.concat(F.lit("from "), "graph_node_no").alias("description"), F.lit('{"confidence":"INFERRED"}').alias("properties"), "ref", F.lit(False).alias("deleted"),
+    ))
+
+
 @query
 def merge_edges_remap(spark, sf_dir):
+    """Live edges between nodes of one document once all merges are in force."""
     n = views.nodes(spark, sf_dir)
-    e = views.edges(spark, sf_dir, n)
-    # every second merge is in force, the others stay edges to be moved
-    groups = U.fusion_components(views.merge_pairs(spark, sf_dir).filter("b < a"))
-    return U.remapped_edges(e, groups).select(*SCOPE, "graph_edge_no", "source_node_no", "target_node_no", R.support(F.col("ref")).alias("support"), "folded")
+    out = U.remapped_edges(_near_edges(spark, sf_dir, n), _groups(spark, sf_dir, n))
+    return live(out).select(*SCOPE, "graph_edge_no", "source_node_no", "target_node_no", R.support(F.col("ref")).alias("support"), "folded")
+
+
+@query
+def merge_edges_dropped(spark, sf_dir):
+    """Edges that merges soft-delete: loops and those that fold into another."""
+    n = views.nodes(spark, sf_dir)
+    out = U.remapped_edges(_near_edges(spark, sf_dir, n), _groups(spark, sf_dir, n))
+    return out.filter("deleted").select(*SCOPE, "graph_edge_no", "source_node_no", "target_node_no", "description")
 
 
 def _aliases(spark, sf_dir):
@@ -461,17 +479,51 @@ def low_support_prune(spark, sf_dir):
     return U.low_support(n, views.edges(spark, sf_dir, n), min_support=Settings.prune_min_support).select(*SCOPE, "graph_node_no", R.support(F.col("ref")).alias("support"))
 
 
+def _undone(spark, sf_dir):
+    """(tables before, tables after merging all groups and undoing every merge)."""
+    scratch = Scratch(spark, "undone")
+    n = scratch.write(views.nodes(spark, sf_dir))
+    d = views.domain(n)
+    typed = L.with_domain(n.drop("class"), d)
+    e = _near_edges(spark, sf_dir, n)
+    own = live(n).filter("name is not null").groupBy(*SCOPE, F.concat(F.lit("~"), "name").alias("alias")).agg(F.min("graph_node_no").alias("canonical_node_no"))
+    a = own.select(*SCOPE, "canonical_node_no", "alias", F.lit("import").alias("source"))
+    m = U.apply_merges(typed, e, d, a, _groups(spark, sf_dir, n), batch="b")
+    log, nodes, edges = scratch.write(m.log), scratch.write(m.nodes), scratch.write(m.edges)
+    return m, U.undo_merges(nodes, edges, m.domain, m.aliases, log, scratch.write(m.images), log.select("merge_id"))
+
+
+def _ref_text(ref):
+    """References as text, documents and tokens in order."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(ref), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.array_sort(e["value"]), ",")))), ";")
+
+
 @query
-def rollback_identity(spark, sf_dir):
-    """Nodes that a merge of all groups and its undoing leave different: none."""
-    n = views.nodes(spark, sf_dir)
-    typed = L.with_domain(n.drop("class"), views.domain(n))
-    groups = _groups(spark, sf_dir, n)
-    log = U.merge_log_rows(typed, groups)
-    merged = U.merged_nodes(n, groups)
-    back, _ = U.rolled_back(merged, log, log.select("merge_id"))
-    look = lambda df, s: df.select(*SCOPE, "graph_node_no", F.sha2(F.to_json(F.struct("name", "description", "properties", "deleted", F.array_sort(F.map_keys("ref")))), 256).alias(s))
-    return look(n, "before").join(look(back, "after"), [*SCOPE, "graph_node_no"]).filter("before <> after").select(*SCOPE, "graph_node_no")
+def rollback_nodes(spark, sf_dir):
+    """Node rows once all merges are made and undone: as they were."""
+    out = _undone(spark, sf_dir)[1].nodes
+    return out.select(*SCOPE, "graph_node_no", "name", "description", "properties", _ref_text(F.col("ref")).alias("refs"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+
+
+@query
+def rollback_edges(spark, sf_dir):
+    """Edge rows once all merges are made and undone: as they were."""
+    out = _undone(spark, sf_dir)[1].edges
+    return out.select(*SCOPE, "graph_edge_no", "source_node_no", "target_node_no", "name", "description", "properties", _ref_text(F.col("ref")).alias("refs"), "deleted")
+
+
+@query
+def rollback_aliases(spark, sf_dir):
+    """Aliases once all merges are made and undone: those there were before."""
+    return _undone(spark, sf_dir)[1].aliases.select(*SCOPE, "canonical_node_no", "alias", "source")
+
+
+@query
+def rollback_domain(spark, sf_dir):
+    """Domain rows once all merges are made and undone, with how many were soft-deleted in between, a scope."""
+    m, back = _undone(spark, sf_dir)
+    lost = m.domain.filter("deleted").groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("lost"))
+    return back.domain.groupBy(*SCOPE, "type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("deleted").alias("deleted")).join(lost, SCOPE, "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
 
 
 # --- versions -----------------------------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions.keys import content_hash, new_graph_no, new_id, node_no, state_key
 from .functions.text import title
-from .model import BUILDING, MERGED, PRUNED, SCHEMAS, SCOPE, GraphScope, Settings, live
+from .model import BUILDING, EDGE, MERGED, NODE, PRUNED, SCHEMAS, SCOPE, GraphScope, Settings, live
 from .operators import extract as E
 from .operators import fusion as U
 from .operators import lookup as L
@@ -275,45 +275,59 @@ class Service:
     def resolve_all(self, graph_no: str, version: int | None = None, *, dry_run: bool = False, prune: bool = False) -> dict:
         """Merge what the clusterer ties together, with an undo log; optionally prune nodes of low support."""
         s, scratch = self.scope(graph_no, version), Scratch(self.spark, "resolve")
-        nodes = scratch.write(L.with_domain(self._mine("graph_node", graph_no, s.graph_version), self._mine("domain_entity", graph_no, s.graph_version)))
+        mine = lambda n: self._mine(n, graph_no, s.graph_version)
+        domain = scratch.write(mine("domain_entity"))
+        nodes = scratch.write(L.with_domain(mine("graph_node"), domain))
         pairs = scratch.write(U.cluster(U.fusion_candidates(nodes, limit=self.settings.candidate_topk, min_shared=1), nodes, self.clusterer))
         groups = scratch.write(U.fusion_components(pairs))
         lost = groups.filter(F.col("graph_node_no") != F.col("winner_node_no")).count()
         if dry_run:
             return {"merged": 0, "pending": lost}
-        edges = self._mine("graph_edge", graph_no, s.graph_version)
-        log = U.merge_log_rows(nodes, groups).withColumn("snapshot", F.to_json("snapshot"))
-        aliases = nodes.join(groups.filter(F.col("graph_node_no") != F.col("winner_node_no")), [*SCOPE, "graph_node_no"]).select(*SCOPE, F.col("winner_node_no").alias("canonical_node_no"), F.col("name").alias("alias"), F.lit("merge").alias("source"))
-        old_aliases = self._mine("entity_alias", graph_no, s.graph_version)
-        new_log = scratch.write(self._mine("merge_log", graph_no, s.graph_version).unionByName(log))
-        new_aliases = scratch.write(old_aliases.unionByName(U.added_aliases(old_aliases, aliases)))
-        merged = scratch.write(U.merged_nodes(nodes.drop("class", "entity_spec"), groups))
-        moved = scratch.write(U.remapped_edges(edges, groups).withColumns({"description": F.lit(None).cast("string"), "deleted": F.lit(False)}))
-        pruned = 0
+        m = U.apply_merges(nodes, scratch.write(mine("graph_edge")), domain, mine("entity_alias"), groups, batch=new_id("batch"))
+        merged, log, doomed = scratch.write(m.nodes), m.log, None
+        edges, domain = scratch.write(m.edges), scratch.write(m.domain)
         if prune:
-            doomed = scratch.write(U.low_support(merged, moved, min_support=self.settings.prune_min_support))
-            pruned = doomed.count()
+            doomed = scratch.write(L.with_domain(U.low_support(merged, edges, min_support=self.settings.prune_min_support), domain))
             merged, rows = U.pruned(merged, doomed)
-            new_log = new_log.unionByName(rows, allowMissingColumns=True)
-        for name, df in (("graph_node", merged), ("graph_edge", moved), ("entity_alias", new_aliases), ("merge_log", new_log)):
+            log, domain = log.unionByName(rows), U.domain_deleted(domain, doomed, True)
+        new_log = scratch.write(mine("merge_log").unionByName(log.withColumn("snapshot", F.to_json("snapshot"))))
+        tables = {"graph_node": merged, "graph_edge": edges, "domain_entity": domain, "entity_alias": m.aliases, "merge_log": new_log, "merge_edge": mine("merge_edge").unionByName(m.images, allowMissingColumns=True)}
+        written = {n: scratch.write(df) for n, df in tables.items()}
+        for name, df in written.items():
             self._swap(name, df, s.graph_no, s.graph_version)
         self.reindex(graph_no, s.graph_version)
-        return {"merged": lost, "pending": 0, "pruned": pruned}
+        return {"merged": lost, "pending": 0, "pruned": doomed.count() if doomed is not None else 0}
 
     def rollback_merge(self, merge_id: str, graph_no: str, version: int | None = None) -> None:
-        """Undo one merge: both nodes as they were; an absent or undone one is an error."""
-        s = self.scope(graph_no, version)
-        log = self._mine("merge_log", graph_no, s.graph_version)
+        """Undo one merge or pruning: nodes, edges, aliases and domain rows as they were, and their index rows; an absent
+        or undone one, or one whose winner is itself merged, is an error."""
+        s, scratch = self.scope(graph_no, version), Scratch(self.spark, "rollback")
+        mine = lambda n: self._mine(n, graph_no, s.graph_version)
+        log, nodes, edges = mine("merge_log"), mine("graph_node"), mine("graph_edge")
         asked = self.spark.createDataFrame([(merge_id,)], "merge_id string")
-        if not U.not_reversible(log, asked).isEmpty():
+        if not U.not_reversible(log, asked, nodes).isEmpty():
             raise ValueError(f"no merge to undo: {merge_id}")
-        side = "struct<graph_node_no:string,name:string,type:string,description:string,properties:string,ref:map<string,array<string>>,class:string,entity_spec:string>"
-        typed = log.withColumn("snapshot", F.from_json("snapshot", f"struct<winner:{side},loser:{side}>"))
-        nodes, marked = U.rolled_back(self._mine("graph_node", graph_no, s.graph_version), typed, asked)
-        scratch = Scratch(self.spark, "rollback")
-        nodes, marked = scratch.write(nodes), scratch.write(marked.withColumn("snapshot", F.to_json("snapshot")))
-        self._swap("graph_node", nodes, s.graph_no, s.graph_version)
-        self._swap("merge_log", marked, s.graph_no, s.graph_version)
+        typed = scratch.write(log.withColumn("snapshot", F.from_json("snapshot", U.SNAPSHOT)))
+        u = U.undo_merges(nodes, edges, mine("domain_entity"), mine("entity_alias"), typed, mine("merge_edge"), asked)
+        tables = {"graph_node": u.nodes, "graph_edge": u.edges, "domain_entity": u.domain, "entity_alias": u.aliases, "merge_log": u.log.withColumn("snapshot", F.to_json("snapshot"))}
+        written = {n: scratch.write(df) for n, df in tables.items()}
+        # what differs from before is indexed anew
+        row = typed.filter(F.col("merge_id") == merge_id)
+        ends = row.select(F.explode(F.array("winner_node_no", "loser_node_no")).alias("object_no")).withColumn("object_type", F.lit(NODE))
+        look = lambda df: df.select(*SCOPE, "graph_edge_no", F.to_json(F.struct("source_node_no", "target_node_no", "properties", "ref", F.coalesce("deleted", F.lit(False)).alias("deleted"))).alias("look"))
+        a, b = look(edges), look(written["graph_edge"])
+        moved = a.join(b, [*SCOPE, "graph_edge_no", "look"], "left_anti").unionByName(b.join(a, [*SCOPE, "graph_edge_no", "look"], "left_anti"))
+        keys = scratch.write(ends.unionByName(moved.select(F.col("graph_edge_no").alias("object_no"), F.lit(EDGE).alias("object_type"))).distinct())
+        for name, df in written.items():
+            self._swap(name, df, s.graph_no, s.graph_version)
+        self.reindex_objects(keys, graph_no, s.graph_version)
+
+    def reindex_objects(self, keys: DataFrame, graph_no: str, version: int | None = None) -> None:
+        """Index rows of single nodes and edges (object_type, object_no) written anew; dead ones are removed."""
+        s = self.scope(graph_no, version)
+        mine = lambda n: self._mine(n, graph_no, s.graph_version)
+        new = W.reindexed(mine("search_index"), keys, nodes=mine("graph_node"), edges=mine("graph_edge"), aliases=mine("entity_alias"), embed=embedder(self.dim))
+        self._swap("search_index", Scratch(self.spark, "reindex").write(new), s.graph_no, s.graph_version)
 
     def alias_of(self, entity: str, graph_no: str, version: int | None = None) -> list[str]:
         wanted = self.spark.createDataFrame([(entity,)], "wanted string")

@@ -1,4 +1,5 @@
 import json
+from dataclasses import fields
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from quillgraph.operators import fusion as U
 from quillgraph.operators import lookup as L
 from quillgraph.operators import store as W
 from quillgraph.operators import versions as V
+from quillgraph.session import Scratch
 
 G = ("g", 1)
 GROUPS = "graph_no string, graph_version bigint, graph_node_no string, winner_node_no string"
@@ -42,16 +44,83 @@ def test_merge_and_rollback(spark, people):
     assert w["Person:ada"]["name"] == "Ada Lovelace" and w["Person:ada"]["description"].startswith("the first")
     assert json.loads(w["Person:ada"]["properties"]) == {"office": "o", "born": 1815}
     assert w["Person:ada"]["ref"] == {"d1": ["1"], "d2": ["3"]} and w["Person:ada-lovelace"]["deleted"] and not w["Document:notes"]["deleted"]
-    back, marked = U.rolled_back(merged, log, log.select("merge_id"))
-    assert sorted(map(str, back.collect())) == sorted(map(str, people.collect()))
-    assert [r["status"] for r in marked.collect()] == ["ROLLED_BACK"]
-    assert U.not_reversible(marked, log.select("merge_id")).count() == 1 and U.not_reversible(log, log.select("merge_id")).count() == 0
+    none = [spark.createDataFrame([], SCHEMAS[n]) for n in ("graph_edge", "domain_entity", "entity_alias", "merge_edge")]
+    u = U.undo_merges(merged, *none[:3], log, none[3], log.select("merge_id"))
+    assert sorted(map(str, u.nodes.collect())) == sorted(map(str, people.collect()))
+    assert [r["status"] for r in u.log.collect()] == ["ROLLED_BACK"]
+    assert U.not_reversible(u.log, log.select("merge_id")).count() == 1 and U.not_reversible(log, log.select("merge_id")).count() == 0
+    assert U.not_reversible(log, log.select("merge_id"), people.filter("graph_node_no <> 'Person:ada'")).count() == 1
+
+
+def _cut(spark, m):
+    """The tables written, so that plans over them stay short."""
+    scratch = Scratch(spark, "cut")
+    return U.Fused(*[scratch.write(getattr(m, f.name)) for f in fields(m)])
+
+
+def _rows(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+def test_merges_keep_what_they_do_not_touch_and_come_undone_one_by_one(spark):
+    n = nodes(spark, *[(k, k.upper(), f"the {k}", f'{{"{k}":1}}', {f"d{k}": ["1"]}, False) for k in "abcxyz"])
+    e = edges(
+        spark, ("a", "owns", "x", '{"p":1}', {"d": ["1"]}), ("b", "owns", "x", '{"p":2,"q":3}', {"d": ["2"]}), ("c", "owns", "x", "{}", {"e": ["5"]}), ("c", "near", "y", "{}", {}), ("a", "knows", "b", "{}", {}),
+        ("b", "knows", "c", "{}", {"k": ["1"]}), ("x", "near", "y", "{}", {}), ("a", "near", "z", "{}", {}),
+    ).withColumn("description", F.concat(F.lit("says "), "source_node_no"))
+    dead = e.filter("source_node_no = 'a' and name = 'near'").withColumns({"deleted": F.lit(True), "target_node_no": F.lit("y"), "graph_edge_no": edge_no(F.lit("a"), F.lit("near"), F.lit("y"))})
+    e = e.unionByName(dead)
+    d = spark.createDataFrame([(*G, k, k, "Asset", "Artifact", "{}", False) for k in "abc"], SCHEMAS["domain_entity"])
+    a = spark.createDataFrame([(*G, "a", "Old", "import"), (*G, "z", "C", "import")], SCHEMAS["entity_alias"])
+    groups = spark.createDataFrame([(*G, k, "a") for k in "abc"], GROUPS)
+    m = U.apply_merges(L.with_domain(n, d), e, d, a, groups, batch="b1")
+    m = _cut(spark, m)
+    now = {(r["source_node_no"], r["name"], r["target_node_no"]): r for r in live_rows(m.edges)}
+    assert set(now) == {("a", "owns", "x"), ("a", "near", "y"), ("x", "near", "y"), ("a", "near", "z")}
+    assert now["a", "owns", "x"]["description"] == "says a" and now["x", "near", "y"]["description"] == "says x" and now["a", "near", "y"]["description"] == "says c"
+    assert json.loads(now["a", "owns", "x"]["properties"]) == {"p": 1, "q": 3} and now["a", "owns", "x"]["ref"] == {"d": ["1", "2"], "e": ["5"]}
+    assert m.edges.count() == e.count() - 1  # the dead edge gave way to the one that took its key
+    assert {r["graph_node_no"] for r in m.domain.filter("deleted").collect()} == {"b", "c"}
+    assert {(r["canonical_node_no"], r["alias"]) for r in m.aliases.collect()} == {("a", "Old"), ("z", "C"), ("a", "B")}
+    # undo one of the two: the other stays in force
+    first = m.log.filter("loser_node_no = 'c'").select("merge_id")
+    u = _cut(spark, U.undo_merges(m.nodes, m.edges, m.domain, m.aliases, m.log, m.images, first))
+    only = U.apply_merges(L.with_domain(n, d), e, d, a, groups.filter("graph_node_no <> 'c'"), batch="b1")
+    assert _rows(u.nodes) == _rows(only.nodes) and _rows(u.edges) == _rows(only.edges) and _rows(u.domain) == _rows(only.domain) and _rows(u.aliases) == _rows(only.aliases)
+    # and the other one, too: everything as it was
+    v = _cut(spark, U.undo_merges(u.nodes, u.edges, u.domain, u.aliases, u.log, u.images, m.log.filter("loser_node_no = 'b'").select("merge_id")))
+    assert _rows(v.nodes) == _rows(n) and _rows(v.edges) == _rows(e) and _rows(v.domain) == _rows(d) and _rows(v.aliases) == _rows(a)
+    assert {r["status"] for r in v.log.collect()} == {"ROLLED_BACK"}
+
+
+def test_what_was_written_to_a_moved_edge_since_the_merge_stays(spark):
+    n = nodes(spark, *[(k, k, None, "{}", {}, False) for k in "abx"])
+    e = edges(spark, ("b", "owns", "x", "{}", {"d": ["1"]}))
+    none = [spark.createDataFrame([], SCHEMAS[t]) for t in ("domain_entity", "entity_alias")]
+    m = U.apply_merges(L.with_domain(n, none[0]), e, *none, spark.createDataFrame([(*G, "a", "a"), (*G, "b", "a")], GROUPS), batch="b")
+    later = m.edges.withColumn("properties", F.lit('{"new":1}'))
+    u = U.undo_merges(m.nodes, later, m.domain, m.aliases, m.log, m.images, m.log.select("merge_id"))
+    (row,) = u.edges.collect()
+    assert (row["source_node_no"], row["properties"], row["graph_edge_no"]) == ("b", '{"new":1}', e.first()["graph_edge_no"])
+
+
+def test_pruning_comes_undone(spark):
+    n = nodes(spark, ("orphan", "o", "text", '{"p":1}', {"d1": ["1"]}, False), ("kept", "p", None, "{}", {"d1": ["1"], "d2": ["1"]}, False))
+    none = {t: spark.createDataFrame([], SCHEMAS[t]) for t in ("graph_edge", "domain_entity", "entity_alias", "merge_edge")}
+    d = spark.createDataFrame([(*G, "orphan", "o", "Event", None, "{}", True)], SCHEMAS["domain_entity"])
+    after, log = U.pruned(n, U.low_support(n, none["graph_edge"]))
+    u = U.undo_merges(after, none["graph_edge"], d, none["entity_alias"], log, none["merge_edge"], log.select("merge_id"))
+    assert _rows(u.nodes) == _rows(n) and not u.domain.first()["deleted"]
+
+
+def live_rows(df):
+    return df.filter("not deleted").collect()
 
 
 def test_edges_move_fold_and_lose_loops(spark):
     e = edges(spark, ("a", "authored", "n", '{"confidence":"EXTRACTED"}', {"d": ["1"]}), ("b", "authored", "n", "{}", {"d": ["9"]}), ("a", "knows", "b", "{}", {}), ("b", "cites", "m", "{}", {"x": ["1"]}))
     groups = spark.createDataFrame([(*G, "a", "a"), (*G, "b", "a")], GROUPS)
-    got = {(r["source_node_no"], r["name"], r["target_node_no"]): r for r in U.remapped_edges(e, groups).collect()}
+    got = {(r["source_node_no"], r["name"], r["target_node_no"]): r for r in live_rows(U.remapped_edges(e, groups))}
     assert set(got) == {("a", "authored", "n"), ("a", "cites", "m")}
     assert got["a", "authored", "n"]["ref"] == {"d": ["1", "9"]} and got["a", "authored", "n"]["folded"] == 1
     assert json.loads(got["a", "authored", "n"]["properties"]) == {"confidence": "EXTRACTED"}
