@@ -1,36 +1,38 @@
 """The k most similar vectors of every vector, from balanced posting lists.
 
-Centroids are fitted on a bounded sample and searched through a neighbour graph held in memory. Every vector is posted
-to its nearest centroid and, when it lies near a border, to the further ones whose distance is within a ratio of the
-nearest; a query reads the lists selected by the same kind of ratio. Lists longer than a bound are split and read in
-parts, so no task holds more than MAX_LIST postings and MAX_LIST queries whatever a cluster holds. Equal directions
-are searched once and share the answer.
+Centroids are fitted on a bounded sample, heavy clusters split by further centroids, and searched through a neighbour
+graph held in memory. Every vector is posted to its nearest centroid and, when it lies near a border, to a further one
+whose distance is within a ratio of the nearest; a query reads the lists selected by the same kind of ratio. A vector
+goes through one exchange, once for every list it is posted to or asks. Lists whose share of the sample says that they
+are long are dealt to parts and read part by part. Equal directions are searched once and share the answer.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-#: Vectors the centroids are fitted on, at most; every vector is indexed.
-FIT_ROWS = 20_000
-#: Vectors a list aims at, and the greatest number of lists (bounds what is broadcast: 8192 x dim x 8 bytes).
-LIST_ROWS, MAX_LISTS = 256, 8192
+#: Vectors the centroids are fitted on: so many a list within these bounds, taken by a hash of the id; every vector is indexed.
+FIT_A_LIST, FIT_LEAST, FIT_MOST = 16, 20_000, 65_536
+#: Vectors a list aims at, and the greatest number of lists (bounds what is broadcast: 32,768 x dim x 4 bytes and the links).
+LIST_ROWS, MAX_LISTS = 256, 32_768
+#: Clusters of more than this many times the mean are split by further centroids.
+HEAVY = 2.0
 #: Postings and queries worked on together.
 MAX_LIST = 4096
 #: Replicas and probes: the ratio to the nearest centroid's distance and the most lists.
-POST_RATIO, POST_LISTS = 1.10, 4
-PROBE_RATIO, PROBE_LISTS = 1.35, 16
+POST_RATIO, POST_LISTS = 1.10, 2
+PROBE_RATIO, PROBE_LISTS = 1.20, 4
+#: Ids that are broadcast; more are joined by an exchange.
+BROADCAST_IDS = 1_000_000
 #: Beam and degree of the centroid graph.
-BEAM, DEGREE = 32, 16
+BEAM, DEGREE = 16, 16
 
 
 class CentroidGraph:
@@ -85,152 +87,240 @@ class CentroidGraph:
         return beam, score
 
 
-def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Spherical k-means; clusters that run empty restart at the points worst served."""
-    rng = np.random.default_rng(seed)
-    x = sample.astype(np.float32)
-    c = x[rng.permutation(len(x))[:k]].copy()
-    for _ in range(rounds):
-        label, fit = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+def _means(x: np.ndarray, c: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, label of every row) of spherical k-means; clusters that run empty restart at the rows worst served."""
+    label, fit = np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
+    for number in range(rounds + 1):
         for at in range(0, len(x), 4096):
             s = x[at : at + 4096] @ c.T
             label[at : at + 4096] = s.argmax(1)
             fit[at : at + 4096] = s.max(1)
+        if number == rounds:
+            return c, label
         order = np.argsort(label, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) > 0]))
-        sums = np.add.reduceat(x[order], heads, axis=0)
-        c[label[order][heads]] = sums
-        empty = np.setdiff1d(np.arange(k), label)
+        c = c.copy()
+        c[label[order][heads]] = np.add.reduceat(x[order], heads, axis=0)
+        empty = np.setdiff1d(np.arange(len(c)), label)
         c[empty] = x[np.argsort(fit)[: len(empty)]]
         norm = np.linalg.norm(c, axis=1, keepdims=True)
-        c = np.where(norm > 0, c / np.maximum(norm, 1e-12), x[:1])
-    return c
+        c = np.where(norm > 0, c / np.maximum(norm, 1e-12), x[:1]).astype(np.float32)
+    raise AssertionError
 
 
-def unit_vectors(rows: DataFrame, *, dim: int, id_col: str, vector: str) -> DataFrame:
-    """(id, direction, unit) of rows with ``dim`` finite numbers that are not all zero; direction is a digest of the
-    unit vector rounded to nine digits, so that vectors that differ in length only share it."""
+def fit_centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
+    """About k centroids in balance: k-means in two layers (as many clusters as lists of each), then every cluster that holds more than
+    HEAVY times the mean is split in two until none does or its rows are alike."""
+    rng = np.random.default_rng(seed)
+    x = sample.astype(np.float32)
+    k = min(k, len(x))
+    if k <= 1024:
+        c, label = _means(x, x[rng.permutation(len(x))[:k]], rounds)
+        groups = [np.flatnonzero(label == i) for i in range(k)]
+    else:
+        coarse = int(np.sqrt(k))
+        _, label = _means(x, x[rng.permutation(len(x))[:coarse]], rounds)
+        groups = []
+        for i in range(coarse):
+            own = np.flatnonzero(label == i)
+            part = max(1, round(k * len(own) / len(x)))
+            if len(own):
+                _, inner = _means(x[own], x[own][rng.permutation(len(own))[:part]], rounds)
+                groups += [own[inner == j] for j in range(min(part, len(own)))]
+    most = max(2, HEAVY * len(x) / k)
+    done: list[np.ndarray] = []
+    while groups:
+        own = groups.pop()
+        if len(own) > most:
+            _, half = _means(x[own], x[own][rng.permutation(len(own))[:2]], 4)
+            if 0 < half.sum() < len(own):
+                groups += [own[half == 0], own[half == 1]]
+                continue
+        if len(own):
+            done.append(own)
+    c = np.stack([x[own].mean(axis=0) for own in done])
+    norm = np.linalg.norm(c, axis=1, keepdims=True)
+    return np.where(norm > 0, c / np.maximum(norm, 1e-12), x[:1]).astype(np.float32)
+
+
+def choose_lists(graph: CentroidGraph, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, role) of unit vectors; role 1 is posted to the list, 2 asks it, 3 both."""
+    near, score = graph.search(units)
+    far = np.sqrt(np.maximum(2 - 2 * score, 0))
+    reach, place = far[:, :1], np.arange(far.shape[1])
+    post = (far <= reach * POST_RATIO + 1e-6) & (place < POST_LISTS)
+    probe = (far <= reach * PROBE_RATIO + 1e-6) & (place < PROBE_LISTS)
+    role = np.where(score > -5, post + 2 * probe.astype(np.int8), 0)
+    r, c = np.nonzero(role)
+    return r, near[r, c].astype(np.int64), role[r, c].astype(np.int8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            with np.errstate(all="ignore"):
-                peak = np.abs(m).max(axis=1)
-                scaled = m / np.where(peak > 0, peak, 1)[:, None]
-                norm = np.linalg.norm(scaled, axis=1)
-                ok = np.isfinite(norm) & (norm > 0)
-                unit = scaled[ok] / norm[ok][:, None]
-            keys = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in np.round(unit, 9) + 0.0]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in unit], pa.binary())], names=["id", "direction", "unit"])
 
+_MIX = np.random.default_rng(11).integers(0, 1 << 63, size=(2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _usable(rows: DataFrame, dim: int, id_col: str, vector: str) -> DataFrame:
     usable = rows.filter(f"{id_col} is not null and size({vector}) = {dim} and not exists({vector}, x -> x is null)")
-    return usable.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "id bigint, direction binary, unit binary")
+    return usable.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is not among the written ids; these are few as a rule, and then the rows need no exchange."""
+    return rows.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "id", "left_anti")
+
+
+def _units(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """(ids, unit vectors) of the rows whose numbers are finite and not all zero."""
+    m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    with np.errstate(all="ignore"):
+        peak = np.abs(m).max(axis=1) if len(m) else np.zeros(0)
+        scaled = m / np.where(peak > 0, peak, 1)[:, None]
+        norm = np.linalg.norm(scaled, axis=1)
+        ok = np.isfinite(norm) & (norm > 0)
+        return batch.column(0).filter(pa.array(ok)), scaled[ok] / norm[ok][:, None]
+
 
+def _binary(m: np.ndarray) -> pa.Array:
+    """One binary value a row of a float32 matrix, without a loop."""
+    m = np.ascontiguousarray(m, dtype=np.float32)
+    offsets = (np.arange(len(m) + 1) * m.shape[1] * 4).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m)])
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    parts = whole.chunks if isinstance(whole, pa.ChunkedArray) else [whole]
+    return np.concatenate([np.zeros((0, dim), np.float32), *[np.frombuffer(b"".join(p.to_pylist()), np.float32).reshape(-1, dim) for p in parts]])
+
+
+def score_list(ids: np.ndarray, role: np.ndarray, units: np.ndarray, *, k: int, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, cosine) of the first k postings for every asker of a list; repeated rows count once."""
+    _, first = np.unique(ids * 4 + role, return_index=True)
+    ids, role, units = ids[first], role[first], units[first]
+    posted, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    pv, pid = units[posted], ids[posted]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(asks) if len(posted) else 0, 1024):
+        qv, qid = units[asks[at : at + 1024]], ids[asks[at : at + 1024]]
+        s = qv @ pv.T
+        s[qid[:, None] == pid[None, :]] = -9
+        # everything that rounding could put among the first k is looked at again in double precision
+        kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -5, np.float32)
+        r, c = np.nonzero(s >= np.maximum(kth - 1e-5, max(min_score - 1e-5, -5))[:, None])
+        exact = np.round(np.einsum("nd,nd->n", qv[r].astype(np.float64), pv[c].astype(np.float64)), 7)
+        hit = exact >= min_score
+        r, c, exact = r[hit], c[hit], exact[hit]
+        order = np.lexsort((pid[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        kept = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+        out.append((qid[r[kept]], pid[c[kept]], exact[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
 def nearest(rows: DataFrame, *, k: int = 5, dim: int = 64, min_score: float = -1.0, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, neighbour, score, rank) of the k most similar others of every usable row, by cosine.
 
-    Only neighbours of at least ``min_score`` are returned. Equal cosines (to nine digits) go to the smaller id. Null,
+    Only neighbours of at least ``min_score`` are returned. Equal cosines (to seven digits) go to the smaller id. Null,
     empty, all-zero, non-finite and wrong-sized vectors are neither queries nor neighbours; copies and scaled copies
-    are neighbours of cosine 1; ids are taken to be distinct and repeated rows count once; an empty table gives an
-    empty result.
+    (to nine digits of the unit vector) are neighbours of cosine 1; ids are taken to be distinct and repeated rows count
+    once; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "neighbours")
-    units = scratch.write(unit_vectors(rows, dim=dim, id_col=id_col, vector=vector))
-    light = units.select("direction", "id").distinct()
-    # The partial limit before the exchange keeps k + 1 rows a direction and partition, however many copies there are.
-    copies = light.withColumn("r", F.row_number().over(Window.partitionBy("direction").orderBy("id"))).filter(F.col("r") <= k + 1)
-    leaders = light.groupBy("direction").agg(F.min("id").alias("lead"))
-    leaders = scratch.write(leaders)
-    vectors = scratch.write(units.join(leaders.select(F.col("lead").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "unit"))
-    total = vectors.count()
+    source = _usable(rows, dim, id_col, vector)
+
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, unit = _units(batch, dim)
+            whole = np.round(unit * 1e9).astype(np.int64).view(np.uint64)
+            h = [np.zeros(len(whole), np.uint64) for _ in range(2)]
+            for j in range(dim):
+                for i in range(2):
+                    h[i] = (h[i] ^ (whole[:, j] * _MIX[i, j % 4096])) * np.uint64(0x9E3779B97F4A7C15)
+                    h[i] ^= h[i] >> np.uint64(29)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in h)], names=["id", "d1", "d2"])
+
+    light = scratch.write(source.mapInArrow(directions, "id bigint, d1 bigint, d2 bigint")).distinct()
+    sets = light.groupBy("d1", "d2").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
+    total = sets.count()
     empty = spark.createDataFrame([], "id bigint, neighbour bigint, score double, rank int")
     if not total:
         return empty
-    sample = _matrix(pd.Series([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("unit").collect()]))
-    lists = int(min(MAX_LISTS, max(1, -(-total // LIST_ROWS)), len(sample)))
-    graph = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(sample, lists)))
+    # rows that share their direction with a smaller id; few as a rule, so the vectors need no exchange for this
+    copies = scratch.write(light.join(sets.filter("n > 1"), ["d1", "d2"]).select("lead", "id"))
+    leaders = _without(source, copies.filter("id <> lead").select("id"))
+    lists = int(min(MAX_LISTS, max(1, -(-total // LIST_ROWS))))
+    wanted = int(min(FIT_MOST, max(FIT_LEAST, FIT_A_LIST * lists)))
+    bound = F.lit(min(wanted, total) * (2**63 - 1) // total)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = graph.value
+    def as_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048]
-                near, score = g.search(_matrix(part["unit"]).astype(np.float32))
-                far = np.sqrt(np.maximum(2 - 2 * score, 0))
-                reach = far[:, :1]
-                post = (far <= reach * POST_RATIO + 1e-6) & (np.arange(far.shape[1]) < POST_LISTS)
-                probe = (far <= reach * PROBE_RATIO + 1e-6) & (np.arange(far.shape[1]) < PROBE_LISTS)
-                for role, chosen in ((0, post), (1, probe)):
-                    r, c = np.nonzero(chosen & (score > -5))
-                    yield pd.DataFrame({"list": near[r, c].astype(np.int32), "role": np.int8(role), "id": part["id"].to_numpy()[r], "unit": part["unit"].to_numpy()[r]})
-
-    entries = scratch.write(vectors.mapInPandas(assign, "list int, role byte, id bigint, unit binary"))
-    # At most MAX_LISTS rows, so this broadcast is bounded whatever the collection's size.
-    sizes = entries.groupBy("list").agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("role") == 0) / MAX_LIST)).cast("int").alias("parts"),
-        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("role") == 1) / MAX_LIST)).cast("int").alias("blocks"),
-    )
-    spread = entries.join(F.broadcast(sizes), "list")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    spread = (
-        spread.withColumn("part", F.explode(F.when(F.col("role") == 0, F.array(own("parts"))).otherwise(every("parts"))))
-        .withColumn("block", F.explode(F.when(F.col("role") == 1, F.array(own("blocks"))).otherwise(every("blocks"))))
-    )
-
-    def score_list(rows: pd.DataFrame) -> pd.DataFrame:
-        posts, asks = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        if not len(posts) or not len(asks):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "score": np.zeros(0)})
-        pv, pid = _matrix(posts["unit"]), posts["id"].to_numpy()
-        pv32 = pv.astype(np.float32)
-        qv_all, qid_all = _matrix(asks["unit"]), asks["id"].to_numpy()
-        out = []
-        for at in range(0, len(qid_all), 1024):
-            qv, qid = qv_all[at : at + 1024], qid_all[at : at + 1024]
-            s = qv.astype(np.float32) @ pv32.T
-            s[qid[:, None] == pid[None, :]] = -9
-            # everything that rounding could put among the first k is looked at again in double precision
-            kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -5, np.float32)
-            r, c = np.nonzero(s >= np.maximum(kth - 1e-5, max(min_score - 1e-5, -5))[:, None])
-            exact = np.round(np.einsum("nd,nd->n", qv[r], pv[c]), 9)
-            hit = exact >= min_score
-            r, c, exact = r[hit], c[hit], exact[hit]
-            order = np.lexsort((pid[c], -exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r, "left")
-            first = place < k
-            out.append(pd.DataFrame({"id": qid[r[first]], "other": pid[c[first]], "score": exact[first]}))
-        return pd.concat(out)
-
-    found = spread.groupBy("list", "part", "block").applyInPandas(score_list, "id bigint, other bigint, score double").distinct()
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= k).drop("r")
-    # Copies: each leader's answer over its own copies and those of its neighbours, k + 1 entries to leave itself out.
-    members = copies.join(leaders, "direction").select("lead", F.col("id").alias("neighbour"))
-    same = members.select("lead", "neighbour", F.lit(1.0).alias("score"))
-    others = best.select(F.col("id").alias("asker"), F.col("other").alias("lead"), "score").join(members, "lead").select(F.col("asker").alias("lead"), "neighbour", "score")
-    answer = same.unionByName(others).withColumn("r", F.row_number().over(Window.partitionBy("lead").orderBy(F.desc("score"), "neighbour"))).filter(F.col("r") <= k + 1)
-    answer = answer.groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("r", "neighbour", "score"))).alias("list"))
-    each = light.join(leaders, "direction").join(answer, "lead")
-    kept = each.select("id", F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("list"))
-    return (
-        kept.select("id", F.posexplode("list").alias("at", "x"))
-        .select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.score").alias("score"), (F.col("at") + 1).cast("int").alias("rank"))
-        .filter(F.col("score") >= min_score)
-    )
+            ids, unit = _units(batch, dim)
+            yield pa.RecordBatch.from_arrays([ids, _binary(unit)], names=["id", "unit"])
+
+    drawn = leaders.filter(F.xxhash64("id").bitwiseAND(F.lit(2**63 - 1)) <= bound).mapInArrow(as_units, "id bigint, unit binary").toArrow()
+    ids, sample = drawn.column("id").to_numpy(), _matrix(drawn.column("unit"), dim)
+    sample = sample[np.argsort(ids, kind="stable")]
+    if not len(sample):  # so few vectors that the hash drew none
+        drawn = leaders.orderBy("id").limit(1).mapInArrow(as_units, "id bigint, unit binary").toArrow()
+        sample = _matrix(drawn.column("unit"), dim)
+    graph = CentroidGraph(fit_centroids(sample, lists))
+    # what the sample's lists hold, scaled up, says how many parts a list is dealt to
+    _, where, role = choose_lists(graph, sample)
+    scale = total / len(sample) / MAX_LIST
+    parts, blocks = (np.maximum(1, np.ceil(np.bincount(where[role & bit > 0], minlength=len(graph.c)) * scale)).astype(np.int64) for bit in (1, 2))
+    base = np.concatenate([[0], np.cumsum(parts * blocks)])
+    shared = spark.sparkContext.broadcast((graph, parts, blocks, base))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, parts, blocks, base = shared.value
+        for batch in batches:
+            ids, unit = _units(batch, dim)
+            unit, number = unit.astype(np.float32), ids.to_numpy()
+            for at in range(0, len(unit), 2048):
+                r, where, role = choose_lists(graph, unit[at : at + 2048])
+                own = (number[at : at + 2048][r].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                p, b = (own % parts[where].astype(np.uint64)).astype(np.int64), (own % blocks[where].astype(np.uint64)).astype(np.int64)
+                # a posting lies in its part, for every block of askers; an asker in its block, for every part
+                spread = parts[where] * blocks[where]
+                i = np.repeat(np.arange(len(r)), spread)
+                cell = np.arange(len(i)) - np.repeat(np.cumsum(spread) - spread, spread)
+                there = np.where(cell // blocks[where[i]] == p[i], 1, 0) | np.where(cell % blocks[where[i]] == b[i], 2, 0)
+                there &= role[i]
+                hit = np.flatnonzero(there)
+                i, cell, there = i[hit], cell[hit] + base[where[i[hit]]], there[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(number[at : at + 2048][r[i]] * 4 + there), _binary(unit[at : at + 2048][r[i]])], names=["cell", "who", "unit"])
+
+    def score(table: pa.Table) -> pa.Table:
+        who = table.column("who").to_numpy()
+        out = score_list(who >> 2, (who & 3).astype(np.int8), _matrix(table.column("unit"), dim), k=k, min_score=min_score)
+        return pa.table([pa.array(x) for x in out], names=["id", "other", "score"])
+
+    found = leaders.mapInArrow(assign, "cell bigint, who bigint, unit binary").groupBy("cell").applyInArrow(score, "id bigint, other bigint, score double")
+    # A neighbour stands for its copies, of which the first k + 1 can be wanted; the limit works before the exchange, too.
+    first = copies.withColumn("r", F.row_number().over(Window.partitionBy("lead").orderBy("id"))).filter(F.col("r") <= k + 1)
+    sets_ = scratch.write(first.groupBy("lead").agg(F.sort_array(F.collect_list("id")).alias("members")))
+    members = F.explode(F.coalesce("members", F.array("stands"))).alias("neighbour")
+    others = found.select(F.col("id").alias("asker"), F.col("other").alias("stands"), "score").join(sets_.withColumnRenamed("lead", "stands"), "stands", "left").select(F.col("asker").alias("lead"), members, "score")
+    same = first.select("lead", F.col("id").alias("neighbour"), F.lit(1.0).alias("score"))
+    # one exchange by the asker serves the removal of repeats and the ranking
+    answer = others.unionByName(same).repartition("lead").groupBy("lead", "neighbour").agg(F.max("score").alias("score"))
+    answer = scratch.write(answer.withColumn("r", F.row_number().over(Window.partitionBy("lead").orderBy(F.desc("score"), "neighbour"))).filter(F.col("r") <= k + 1))
+    many = answer.join(copies.select("lead", "id"), "lead").filter("id <> neighbour")
+    many = many.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("r"))).select("id", "neighbour", "score", "r")
+    single = answer.join(sets_.select("lead"), "lead", "left_anti").select(F.col("lead").alias("id"), "neighbour", "score", "r")
+    return single.unionByName(many).filter((F.col("r") <= k) & (F.col("score") >= min_score)).withColumnRenamed("r", "rank")
 
 
 def latest_entries(index: DataFrame) -> DataFrame:
-    """(id, embedding) of the latest row of every object; equal times go to the greater id."""
+    """(id, embedding) of the latest row of every object; equal times go to the greater id.
+
+    What is exchanged are keys and times; the rows that are outdated are removed from the table by their ids.
+    """
     keys = ["graph_no", "graph_version", "object_type", "object_no"]
-    last = index.groupBy(*keys).agg(F.max(F.struct("updated_at", "id")).alias("x")).select(F.col("x.id").alias("id"))
-    return index.select("id", "embedding").join(last, "id", "left_semi")
+    last = index.groupBy(*keys).agg(F.max(F.struct("updated_at", "id")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    stale = index.select(*keys, "id").join(last.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("x.id").alias("last")), same).filter("id <> last").select("id")
+    return _without(index.select("id", "embedding"), Scratch(index.sparkSession, "stale").write(stale))
 
 
 def similar_pairs(index: DataFrame, *, k: int = 5, min_score: float = 0.85) -> DataFrame:

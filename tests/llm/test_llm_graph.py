@@ -6,6 +6,7 @@ import pytest
 
 from quillgraph.llm.components import connected_groups, merge_groups
 from quillgraph.llm.names import body_match, evidence, judge, lcs_ratio, person_match, same_doing, same_entity_pairs
+from quillgraph.llm import neighbours as N
 from quillgraph.llm.neighbours import CentroidGraph, fit_centroids, nearest, similar_pairs
 from quillgraph.llm.survivors import is_stand_in, surviving_values
 
@@ -94,6 +95,24 @@ def test_neighbours_against_brute_force(spark):
     assert nearest(index.limit(0)).count() == 0
 
 
+def test_long_lists_are_read_in_parts_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    m = np.repeat(rng.normal(size=(30, 16)), 10, axis=0) + rng.normal(size=(300, 16)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, embedding array<double>")
+    monkeypatch.setattr(N, "MAX_LIST", 40)
+    monkeypatch.setattr(N, "LIST_ROWS", 1000)
+    got = {(min(r["id"], r["neighbour"]), max(r["id"], r["neighbour"])) for r in nearest(df.unionByName(df.limit(3)), dim=16, min_score=0.85).collect()}
+    assert got == brute(list(range(300)), m, 5, 0.85)
+
+
+def test_heavy_clusters_are_split():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(1800, 16)) * 0.05 + 1, rng.normal(size=(200, 16))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    held = np.bincount((x @ fit_centroids(x, 40).T).argmax(1))
+    assert held.max() <= 4 * 2000 / 40
+
+
 def test_centroid_graph_finds_the_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
