@@ -54,13 +54,13 @@ def merge_props(winner: Column, loser: Column) -> Column:
     return F.to_json(F.map_concat(w, extra))
 
 
-def fold_properties(rows: DataFrame, keys: list[str], order: Column, *, properties: str = "properties") -> DataFrame:
-    """(keys, properties): one JSON object a group with, for every top-level key, the value of the row of least ``order``.
+def fold_properties(rows: DataFrame, keys: list[str], order: Column, *, properties: str = "properties", last: bool = False) -> DataFrame:
+    """(keys, properties): one JSON object a group with, for every top-level key, the value of the row of least (``last``: greatest) ``order``.
 
     One value a property and group travels, however many rows a group has.
     """
     bag = rows.select(*keys, order.alias("__o"), F.explode(F.map_entries(prop_entries(F.col(properties)))).alias("e"))
-    best = bag.groupBy(*keys, F.col("e.key").alias("k")).agg(F.min_by(F.to_json("e.value"), "__o").alias("v"))
+    best = bag.groupBy(*keys, F.col("e.key").alias("k")).agg((F.max_by if last else F.min_by)(F.to_json("e.value"), "__o").alias("v"))
     entries = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("es"))
     return entries.select(*keys, F.to_json(F.map_from_entries(F.transform("es", lambda e: F.struct(e["k"].alias("key"), F.parse_json(e["v"]).alias("value"))))).alias("properties"))
 

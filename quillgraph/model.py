@@ -58,7 +58,7 @@ def init_store(spark: SparkSession, root: str) -> list[str]:
     for name in SCHEMAS:
         path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
         if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            empty(spark, name).write.parquet(f"{root}/{name}")
+            empty(spark, name).write.parquet(f"{root}/{name}/{0:012d}-000000")
             made.append(name)
     return made
 
@@ -100,6 +100,15 @@ class Settings:
     retry_delay_seconds: int = 5
     embedding_batch: int = 10
     evidence_window: int = 0
+    graph_no: str = "default"
+    graph_version: int = 1
+    source_dir: str = "./data"
+    embed_dim: int = 64
+    index_backend: str = "table"
+    prune_enabled: bool = False
+    poll_seconds: float = 2.0
+    code_langs: str = "python,go"
+    code_cache_dir: str = ""
 
     @classmethod
     def from_env(cls, prefix: str = "QUILLGRAPH_") -> Settings:
@@ -107,10 +116,23 @@ class Settings:
         for f in fields(cls):
             raw = os.environ.get(prefix + f.name.upper())
             if raw is not None:
-                given[f.name] = type(f.default)(raw)
+                given[f.name] = raw.strip().lower() in ("1", "true", "yes") if isinstance(f.default, bool) else type(f.default)(raw)
         return replace(cls(), **given)
 
 
+#: What each class and archetype means, for prompts.
+_MEANINGS = {
+    "Asset": "a thing; it needs an archetype", "Relation": "a relation that stands as a node of its own, not an edge", "Event": "something that happened once, with its trigger or outcome", "Behavior": "a rule of the form when, if, do",
+    "Mission": "why it is done: aim, intent", "Solution": "how it is done: plan, design", "Implementation": "what was made: code, document, configuration", "ServiceInstance": "what runs: a deployed service or endpoint", "Artifact": "any other product",
+}
+
+
+def ontology_block() -> str:
+    """The closed vocabularies as a part of an extraction prompt."""
+    line = lambda n: f"- {n}: {_MEANINGS[n]}"
+    return "\n".join(["## Classes (type is one of these)", *map(line, METATYPES), "", "## Archetypes (entity_spec, of an Asset only)", *map(line, ARCHETYPES), "", f"## Confidence of an edge: {', '.join(CONFIDENCES)}", "Other classes have no entity_spec."])
+
+
 def live(df: DataFrame) -> DataFrame:
     """Rows that are not soft-deleted."""
     return df.filter(~F.coalesce("deleted", F.lit(False)))

@@ -14,6 +14,8 @@ from ..functions.keys import edge_no, node_no
 from ..session import Scratch
 
 REPOSITORY = "repo"
+#: Languages and the suffix of their files.
+SUFFIXES = {"python": ".py", "go": ".go"}
 SKIPPED_DIRS = ("node_modules", "__pycache__", "venv", "build", "dist", "vendor", "testdata")
 _SYMBOLS = "path string, package string, kind string, name string, line int, line_end int, signature string, doc string"
 _LIMIT = 2000
@@ -225,3 +227,15 @@ def project_symbols(symbols_: DataFrame, imports: DataFrame, hierarchy: DataFram
     e = links.select(key(F.col("source")).alias("source_node_no"), label.alias("name"), key(F.col("target")).alias("target_node_no")).unionByName(s.select(F.col("owner").alias("source_node_no"), F.lit("contains").alias("name"), F.col("graph_node_no").alias("target_node_no")))
     e = e.distinct().withColumns({"graph_edge_no": edge_no(F.col("source_node_no"), F.col("name"), F.col("target_node_no")), "confidence": F.lit("EXTRACTED")})
     return s.drop("owner"), e
+
+
+def write_code_graph(path: str, symbols_: DataFrame, packages: DataFrame, edges: DataFrame) -> None:
+    """A code graph as JSON tables below a path; each is complete once its folder has a success mark."""
+    for name, df in (("symbols", symbols_), ("packages", packages), ("edges", edges)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_code_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(symbols, packages, edges) as written."""
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    return read("symbols", _SYMBOLS), read("packages", "package string"), read("edges", "source string, kind string, target string")

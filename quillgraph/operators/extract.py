@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import ARCHETYPES, CONFIDENCES, METATYPES
+from ..functions.text import fill_template
+from ..model import ARCHETYPES, CONFIDENCES, METATYPES, ontology_block
 
 Extractor = Callable[[str], str]
 _RAW = "doc_id string, nodes string, edges string, dropped array<string>"
@@ -32,25 +33,64 @@ def rule_extractor(numbered: str) -> str:
     return json.dumps({"nodes": list(nodes.values()), "edges": edges})
 
 
-def _parse(reply: str) -> dict:
-    m = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", reply, re.S) or re.search(r"(\{.*\})", reply, re.S)
-    if not m:
-        raise ValueError("no JSON object")
-    return json.loads(m.group(1))
+#: What an extraction asks of each class of source.
+TEMPLATES = {
+    "DOC": "Name the entities of this document and how they relate.\n{{ontology}}\n\nLines carry their numbers; give those each item rests on.\n\n{{text}}",
+    "PLAN": "Name the aims, decisions and tasks of this plan, who answers for them, and how they depend on each other.\n{{ontology}}\n\nLines carry their numbers; give those each item rests on.\n\n{{text}}",
+    "CODE": "Name what this source implements and what it uses.\n{{ontology}}\n\nLines carry their numbers; give those each item rests on.\n\n{{text}}",
+}
+Model = Callable[[str], Iterator[str] | str]
+
+
+def prompted(model: Model, kind: str = "DOC") -> Extractor:
+    """Extractor that asks a model, given as a function from prompt to reply or to parts of it, with the template of a
+    source class; parts without text are skipped."""
+    template = TEMPLATES[kind]
+
+    def ask(numbered: str) -> str:
+        reply = model(fill_template(template, {"ontology": ontology_block(), "text": numbered}))
+        return reply if isinstance(reply, str) else "".join(p for p in reply if p)
+
+    return ask
+
+
+def _objects(reply: str) -> dict:
+    """The first JSON object of a chatty reply: decoding is tried from every opening brace until one holds."""
+    decode = json.JSONDecoder().raw_decode
+    at = reply.find("{")
+    while at >= 0:
+        try:
+            found, _ = decode(reply, at)
+            if isinstance(found, dict) and ("nodes" in found or "edges" in found or not found):
+                return found
+        except ValueError:
+            pass
+        at = reply.find("{", at + 1)
+    raise ValueError("no JSON object")
 
 
 def extract_span(lines: list[str], first: int, extractor: Extractor) -> tuple[list, list, list[str]]:
-    """Nodes, edges and notes of a span of numbered lines; a reply that does not parse halves the span and tries again,
-    down to single lines."""
-    try:
-        found = _parse(extractor("\n".join(f"[{first + i}] {x}" for i, x in enumerate(lines))))
-        return list(found.get("nodes") or []), list(found.get("edges") or []), []
-    except (ValueError, TypeError) as e:
-        if len(lines) <= 1:
-            return [], [], [f"line {first}: {type(e).__name__}"]
-        half = len(lines) // 2
-        a, b = extract_span(lines[:half], first, extractor), extract_span(lines[half:], first + half, extractor)
-        return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+    """Nodes, edges and notes of a span of numbered lines, in line order. Spans are taken from a stack: one whose reply
+    does not parse is replaced by its halves, down to single lines, which leave a note."""
+    nodes: list = []
+    edges: list = []
+    notes: list[str] = []
+    open_ = [(0, len(lines))]
+    while open_:
+        start, end = open_.pop()
+        numbered = "\n".join(f"[{first + i}] {lines[i]}" for i in range(start, end))
+        try:
+            found = _objects(extractor(numbered))
+        except (ValueError, TypeError) as e:
+            middle = (start + end) // 2
+            if end - start > 1:
+                open_ += [(middle, end), (start, middle)]
+            else:
+                notes.append(f"line {first + start}: {type(e).__name__}")
+            continue
+        nodes += found.get("nodes") or []
+        edges += found.get("edges") or []
+    return nodes, edges, notes
 
 
 def extract(docs: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:

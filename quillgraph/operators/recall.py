@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -73,14 +74,18 @@ class Expansion:
     trace: list[dict]
 
 
-def expand(start: DataFrame, edges: DataFrame, ranking: DataFrame, *, neighbour_k: int, max_hops: int, exclude: DataFrame | None = None) -> Expansion:
+Ranker = Callable[[DataFrame], DataFrame]
+
+
+def expand(start: DataFrame, edges: DataFrame, ranking: DataFrame | Ranker, *, neighbour_k: int, max_hops: int, exclude: DataFrame | None = None) -> Expansion:
     """Bounded breadth-first expansion of all queries at once.
 
-    ``start`` is (query_no, scope, node_no, rank), ``ranking`` (query_no, object_no, rank) of possible neighbours. Every
-    hop takes all ends of the frontier's edges that were not seen, ranked ones first, the others in order of their edge;
-    a query that has ``neighbour_k`` neighbours stops, and its list is cut to that at the end. Excluded nodes are walked
-    to but not kept. The driver loops at most ``max_hops`` times; each hop is two shuffles on node keys, written to the
-    shared folder.
+    ``start`` is (query_no, scope, node_no, rank); ``ranking`` (query_no, object_no, rank) of possible neighbours, or a
+    function that ranks the candidates (query_no, object_no) of a hop. Every hop takes all ends of the frontier's edges
+    that were not seen, ranked ones first, the others in order of their edge; a query that has ``neighbour_k``
+    neighbours stops, and its list is cut to that at the end. Excluded nodes are walked to but not kept. The driver
+    loops at most ``max_hops`` times; each hop is two shuffles on node keys, written to the shared folder. The frontier
+    goes on unranked; of a hop only the first ``neighbour_k`` a query are ranked, and as many a partition are sent.
     """
     scratch = Scratch(start.sparkSession, "expand")
     visited = start.select("query_no", "node_no")
@@ -88,25 +93,26 @@ def expand(start: DataFrame, edges: DataFrame, ranking: DataFrame, *, neighbour_
         visited = visited.unionByName(exclude.select("query_no", F.col("object_no").alias("node_no")))
     visited = visited.distinct()
     frontier = start.select("query_no", *SCOPE, "node_no")
-    picked = None
-    walked = None
+    picked = walked = counts = None
     trace = []
     for hop in range(max(1, max_hops)):
         hop_edges = scratch.write(edges_of(frontier, edges))
         walked = hop_edges if walked is None else walked.unionByName(hop_edges).distinct()
         ends = hop_edges.select("query_no", *SCOPE, F.posexplode(F.array("source_node_no", "target_node_no")).alias("side", "node_no"), "graph_edge_no")
-        found = ends.groupBy("query_no", *SCOPE, "node_no").agg(F.min(F.struct("graph_edge_no", "side")).alias("at")).join(visited, ["query_no", "node_no"], "left_anti")
-        order = found.join(ranking.select("query_no", F.col("object_no").alias("node_no"), F.col("rank").alias("r")), ["query_no", "node_no"], "left")
-        order = order.withColumn("place", F.row_number().over(Window.partitionBy("query_no").orderBy(F.col("r").asc_nulls_last(), "at", "node_no")))
-        fresh = scratch.write(order.select("query_no", *SCOPE, "node_no", F.lit(hop).alias("hop"), "place"))
+        fresh = scratch.write(ends.groupBy("query_no", *SCOPE, "node_no").agg(F.min(F.struct("graph_edge_no", "side")).alias("at")).join(visited, ["query_no", "node_no"], "left_anti"))
         count = fresh.count()
         trace.append({"hop": hop + 1, "candidates": count})
-        picked = fresh if picked is None else picked.unionByName(fresh)
+        named = ranking(fresh.select("query_no", F.col("node_no").alias("object_no"))) if callable(ranking) else ranking
+        order = fresh.join(named.select("query_no", F.col("object_no").alias("node_no"), F.col("rank").alias("r")), ["query_no", "node_no"], "left")
+        first = order.withColumn("place", F.row_number().over(Window.partitionBy("query_no").orderBy(F.col("r").asc_nulls_last(), "at", "node_no"))).filter(F.col("place") <= neighbour_k)
+        first = scratch.write(first.select("query_no", *SCOPE, "node_no", F.lit(hop).alias("hop"), "place"))
+        picked = first if picked is None else picked.unionByName(first)
         if not count:
             break
         visited = visited.unionByName(fresh.select("query_no", "node_no"))
-        enough = picked.groupBy("query_no").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= neighbour_k)
-        frontier = fresh.join(enough, "query_no", "left_anti").select("query_no", *SCOPE, "node_no")
+        here = fresh.groupBy("query_no").agg(F.count(F.lit(1)).alias("n"))
+        counts = here if counts is None else counts.unionByName(here).groupBy("query_no").agg(F.sum("n").alias("n"))
+        frontier = fresh.join(counts.filter(F.col("n") >= neighbour_k), "query_no", "left_anti").select("query_no", *SCOPE, "node_no")
     kept = picked.withColumn("rank", F.row_number().over(Window.partitionBy("query_no").orderBy("hop", "place"))).filter(F.col("rank") <= neighbour_k)
     return Expansion(kept.select("query_no", *SCOPE, F.col("node_no").alias("object_no"), "rank"), walked, trace)
 
@@ -149,6 +155,8 @@ def chunk_hits(ranking: DataFrame, chunks: DataFrame, *, limit: int = 10) -> Dat
 
 @dataclass
 class Recall:
+    """What a recall returns: seeds, neighbours, the edges between them, evidence lines, chunks, and what each stage held."""
+
     seeds: DataFrame
     neighbours: DataFrame
     edges: DataFrame
@@ -157,29 +165,81 @@ class Recall:
     trace: list[dict]
 
 
-def recall(queries: DataFrame, *, entries: DataFrame, index: DataFrame, nodes: DataFrame, edges: DataFrame, doc_lines: DataFrame, chunks: DataFrame, settings: Settings, explored: DataFrame | None = None) -> Recall:
-    """The whole recall of any number of questions (query_no, scope, text, embedding).
+def question_pools(queries: DataFrame, *, index: DataFrame, entries: DataFrame, edges: DataFrame, wide: int, min_text: float, min_vector: float) -> DataFrame:
+    """(query_no, object_no, rank): the candidate pool of every question, over all its wordings.
 
-    Pools, reranking and fusion are one plan; only the expansion loops, over a bounded number of hops.
+    ``queries`` is (query_no, variant_no, scope, text, embedding). Each wording has a pool of its own, of node hits and
+    the ends of edge hits, reranked by a search restricted to it; the pools of a question are fused.
     """
-    scratch = Scratch(queries.sparkSession, "recall")
+    scratch = Scratch(queries.sparkSession, "pools")
+    own = F.to_json(F.struct("query_no", "variant_no"))
+    asked = scratch.write(queries.withColumn("question_no", F.col("query_no")).withColumn("query_no", own))
+    hits = scratch.write(hybrid_search(index, entries.filter(F.col("object_type").isin(NODE, EDGE)), asked, min_text=min_text, min_vector=min_vector, limit=wide))
+    edge_hits = hits.filter(F.col("object_type") == EDGE).join(asked.select("query_no", *SCOPE), "query_no")
+    pool = scratch.write(candidate_pool(hits.filter(F.col("object_type") == NODE), edge_hits, edges))
+    again = hybrid_search(index.filter(F.col("object_type") == NODE), entries.filter(F.col("object_type") == NODE), asked, min_text=min_text, min_vector=min_vector, limit=wide, allowed=pool)
+    ordered = rerank(pool, again).join(asked.select("query_no", "question_no", "variant_no"), "query_no")
+    fused = fuse_queries(ordered.select("question_no", "variant_no", "object_no", "rank"))
+    return scratch.write(fused.select(F.col("question_no").alias("query_no"), "object_no", "rank"))
+
+
+def laddered_pools(queries: DataFrame, *, settings: Settings, **tables: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """(pools, trace) with retries: questions whose strict pool has fewer than ``min_results`` members are asked again
+    with the configured scores, and what is still short without any; without a minimum only the configured ones."""
     wide = max(4 * settings.topk, 20)
-    scoped = queries.select("query_no", *SCOPE)
-    hits = scratch.write(hybrid_search(index, entries, queries, min_text=settings.min_text_score, min_vector=settings.min_vector_score, limit=wide))
-    node_hits = hits.filter(F.col("object_type") == NODE)
-    edge_hits = hits.filter(F.col("object_type") == EDGE).join(scoped, "query_no")
-    pool = scratch.write(candidate_pool(node_hits, edge_hits, edges))
-    again = hybrid_search(index, entries.filter(F.col("object_type") == NODE), queries, min_text=settings.min_text_score, min_vector=settings.min_vector_score, limit=wide, allowed=pool)
-    ordered = rerank(pool, again).join(scoped, "query_no")
-    start = scratch.write(seeds(ordered, nodes, topk=settings.topk, explored=explored))
+    configured = (settings.min_text_score, settings.min_vector_score)
+    tiers = [(settings.strict_score, settings.strict_score), configured, (0.0, 0.0)] if settings.min_results > 0 else [configured]
+    asked, found, trace = queries, None, []
+    for number, (text, vector) in enumerate(tiers):
+        pool = question_pools(asked, wide=wide, min_text=text, min_vector=vector, **tables)
+        enough = pool.groupBy("query_no").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= settings.min_results).select("query_no")
+        last = number == len(tiers) - 1
+        kept = pool if last else pool.join(enough, "query_no", "left_semi")
+        found = kept if found is None else found.unionByName(kept)
+        trace.append({"tier": number, "pool": kept.count()})
+        if last:
+            break
+        asked = asked.join(enough, "query_no", "left_anti")
+        if asked.isEmpty():
+            break
+    return found, trace
+
+
+def recall(queries: DataFrame, *, entries: DataFrame, index: DataFrame, nodes: DataFrame, edges: DataFrame, doc_lines: DataFrame, chunks: DataFrame, settings: Settings, explored: DataFrame | None = None, all_entries: DataFrame | None = None, all_index: DataFrame | None = None) -> Recall:
+    """The whole recall of any number of questions (query_no, variant_no, scope, text, embedding); variant 0, or the least,
+    is the question as asked.
+
+    Pools over all wordings with retries, seeds, expansion with a search restricted to each hop's candidates at the
+    configured scores, edges between what is found, evidence of nodes and edges, and chunks of all graphs and versions
+    (``all_entries``, ``all_index``; the scope's own if they are not given).
+    """
+    scratch = Scratch(queries.sparkSession, "recall")
+    queries = queries if "variant_no" in queries.columns else queries.withColumn("variant_no", F.lit(0))
+    queries = scratch.write(queries)
+    first = queries.groupBy("query_no").agg(F.min("variant_no").alias("variant_no"))
+    plain = scratch.write(queries.join(first, ["query_no", "variant_no"]).drop("variant_no"))
+    pool, ladder = laddered_pools(queries, settings=settings, index=index, entries=entries, edges=edges)
+    start = scratch.write(seeds(pool.join(plain.select("query_no", *SCOPE), "query_no"), nodes, topk=settings.topk, explored=explored))
+
+    node_entries, node_index = entries.filter(F.col("object_type") == NODE), index.filter(F.col("object_type") == NODE)
+    near = max(4 * settings.neighbor_topk, 12)
+
+    def rank_candidates(found: DataFrame) -> DataFrame:
+        return hybrid_search(node_index, node_entries, plain, min_text=settings.min_text_score, min_vector=settings.min_vector_score, limit=near, allowed=found)
+
     exp = expand(
-        start.select("query_no", *SCOPE, F.col("object_no").alias("node_no"), "rank"), edges, node_hits.select("query_no", "object_no", "rank"),
+        start.select("query_no", *SCOPE, F.col("object_no").alias("node_no"), "rank"), edges, rank_candidates,
         neighbour_k=settings.neighbor_topk, max_hops=settings.max_hops, exclude=explored,
-    )
-    members = scratch.write(start.select("query_no", *SCOPE, F.col("object_no").alias("node_no")).unionByName(exp.neighbours.select("query_no", *SCOPE, F.col("object_no").alias("node_no"))))
-    links = connecting_edges(exp.edges, members.select("query_no", "node_no"))
-    refs = members.join(nodes.select(*SCOPE, F.col("graph_node_no").alias("node_no"), "ref"), [*SCOPE, "node_no"])
+    )
+    alive = exp.neighbours.join(nodes.select(*SCOPE, F.col("graph_node_no").alias("object_no")), [*SCOPE, "object_no"], "left_semi")
+    neighbours = scratch.write(alive.select("query_no", *SCOPE, "object_no", "rank"))
+    members = scratch.write(start.unionByName(neighbours, allowMissingColumns=True).select("query_no", *SCOPE, F.col("object_no").alias("node_no")))
+    links = scratch.write(connecting_edges(exp.edges, members.select("query_no", "node_no")))
+    refs = members.join(nodes.select(*SCOPE, F.col("graph_node_no").alias("node_no"), "ref"), [*SCOPE, "node_no"]).select("query_no", *SCOPE, "ref")
+    refs = refs.unionByName(links.join(edges.select(*SCOPE, "graph_edge_no", "ref"), [*SCOPE, "graph_edge_no"]).select("query_no", *SCOPE, "ref"))
     lines = evidence_lines(evidence_spans(refs, by=["query_no", *SCOPE], window=settings.evidence_window), doc_lines)
-    chunk_rank = hits.filter(F.col("object_type") == DOC_CHUNK)
-    trace = [{"seeds": start.count()}, *exp.trace]
-    return Recall(start, exp.neighbours, links, lines, chunk_hits(chunk_rank, chunks, limit=settings.chunk_topk), trace)
+    of_chunks = lambda df: df.filter(F.col("object_type") == DOC_CHUNK)
+    everywhere = all_entries is not None
+    ranking = hybrid_search(of_chunks(all_index if everywhere else index), of_chunks(all_entries if everywhere else entries), plain, min_text=settings.min_text_score, min_vector=settings.min_vector_score, limit=settings.chunk_topk, scoped=not everywhere)
+    trace = [*ladder, {"seeds": start.count()}, *exp.trace, {"neighbours": neighbours.count(), "edges": links.count()}]
+    return Recall(start, neighbours, links, lines, chunk_hits(ranking, chunks, limit=settings.chunk_topk), trace)

@@ -27,39 +27,68 @@ def bigram_index(entries: DataFrame) -> DataFrame:
     return entries.select(*keys, F.explode(bigrams(F.col("searchable_text"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def text_channel(index: DataFrame, entries: DataFrame, queries: DataFrame, *, min_score: float = 0.0, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+#: Questions that may be sent to every task; more are joined to the index by an exchange on the scope.
+BROADCAST_QUERIES = 20_000
+
+
+def _few(queries: DataFrame) -> DataFrame:
+    """Queries with a broadcast hint if they are known to be few."""
+    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+
+
+def text_channel(index: DataFrame, entries: DataFrame, queries: DataFrame, *, min_score: float = 0.0, limit: int = 20, allowed: DataFrame | None = None, scoped: bool = True) -> DataFrame:
     """(query_no, object_type, object_no, score, rank) by the sum over distinct query bigrams of
-    (1 + ln tf) ln(1 + N / df), N and df within scope and object type; strictly above ``min_score``."""
-    group = [*SCOPE, "object_type"]
-    terms = queries.select("query_no", *SCOPE, F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term"))
+    (1 + ln tf) ln(1 + N / df), N and df within scope and object type; strictly above ``min_score``.
+
+    ``scoped=False`` looks in all graphs and versions; N and df are then those of the object type, and an object stored
+    in several versions counts once, at its best.
+    """
+    at = SCOPE if scoped else []
+    group = [*at, "object_type"]
+    terms = queries.select("query_no", *at, F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term"))
     sizes = entries.groupBy(*group).agg(F.count_distinct("object_no").alias("n"))
-    wanted = terms.select(*SCOPE, "term").distinct()
+    wanted = _few(terms.select(*at, "term").distinct())
     # Postings are cut to the terms asked for before anything else is done with them.
-    hits = index.join(wanted, [*SCOPE, "term"], "left_semi")
+    hits = index.join(wanted, [*at, "term"], "left_semi")
     df = hits.groupBy(*group, "term").agg(F.count_distinct("object_no").alias("df"))
     weighed = hits.join(df, [*group, "term"]).join(sizes, group).withColumn("w", (1 + F.ln("tf")) * F.ln(1 + F.col("n") / F.col("df")))
-    weighed = restrict(weighed, allowed, [*SCOPE, "object_no"]) if allowed is not None and "query_no" not in allowed.columns else weighed
-    scored = weighed.join(terms, [*SCOPE, "term"]).groupBy("query_no", *SCOPE, "object_type", "object_no").agg(F.round(F.sum("w"), 6).alias("score"))
+    weighed = restrict(weighed, allowed, [*at, "object_no"]) if allowed is not None and "query_no" not in allowed.columns else weighed
+    scored = weighed.join(terms, [*at, "term"]).groupBy("query_no", *SCOPE, "object_type", "object_no") if scoped else weighed.join(terms, "term").groupBy("query_no", *SCOPE, "object_type", "object_no")
+    scored = scored.agg(F.round(F.sum("w"), 6).alias("score"))
+    if not scoped:
+        scored = scored.groupBy("query_no", "object_type", "object_no").agg(F.max("score").alias("score"))
     if allowed is not None and "query_no" in allowed.columns:
         scored = restrict(scored, allowed, ["query_no", "object_no"])
     return ranked(scored.filter(F.col("score") > min_score), by=["query_no", "object_type"], limit=limit)
 
 
-def vector_channel(entries: DataFrame, queries: DataFrame, *, min_score: float = 0.0, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+def vector_channel(entries: DataFrame, queries: DataFrame, *, min_score: float = 0.0, limit: int = 20, allowed: DataFrame | None = None, scoped: bool = True) -> DataFrame:
     """(query_no, object_type, object_no, score, rank) by cosine, strictly above ``min_score``; rows and queries without
-    an embedding take no part."""
+    an embedding take no part. ``scoped=False`` compares the queries with the entries of all graphs and versions."""
     usable = entries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*SCOPE, "object_type", "object_no", "embedding")
     asked = queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("query_no", *SCOPE, F.col("embedding").alias("q"))
-    scored = usable.join(asked, SCOPE).select("query_no", *SCOPE, "object_type", "object_no", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    if allowed is not None:
-        scored = restrict(scored, allowed, ["query_no", "object_no"] if "query_no" in allowed.columns else [*SCOPE, "object_no"])
+    if allowed is not None and "query_no" in allowed.columns:
+        # only the pairs that may count are scored
+        pairs = allowed.select("query_no", "object_no").distinct().join(asked, "query_no")
+        met = usable.join(pairs, [*SCOPE, "object_no"]) if scoped else usable.join(pairs.drop(*SCOPE), "object_no")
+    elif scoped:
+        met = restrict(usable, allowed, [*SCOPE, "object_no"]).join(_few(asked), SCOPE)
+    else:
+        # the stated questions against every entry, through one key that all share
+        met = restrict(usable, allowed, [*SCOPE, "object_no"]).withColumn("all", F.lit(1)).join(_few(asked.drop(*SCOPE)).withColumn("all", F.lit(1)), "all")
+    scored = met.select("query_no", "object_type", "object_no", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    if not scoped:
+        scored = scored.groupBy("query_no", "object_type", "object_no").agg(F.max("score").alias("score"))
     return ranked(scored.filter(F.col("score") > min_score), by=["query_no", "object_type"], limit=limit)
 
 
-def hybrid_search(index: DataFrame, entries: DataFrame, queries: DataFrame, *, min_text: float = 0.0, min_vector: float = 0.0, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+def hybrid_search(
+    index: DataFrame, entries: DataFrame, queries: DataFrame, *, min_text: float = 0.0, min_vector: float = 0.0, limit: int = 20, allowed: DataFrame | None = None, scoped: bool = True
+) -> DataFrame:
     """(query_no, object_type, object_no, score, rank): both channels cut to ``limit`` and fused; a query without an
     embedding is answered by text alone."""
-    text = text_channel(index, entries, queries, min_score=min_text, limit=limit, allowed=allowed).withColumn("list_no", F.lit(0))
-    vector = vector_channel(entries, queries, min_score=min_vector, limit=limit, allowed=allowed).withColumn("list_no", F.lit(1))
+    how = {"limit": limit, "allowed": allowed, "scoped": scoped}
+    text = text_channel(index, entries, queries, min_score=min_text, **how).withColumn("list_no", F.lit(0))
+    vector = vector_channel(entries, queries, min_score=min_vector, **how).withColumn("list_no", F.lit(1))
     keep = ["query_no", "object_type", "list_no", "object_no", "rank"]
     return reciprocal_rank_fusion(text.select(*keep).unionByName(vector.select(*keep)), by=["query_no", "object_type"], top_k=limit)

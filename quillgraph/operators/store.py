@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import chunk_no, content_hash, edge_no
 from ..functions.refs import fold_properties, fold_refs, merge_props, ref_union
-from ..functions.text import chunk_table_function, searchable_text, split_lines, typed_entries
+from ..functions.text import cut_pieces, searchable_text, split_lines, typed_entries
 from ..model import DOC_CHUNK, EDGE, NODE, SCOPE, live
 
 _NODE_KEY = [*SCOPE, "graph_node_no"]
@@ -34,7 +38,7 @@ def fold_batch(rows: DataFrame, keys: list[str], *, seq: str = "seq") -> DataFra
         F.min_by("name", seq).alias("name"), F.min_by("type", seq).alias("type"),
         F.max_by("description", F.when(F.coalesce("description", F.lit("")) != "", F.col(seq))).alias("description"),
     )
-    out = folded.join(fold_properties(rows, keys, -F.col(seq)), keys, "left").join(fold_refs(rows, keys), keys, "left")
+    out = folded.join(fold_properties(rows, keys, F.col(seq), last=True), keys, "left").join(fold_refs(rows, keys), keys, "left")
     return out.withColumns({"properties": F.coalesce("properties", F.lit("{}")), "ref": F.coalesce("ref", F.create_map().cast("map<string,array<string>>"))})
 
 
@@ -97,10 +101,22 @@ def rewrite_lines(old: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def document_chunks(docs: DataFrame, *, size: int, overlap: int, keep: tuple[str, ...] = ("origin_url", "file_path")) -> DataFrame:
-    """Chunk rows of documents (scope, doc_no, text, ...): one Python table function a document, no shuffle."""
-    fn = chunk_table_function()
+    """Chunk rows of documents (scope, doc_no, text, ...): one Arrow pass over batches of documents, no shuffle."""
     docs = docs.withColumn("sha256", content_hash(F.col("text"))) if "sha256" not in docs.columns else docs
-    parts = docs.lateralJoin(fn(F.col("text").outer(), F.lit(size), F.lit(overlap)))
+    kept = [*SCOPE, "doc_no", *[c for c in keep if c in docs.columns], "sha256"]
+    rows = docs.select(*kept, "text").filter("text is not null")
+    schema = T.StructType([*[rows.schema[c] for c in kept], *T.StructType.fromDDL("chunk_index int, content string, line_start int, line_end int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = cut_pieces(batch.column(len(kept)).to_pylist(), size, overlap)
+            if found:
+                text, *columns = zip(*found)
+                own = batch.select(range(len(kept))).take(pa.array(text, pa.int64()))
+                cut = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *cut], names=schema.names)
+
+    parts = rows.mapInArrow(run, schema)
     return parts.select(*SCOPE, "doc_no", chunk_no(F.col("doc_no"), F.col("chunk_index")).alias("chunk_no"), "chunk_index", "content", *[c for c in keep if c in docs.columns], "line_start", "line_end", "sha256")
 
 

@@ -246,6 +246,22 @@ p AS (SELECT a.graph_no, a.graph_version, a.graph_node_no, b.graph_node_no AS ca
 s AS (SELECT p.*, round(len(list_intersect(x.grams, y.grams)) / len(list_distinct(list_concat(x.grams, y.grams))), 6) AS score FROM p
   JOIN g x USING (graph_no, graph_version, graph_node_no) JOIN g y ON y.graph_no = p.graph_no AND y.graph_version = p.graph_version AND y.graph_node_no = p.candidate_no)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_no, graph_version, graph_node_no ORDER BY score DESC, candidate_no) AS rank FROM s) WHERE rank <= 10"""
+SQL["fusion_clusters"] = SQL["fusion_candidates"].replace("SELECT * FROM (SELECT *, row_number()", ", cand AS (SELECT * FROM (SELECT *, row_number()", 1) + rf"""),
+member AS (SELECT c.graph_no, c.graph_version, c.graph_node_no AS seed, 0 AS rank, c.graph_node_no AS no FROM (SELECT DISTINCT graph_no, graph_version, graph_node_no FROM cand) c UNION ALL SELECT graph_no, graph_version, graph_node_no, rank, candidate_no FROM cand),
+said AS (SELECT m.*, n.name, lower(regexp_extract(n.name, '{_WS}*(.*)', 1)) AS low FROM member m JOIN nodes n ON n.graph_no = m.graph_no AND n.graph_version = m.graph_version AND n.graph_node_no = m.no),
+worded AS (SELECT *, regexp_split_to_array(low, '{_WS}+')[1] AS word FROM said),
+firsts AS (SELECT graph_no, graph_version, seed, word, arg_min(no, rank) AS lead FROM worded GROUP BY ALL HAVING count(DISTINCT name) > 1)
+SELECT DISTINCT w.graph_no, w.graph_version, least(no, lead) AS a, greatest(no, lead) AS b FROM worded w JOIN firsts USING (graph_no, graph_version, seed, word) WHERE no <> lead"""
+SQL["slug_plain"] = _with("nodes") + rf"""SELECT graph_no, graph_version, graph_node_no, slug, class || ':' || slug AS node_no FROM (SELECT *, CASE WHEN kept = '' THEN 'unnamed' ELSE kept END AS slug FROM (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(name, '^{_WS}+|{_WS}+$', '', 'g')), '{_WS}+', '-', 'g'), '[^0-9a-z一-鿿\-]', '', 'g') AS kept FROM nodes WHERE name IS NOT NULL))"""
+SQL["tag_escape"] = _with("nodes") + r"""SELECT graph_no, graph_version, graph_node_no, regexp_replace(name, '([,.<>{}\[\]"'':;!@#$%^&*()\-+=~/ \\])', '\\\1', 'g') AS tag FROM nodes WHERE name IS NOT NULL"""
+SQL["source_types"] = r"""SELECT doc_id, ltrim(lower(regexp_extract(doc_no, '(\.[^./]+)$', 1)), '.') AS source_type FROM documents"""
+SQL["task_enqueue"] = _with("tasks") + """SELECT graph_no, coalesce(min(event_id) FILTER (status IN ('QUEUED', 'RUNNING'))::varchar, 'new-' || graph_no) AS task_no, count(*) FILTER (status IN ('QUEUED', 'RUNNING')) = 0 AS created FROM tasks GROUP BY graph_no"""
+SQL["task_finish"] = _with("tasks") + """SELECT task_no, CASE WHEN status <> 'RUNNING' THEN status WHEN lease IS NOT NULL THEN 'SUCCEEDED' WHEN attempts < 3 THEN 'QUEUED' ELSE 'FAILED' END AS status, CASE WHEN status = 'RUNNING' AND lease IS NULL THEN 'boom' END AS error,
+  status = 'QUEUED' OR (status = 'RUNNING' AND lease IS NULL AND attempts < 3) AS active, status <> 'RUNNING' AND lease IS NOT NULL AS leased FROM tasks"""
+SQL["step_plan"] = _with("tasks") + """SELECT graph_no AS run_no, task_no AS step_key, CASE WHEN status IN ('QUEUED', 'FAILED') THEN 'SKIPPED' ELSE status END AS status, attempts FROM tasks UNION ALL SELECT DISTINCT graph_no, 'new', 'PENDING', 0 FROM tasks"""
+SQL["step_checkpoint"] = _with("tasks") + """SELECT graph_no AS run_no, task_no AS step_key, CASE status WHEN 'QUEUED' THEN 'RUNNING' WHEN 'RUNNING' THEN 'SUCCEEDED' ELSE status END AS status, attempts + (status = 'QUEUED')::int AS attempts,
+  CASE WHEN status = 'FAILED' THEN 'again' END AS error, status <> 'QUEUED' AS finished FROM tasks"""
 SQL["fusion_components"] = _with("pairs", "arcs", "groups", recursive=True) + "SELECT * FROM groups"
 _GROUPED = """, g AS (SELECT graph_no, graph_version, graph_node_no, min(graph_node_no) OVER (PARTITION BY graph_no, graph_version, winner_node_no) AS winner_node_no FROM groups
   WHERE (graph_no, graph_version, graph_node_no) IN (SELECT graph_no, graph_version, graph_node_no FROM alive)) """
@@ -282,6 +298,46 @@ SQL["alias_owner"] = _with("nodes", "pairs") + _ALIASES + "SELECT * FROM aliases
 SQL["alias_lookup"] = _with("nodes", "pairs") + _ALIASES + """SELECT n.graph_node_no AS wanted, n.graph_no, n.graph_version, n.graph_node_no, coalesce(string_agg(DISTINCT alias, '|' ORDER BY alias), '') AS aliases
 FROM alive n LEFT JOIN aliases a ON a.graph_no = n.graph_no AND a.graph_version = n.graph_version AND a.canonical_node_no = n.graph_node_no GROUP BY n.graph_no, n.graph_version, n.graph_node_no"""
 
+_RECALLED = _with("nodes", "near", "idx", "vector", "text", "hybrid") + """,
+pool AS (SELECT query_no, object_no, rank FROM hybrid WHERE object_type = 'NODE'),
+first_lists AS (SELECT query_no, object_no, 0 AS l, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, object_no) AS rank FROM tscored t WHERE object_type = 'NODE' AND score > 0 AND EXISTS (SELECT 1 FROM pool p WHERE p.query_no = t.query_no AND p.object_no = t.object_no)
+  UNION ALL SELECT query_no, object_no, 1, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, object_no) FROM scored s WHERE object_type = 'NODE' AND variant_no = 1 AND score > 0 AND EXISTS (SELECT 1 FROM pool p WHERE p.query_no = s.query_no AND p.object_no = s.object_no)),
+first_fused AS (SELECT query_no, object_no, sum(1.0::double / (60 + rank)) AS score, min(l * 1000 + rank) AS first FROM first_lists WHERE rank <= 20 GROUP BY ALL),
+again AS (SELECT query_no, object_no, row_number() OVER (PARTITION BY query_no ORDER BY round(score, 12) DESC, first, object_no) AS rank FROM first_fused),
+ordered AS (SELECT p.query_no, p.object_no, row_number() OVER (PARTITION BY p.query_no ORDER BY coalesce(a.rank, 1000 + p.rank), p.object_no) AS rank FROM pool p LEFT JOIN again a USING (query_no, object_no)),
+scopes AS (SELECT DISTINCT query_no, graph_no, graph_version FROM questions),
+seed AS (SELECT o.query_no, graph_no, graph_version, object_no, rank FROM ordered o JOIN scopes USING (query_no) JOIN alive n USING (graph_no, graph_version) WHERE rank <= 5 AND n.graph_node_no = o.object_no),
+walked AS (SELECT DISTINCT s.query_no, e.* FROM seed s JOIN near e ON e.graph_no = s.graph_no AND e.graph_version = s.graph_version AND (e.source_node_no = s.object_no OR e.target_node_no = s.object_no)),
+ends AS (SELECT query_no, graph_no, graph_version, graph_edge_no || '0' AS pos, source_node_no AS object_no FROM walked UNION ALL SELECT query_no, graph_no, graph_version, graph_edge_no || '1', target_node_no FROM walked),
+cand AS (SELECT query_no, graph_no, graph_version, object_no, min(pos) AS pos FROM ends e WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_no = e.query_no AND s.object_no = e.object_no) GROUP BY ALL),
+hop_lists AS (SELECT query_no, object_no, 0 AS l, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, object_no) AS rank FROM tscored t WHERE object_type = 'NODE' AND score > 0 AND EXISTS (SELECT 1 FROM cand p WHERE p.query_no = t.query_no AND p.object_no = t.object_no)
+  UNION ALL SELECT query_no, object_no, 1, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, object_no) FROM scored s WHERE object_type = 'NODE' AND variant_no = 1 AND score > 0 AND EXISTS (SELECT 1 FROM cand p WHERE p.query_no = s.query_no AND p.object_no = s.object_no)),
+hop_fused AS (SELECT query_no, object_no, sum(1.0::double / (60 + rank)) AS score, min(l * 1000 + rank) AS first FROM hop_lists WHERE rank <= 12 GROUP BY ALL),
+hop AS (SELECT * FROM (SELECT query_no, object_no, row_number() OVER (PARTITION BY query_no ORDER BY round(score, 12) DESC, first, object_no) AS r FROM hop_fused) WHERE r <= 12),
+neighbour AS (SELECT c.* FROM (SELECT c.query_no, graph_no, graph_version, c.object_no, row_number() OVER (PARTITION BY c.query_no ORDER BY r NULLS LAST, pos, c.object_no) AS rank FROM cand c LEFT JOIN hop h ON h.query_no = c.query_no AND h.object_no = c.object_no) c
+  JOIN alive n ON n.graph_no = c.graph_no AND n.graph_version = c.graph_version AND n.graph_node_no = c.object_no WHERE rank <= 3),
+member AS (SELECT query_no, graph_no, graph_version, object_no FROM seed UNION SELECT query_no, graph_no, graph_version, object_no FROM neighbour),
+link AS (SELECT w.* FROM walked w WHERE EXISTS (SELECT 1 FROM member m WHERE m.query_no = w.query_no AND m.object_no = w.source_node_no) AND EXISTS (SELECT 1 FROM member m WHERE m.query_no = w.query_no AND m.object_no = w.target_node_no)) """
+SQL["recall_full"] = _RECALLED + """,
+cdf AS (SELECT term, count(DISTINCT object_no) AS df FROM grams WHERE object_type = 'DOC_CHUNK' GROUP BY term),
+ct AS (SELECT query_no, object_no, max(score) AS score FROM (SELECT query_no, g.graph_no, g.graph_version, object_no, round(sum((1 + ln(tf)) * ln(1 + (SELECT count(DISTINCT object_no) FROM idx WHERE object_type = 'DOC_CHUNK') / df)), 6) AS score
+  FROM grams g JOIN (SELECT DISTINCT query_no, term FROM terms) t USING (term) JOIN cdf USING (term) WHERE object_type = 'DOC_CHUNK' GROUP BY ALL) GROUP BY ALL),
+cv AS (SELECT q.query_no, i.object_no, max(round(CASE WHEN list_dot_product(i.embedding, i.embedding) > 0 AND list_dot_product(q.embedding, q.embedding) > 0 THEN list_cosine_similarity(i.embedding, q.embedding) ELSE 0 END, 6)) AS score
+  FROM (SELECT * FROM idx WHERE object_type = 'DOC_CHUNK' AND len(embedding) = 64) i, (SELECT * FROM questions WHERE variant_no = 1) q GROUP BY ALL),
+cl AS (SELECT query_no, object_no, 0 AS l, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, object_no) AS rank FROM ct WHERE score > 0 UNION ALL SELECT query_no, object_no, 1, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, object_no) FROM cv WHERE score > 0),
+cf AS (SELECT query_no, object_no, sum(1.0::double / (60 + rank)) AS score, min(l * 1000 + rank) AS first FROM cl WHERE rank <= 10 GROUP BY ALL),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY round(score, 12) DESC, first, object_no) AS r FROM cf),
+chunk AS (SELECT query_no, object_no, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, object_no) AS rank FROM cr WHERE r <= 10)
+SELECT query_no, 'seed' AS part, object_no, rank::int AS rank FROM seed UNION ALL SELECT query_no, 'neighbour', object_no, rank::int FROM neighbour UNION ALL SELECT query_no, 'edge', graph_edge_no, 0 FROM link
+UNION ALL SELECT query_no, 'chunk', object_no, rank::int FROM chunk WHERE object_no IN (SELECT chunk_no FROM kg_doc_chunk)"""
+SQL["recall_evidence"] = _RECALLED + ", " + _VIEWS["refs"] + ", " + _VIEWS["lines"] + """,
+said AS (SELECT DISTINCT m.query_no, m.graph_no, m.graph_version, t.doc_no, t.n FROM member m JOIN named_lines t ON t.graph_no = m.graph_no AND t.graph_version = m.graph_version AND t.graph_node_no = m.object_no WHERE n >= 1
+  UNION SELECT query_no, graph_no, graph_version, unnest(docs), 1 FROM link),
+gaps AS (SELECT *, lag(n) OVER (PARTITION BY query_no, graph_no, graph_version, doc_no ORDER BY n) AS prev FROM said),
+full_lines AS (SELECT query_no, graph_no, graph_version, doc_no, unnest(range(CASE WHEN n - prev BETWEEN 2 AND 3 THEN prev + 1 ELSE n END, n + 1))::int AS line_no FROM gaps),
+vs AS (SELECT graph_no, max(graph_version) AS graph_version FROM nodes GROUP BY graph_no),
+numbered AS (SELECT l.graph_no, vs.graph_version, l.doc_no, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS content FROM lines l JOIN vs USING (graph_no) WHERE len(parts) > 0)
+SELECT f.query_no, f.doc_no, f.line_no, sha256(content) AS line_hash FROM full_lines f JOIN numbered n ON n.graph_no = f.graph_no AND n.graph_version = f.graph_version AND n.doc_no = f.doc_no AND n.line_no = f.line_no"""
 SQL["classify_versions"] = _with("docs", "changes") + "SELECT * FROM changes"
 _KEPT = """, entries AS (SELECT graph_no, graph_node_no, unnest(map_keys(ref)) AS doc_no FROM alive WHERE ref IS NOT NULL),
 kept AS (SELECT e.graph_no, graph_node_no, string_agg(DISTINCT e.doc_no, '|' ORDER BY e.doc_no) AS docs FROM entries e JOIN changes c ON c.graph_no = e.graph_no AND c.doc_no = e.doc_no AND c.change = 'unchanged' GROUP BY e.graph_no, graph_node_no) """

@@ -11,7 +11,7 @@ from ..functions import keys as K
 from ..functions import refs as R
 from ..functions import text as X
 from ..functions.vectors import cosine, dot
-from ..model import DOC_CHUNK, NODE, SCOPE, Settings, live
+from ..model import DOC_CHUNK, NODE, SCHEMAS, SCOPE, Settings, live
 from ..operators import codegraph as C
 from ..operators import extract as E
 from ..operators import fusion as U
@@ -21,9 +21,10 @@ from ..operators import recall as Y
 from ..operators import search as S
 from ..operators import store as W
 from ..operators import versions as V
+from ..operators.index import escape_tag
 from ..operators.snapshots import snapshot_changes
 from ..session import Scratch, table
-from ..sources.files import source_class
+from ..sources.files import source_class, suffix_of
 from ..streaming import events as N
 from ..streaming import state as B
 from ..streaming import tasks as T
@@ -253,6 +254,34 @@ def chunk_channel(spark, sf_dir):
     return Y.chunk_hits(hits, table(spark, sf_dir, "kg_doc_chunk"), limit=10).select("query_no", "chunk_no", "graph_version", "doc_no", "line_start", "line_end", "rank")
 
 
+def _recalled(spark, sf_dir):
+    """The whole recall of one question a scope, chunks looked up in all graphs."""
+    scratch = Scratch(spark, "recalled")
+    n = scratch.write(views.nodes(spark, sf_dir))
+    i = scratch.write(views.index(spark, sf_dir))
+    postings = scratch.write(S.bigram_index(i))
+    lines = _doc_lines(spark, sf_dir, n)
+    return Y.recall(
+        views.questions(i), entries=i, index=postings, nodes=live(n), edges=_near_edges(spark, sf_dir, n), doc_lines=lines, chunks=table(spark, sf_dir, "kg_doc_chunk"), settings=Settings(),
+        all_entries=i, all_index=postings,
+    )
+
+
+@query
+def recall_full(spark, sf_dir):
+    """Seeds, neighbours, edges and chunks of every question's recall."""
+    r = _recalled(spark, sf_dir)
+    part = lambda df, name, no, rank: df.select("query_no", F.lit(name).alias("part"), F.col(no).alias("object_no"), rank.cast("int").alias("rank"))
+    out = part(r.seeds, "seed", "object_no", F.col("rank")).unionByName(part(r.neighbours, "neighbour", "object_no", F.col("rank")))
+    return out.unionByName(part(r.edges, "edge", "graph_edge_no", F.lit(0))).unionByName(part(r.chunks, "chunk", "chunk_no", F.col("rank")))
+
+
+@query
+def recall_evidence(spark, sf_dir):
+    """Lines that nodes and edges of every question's recall rest on."""
+    return _recalled(spark, sf_dir).evidence.select("query_no", "doc_no", "line_no", F.sha2("content", 256).alias("line_hash"))
+
+
 # --- text, keys, documents ----------------------------------------------------------------------------------------
 
 
@@ -302,6 +331,24 @@ def slug_keys(spark, sf_dir):
     return n.select(*SCOPE, "graph_node_no", K.slug(F.col("name")).alias("slug"), K.node_no(F.col("class"), spec, F.col("name")).alias("node_no"))
 
 
+@query
+def slug_plain(spark, sf_dir):
+    """Slugs and keys of all names without Unicode normalisation."""
+    n = views.nodes(spark, sf_dir).filter("name is not null")
+    return n.select(*SCOPE, "graph_node_no", K.slug(F.col("name"), normalize=False).alias("slug"), K.node_no(F.col("class"), None, F.col("name"), normalize=False).alias("node_no"))
+
+
+@query
+def tag_escape(spark, sf_dir):
+    return views.nodes(spark, sf_dir).filter("name is not null").select(*SCOPE, "graph_node_no", escape_tag(F.col("name")).alias("tag"))
+
+
+@query
+def source_types(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.regexp_replace(suffix_of(F.col("doc_no")), r"^\.", "").alias("source_type"))
+
+
 @query
 def url_keys(spark, sf_dir):
     d = views.docs(spark, sf_dir).filter("trim(origin_url) <> ''")
@@ -405,9 +452,16 @@ def fusion_components(spark, sf_dir):
 
 @query
 def fusion_clusters(spark, sf_dir):
-    """Pairs the default clusterer makes of the candidates."""
+    """Pairs a clusterer that goes by the first word of names makes of the candidates."""
+
+    def by_first_word(_kind, names):
+        groups = {}
+        for name in names:
+            groups.setdefault((name.split() or [""])[0].lower(), []).append(name)
+        return [g for g in groups.values() if len(g) > 1]
+
     n = views.nodes(spark, sf_dir)
-    return U.cluster(U.fusion_candidates(n, limit=Settings.candidate_topk), n)
+    return U.cluster(U.fusion_candidates(n, limit=Settings.candidate_topk), n, by_first_word)
 
 
 def _groups(spark, sf_dir, n):
@@ -634,6 +688,54 @@ def task_retry(spark, sf_dir):
     return T.retry(t, t.select("task_no"), now).groupBy("graph_no", "status").agg(F.count(F.lit(1)).alias("tasks"))
 
 
+NOW = "2024-01-20 00:00:00"
+
+
+@query
+def task_enqueue(spark, sf_dir):
+    """Every graph asks for a task; one that has an active one gets that named."""
+    t = _tasks(spark, sf_dir)
+    first = F.row_number().over(Window.partitionBy("active_key").orderBy(F.col("task_no").cast("bigint")))
+    t = t.withColumn("active_key", F.when(F.col("active_key").isNotNull() & (first == 1), F.col("active_key")))
+    t = t.withColumns({"payload": F.col("props"), "progress_current": F.lit(0), "progress_total": F.lit(0)}).select(*SCHEMAS["task"].fieldNames())
+    asked = t.select("graph_no").distinct().select("graph_no", F.concat(F.lit("new-"), "graph_no").alias("task_no"), F.lit("{}").alias("payload"))
+    return T.enqueue(t, asked, F.lit(NOW).cast("timestamp_ntz"))[1]
+
+
+@query
+def task_finish(spark, sf_dir):
+    """Running tasks end, those without a lease with an error."""
+    t = _tasks(spark, sf_dir)
+    outcome = t.filter("status = 'RUNNING'").select("task_no", F.when(F.col("lease_expires_at").isNull(), "boom").alias("error"))
+    out = T.finish(t, outcome, F.lit(NOW).cast("timestamp_ntz"))
+    return out.select("task_no", "status", "error", F.col("active_key").isNotNull().alias("active"), F.col("lease_expires_at").isNotNull().alias("leased"))
+
+
+def _steps(spark, sf_dir):
+    t = _tasks(spark, sf_dir)
+    status = F.when(F.col("status") == "QUEUED", T.PENDING).otherwise(F.col("status"))
+    none = F.lit(None).cast("timestamp_ntz")
+    return t.select(F.col("task_no").alias("step_no"), F.col("graph_no").alias("run_no"), F.col("task_no").alias("step_key"), status.alias("status"), "attempts", "max_attempts", "error", none.alias("started_at"), none.alias("finished_at"))
+
+
+@query
+def step_plan(spark, sf_dir):
+    """Each run wants its steps that are done or run, and a new one."""
+    s = _steps(spark, sf_dir)
+    wanted = s.filter("status in ('SUCCEEDED', 'RUNNING')").select("run_no", "step_key")
+    wanted = wanted.unionByName(s.select("run_no", F.lit("new").alias("step_key")).distinct())
+    return T.plan_steps(s, wanted).select("run_no", "step_key", "status", "attempts")
+
+
+@query
+def step_checkpoint(spark, sf_dir):
+    """Pending steps start, running ones succeed, failed ones fail again, what is done is skipped and stays done."""
+    s = _steps(spark, sf_dir)
+    event = F.when(F.col("status") == "PENDING", "started").when(F.col("status") == "RUNNING", "succeeded").when(F.col("status") == "FAILED", "failed").otherwise("skipped")
+    out = T.checkpoint(s, s.select("run_no", "step_key", event.alias("event"), F.lit("again").alias("error")), F.lit(NOW).cast("timestamp_ntz"))
+    return out.select("run_no", "step_key", "status", "attempts", "error", F.col("finished_at").isNotNull().alias("finished"))
+
+
 def _state(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp_ntz"))
     key = B.key_of(F.lit("g"), F.lit(1), F.col("user_id").cast("string"))

@@ -6,17 +6,22 @@ the pointer, so readers see the old table or the new one; one writer a store.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import threading
 import uuid
+from dataclasses import replace
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import content_hash, new_graph_no, new_id, node_no, state_key
 from .functions.text import title
-from .model import BUILDING, EDGE, MERGED, NODE, PRUNED, SCHEMAS, SCOPE, GraphScope, Settings, live
+from .model import BUILDING, DOC_CHUNK, EDGE, MERGED, NODE, PRUNED, SCHEMAS, SCOPE, GraphScope, Settings, live
+from .operators import codegraph as C
 from .operators import extract as E
 from .operators import fusion as U
 from .operators import lookup as L
@@ -24,7 +29,7 @@ from .operators import recall as Y
 from .operators import search as S
 from .operators import store as W
 from .operators import versions as V
-from .plugins import embed_text, embedder, expand_query
+from .plugins import WakeUp, embed_text, embedder, expand_query
 from .session import Scratch, ship
 from .sources import files as SF
 from .sources import manifest as M
@@ -77,10 +82,14 @@ class Store:
 class Service:
     """Graph service; a named graph means its latest ACTIVE version unless a version is given."""
 
-    def __init__(self, spark: SparkSession, root: str, *, settings: Settings | None = None, extractor: E.Extractor = E.rule_extractor, clusterer: U.Clusterer = U.slug_clusterer, rewriter=None, dim: int = 64):
+    def __init__(self, spark: SparkSession, root: str, *, settings: Settings | None = None, extractor: E.Extractor = E.rule_extractor, clusterer: U.Clusterer = U.slug_clusterer, rewriter=None, fetcher=None, embed_query=None, embed_column=None, dim: int | None = None):
         ship(spark)
         self.spark, self.store, self.settings = spark, Store(spark, root), settings or Settings()
-        self.extractor, self.clusterer, self.rewriter, self.dim = extractor, clusterer, rewriter, dim
+        self.dim = dim or self.settings.embed_dim
+        self.extractor, self.clusterer, self.rewriter, self.fetcher = extractor, clusterer, rewriter, fetcher
+        self.embed_query, self.embed_column = embed_query or (lambda t: embed_text(t, self.dim)), embed_column or embedder(self.dim)
+        self.hints = WakeUp(spark, root)
+        self._lock = threading.Lock()
         self.warnings: list[str] = []
 
     # --- graphs and files
@@ -166,13 +175,13 @@ class Service:
         for n in names:
             observer.started(n)
         found = scratch.write(E.extract(todo.select(F.col("doc_no").alias("doc_id"), "text"), self.extractor))
-        nodes, domain, edges = self._graph_rows(found, graph_no, target)
+        nodes, domain, edges, rejected = self._graph_rows(found, graph_no, target)
         all_nodes = scratch.write(W.upsert_nodes(p.nodes, W.fold_batch(nodes, [*SCOPE, "graph_node_no"])))
         all_edges = scratch.write(W.upsert_edges(p.edges, edges))
         new_docs = todo.select(*SCOPE, "doc_no", "path", title(F.col("text"), F.col("doc_no")).alias("title"), "sha256", "source_type", "origin_url")
         new_chunks = W.document_chunks(todo.withColumn("file_path", F.col("path")), size=self.settings.chunk_size, overlap=self.settings.chunk_overlap)
         chunks = scratch.write(kept["doc_chunk"].unionByName(new_chunks, allowMissingColumns=True))
-        index = W.index_rows(all_nodes, all_edges, chunks, p.aliases, embed=embedder(self.dim))
+        index = W.index_rows(all_nodes, all_edges, chunks, p.aliases, embed=self.embed_column)
         # the hash of a document is written last, so that a failed build extracts it again
         self._swap("graph_node", all_nodes, graph_no, target)
         self._swap("domain_entity", W.upsert_domain(p.domain, domain), graph_no, target)
@@ -185,27 +194,26 @@ class Service:
         st.write("graph", V.activate(st.read("graph"), graph_no, target))
         for n in names:
             observer.succeeded(n)
-        return answer | {"skipped": False, "dropped": sum(len(r[0]) for r in found.select("dropped").collect())}
+        return answer | {"skipped": False, "dropped": (found.agg(F.sum(F.size("dropped"))).first()[0] or 0) + rejected.count()}
 
-    def _graph_rows(self, found: DataFrame, graph_no: str, target: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _graph_rows(self, found: DataFrame, graph_no: str, target: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         scope = [F.lit(graph_no).alias("graph_no"), F.lit(target).cast("bigint").alias("graph_version")]
         raw = found.select("doc_id", F.posexplode("nodes").alias("seq", "n")).select("doc_id", "seq", "n.*")
-        valid, _ = E.validate_nodes(raw)
+        valid, bad_nodes = E.validate_nodes(raw)
         valid = valid.withColumn("graph_node_no", node_no(F.col("type"), F.col("entity_spec"), F.col("name")))
         ref = lambda: F.create_map(F.col("doc_id"), F.coalesce("lines", F.array().cast("array<string>")))
         seq = F.struct("doc_id", "seq")
-        nodes = valid.select(*scope, "graph_node_no", "name", F.lit("ENTITY").alias("type"), "description", F.lit("{}").alias("properties"), ref().alias("ref"), F.hash("doc_id").cast("bigint").alias("d"), "seq")
-        nodes = nodes.withColumn("seq", F.col("d") * 1_000_000 + F.col("seq")).drop("d")
+        nodes = valid.select(*scope, "graph_node_no", "name", F.lit("ENTITY").alias("type"), "description", F.lit("{}").alias("properties"), ref().alias("ref"), seq.alias("seq"))
         domain = valid.groupBy("graph_node_no").agg(*[F.min_by(c, seq).alias(c) for c in ("name", "type", "entity_spec")]).select(*scope, "graph_node_no", "name", "type", "entity_spec", F.lit("{}").alias("properties"))
         e = found.select("doc_id", F.explode("edges").alias("e")).select("doc_id", "e.*")
-        good, _ = E.validate_edges(e, valid.select("doc_id", "name"))
+        good, bad_edges = E.validate_edges(e, valid.select("doc_id", "name"))
         bound = W.bind_edges(good.withColumnsRenamed({"source": "source_name", "target": "target_name"}), valid.select("doc_id", "name", "graph_node_no", "seq"))
         bound = bound.select(*scope, "graph_edge_no", "source_node_no", "target_node_no", F.col("label").alias("name"), "description", F.to_json(F.struct("confidence")).alias("properties"), ref().alias("ref"))
         key = [*SCOPE, "graph_edge_no"]
         from .functions.refs import fold_refs
 
         one = bound.groupBy(*key).agg(*[F.min(c).alias(c) for c in ("source_node_no", "target_node_no", "name", "description", "properties")])
-        return nodes, domain, one.join(fold_refs(bound, key), key)
+        return nodes, domain, one.join(fold_refs(bound, key), key), bad_nodes.select("reason").unionByName(bad_edges.select("reason"))
 
     def _swap(self, name: str, rows: DataFrame, graph_no: str, version: int) -> None:
         """Table with the rows of one scope replaced."""
@@ -215,6 +223,71 @@ class Service:
         fixed = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields])
         self.store.write(name, rest.select(*want.fieldNames()).unionByName(fixed))
 
+    def ingest_urls(self, graph_no: str, urls: list[str], folder: str) -> dict:
+        """Pages of addresses by the injected fetcher, their main content written as files and registered; a page that
+        fails or is empty is a warning, and if none is left an error."""
+        if self.fetcher is None:
+            raise ValueError("fetching addresses needs a fetcher")
+        asked = self.spark.createDataFrame([(u.strip(),) for u in dict.fromkeys(urls) if u.strip() and not u.strip().startswith("#")], "url string")
+        pages = Scratch(self.spark, "pages").write(SF.fetch(asked, self.fetcher))
+        os.makedirs(folder, exist_ok=True)
+        added = 0
+        for r in pages.toLocalIterator():
+            if not (r["text"] or "").strip():
+                self.warnings.append(f"{r['origin_url']}: {r['error']}")
+                continue
+            path = os.path.join(folder, content_name(r["doc_no"]))
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(r["text"])
+            row = self.spark.createDataFrame([(graph_no, r["doc_no"], os.path.abspath(path), "url", r["origin_url"], False)], SCHEMAS["graph_file"])
+            self.store.write("graph_file", M.add_files(self.store.read("graph_file"), row.drop("deleted")))
+            added += 1
+        if not added:
+            raise ValueError("no page with content")
+        return {"added": added, "failed": asked.count() - added}
+
+    def ingest_code(self, graph_no: str, repo: str, *, languages: list[str] | None = None, version: int | None = None, dry_run: bool = False) -> dict:
+        """Symbols, packages and imports of a repository projected onto the graph; the code graph itself is kept as JSON
+        tables below the store. A dry run only counts. A repository without files of a known language is an error."""
+        s, scratch = self.scope(graph_no, version), Scratch(self.spark, "code")
+        languages = languages or [x.strip() for x in self.settings.code_langs.split(",") if x.strip()]
+        unknown = set(languages) - set(C.SUFFIXES)
+        if unknown:
+            raise ValueError(f"unknown language: {sorted(unknown)}")
+        files = {n: scratch.write(C.scan_repo(self.spark, repo, suffix=C.SUFFIXES[n])) for n in languages}
+        files = {n: f for n, f in files.items() if not f.isEmpty()}
+        if not files:
+            raise ValueError(f"no source files below {repo}")
+        union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+        symbols = scratch.write(union([C.symbols(f, n) for n, f in files.items()]))
+        packages = union([f.select("package") for f in files.values()]).distinct()
+        imports = scratch.write(union([C.import_edges(C.raw_imports(f, n), f) for n, f in files.items()]))
+        packages, hierarchy = (scratch.write(x) for x in C.package_hierarchy(packages))
+        nodes, edges = C.project_symbols(symbols, imports, hierarchy)
+        nodes, edges = scratch.write(nodes), scratch.write(edges)
+        repo_id = os.path.basename(os.path.normpath(repo))
+        report = {"repo_id": repo_id, "files": sum(f.count() for f in files.values()), "symbols": symbols.count(), "packages": packages.count(), "edges": edges.count()}
+        if dry_run:
+            return report
+        root = self.settings.code_cache_dir or f"{self.store.root}/code"
+        C.write_code_graph(f"{root}/{graph_no}/{repo_id}", symbols, packages, imports.unionByName(hierarchy))
+        scope = [F.lit(s.graph_no).alias("graph_no"), F.lit(s.graph_version).cast("bigint").alias("graph_version")]
+        empty_ref = F.create_map().cast("map<string,array<string>>")
+        own = nodes.select(*scope, "graph_node_no", "name", F.lit("ENTITY").alias("type"), "description", F.to_json("properties").alias("properties"), empty_ref.alias("ref")).dropDuplicates(["graph_node_no"])
+        key = [*SCOPE, "graph_node_no"]
+        mine = lambda n: self._mine(n, graph_no, s.graph_version)
+        # a node of code that was deleted comes back to life
+        old = mine("graph_node").join(own.select(*key, F.lit(True).alias("again")), key, "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)) & F.col("again").isNull()).drop("again")
+        all_nodes = scratch.write(W.upsert_nodes(old, own))
+        links = edges.select(*scope, "graph_edge_no", "source_node_no", "target_node_no", "name", F.lit(None).cast("string").alias("description"), F.to_json(F.struct("confidence")).alias("properties"), empty_ref.alias("ref"))
+        all_edges = scratch.write(W.upsert_edges(mine("graph_edge"), links))
+        domain = own.select(*key, "name", F.lit("Asset").alias("type"), F.lit("Implementation").alias("entity_spec"), F.lit("{}").alias("properties"))
+        all_domain = scratch.write(W.upsert_domain(mine("domain_entity"), domain))
+        index = scratch.write(W.reindexed(mine("search_index"), own.select(F.lit(NODE).alias("object_type"), F.col("graph_node_no").alias("object_no")), nodes=all_nodes, edges=all_edges, aliases=mine("entity_alias"), embed=self.embed_column))
+        for name, df in (("graph_node", all_nodes), ("graph_edge", all_edges), ("domain_entity", all_domain), ("search_index", index)):
+            self._swap(name, df, s.graph_no, s.graph_version)
+        return report
+
     # --- retrieval
 
     def _explored(self, key: str | None) -> DataFrame | None:
@@ -227,26 +300,41 @@ class Service:
     def _now():
         return F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
 
-    def search(self, question: str, graph_no: str, *, version: int | None = None, state_id: str | None = None) -> Y.Recall:
+    def search(self, question: str, graph_no: str, *, version: int | None = None, state_id: str | None = None, window: int | None = None) -> Y.Recall:
         """Recall for one question; with a state id, what it was shown before is left out and what it is shown now kept."""
         scope = self.scope(graph_no, version)
         wordings, warning = expand_query(question, self.rewriter, self.settings.max_queries)
         self.warnings += [warning] if warning else []
         mine = lambda n: self.store.read(n).filter(scope.where())
-        entries = mine("search_index")
-        text = " ".join(wordings)
-        q = self.spark.createDataFrame([("q", scope.graph_no, scope.graph_version, text, embed_text(question, self.dim))], "query_no string, graph_no string, graph_version bigint, text string, embedding array<double>")
+        entries, everything = mine("search_index"), self.store.read("search_index")
+        rows = [("q", i, scope.graph_no, scope.graph_version, w, self._query_vector(w)) for i, w in enumerate(wordings)]
+        q = self.spark.createDataFrame(rows, "query_no string, variant_no int, graph_no string, graph_version bigint, text string, embedding array<double>")
         key = state_key(scope.graph_no, scope.graph_version, state_id) if state_id else None
-        out = Y.recall(q, entries=entries, index=S.bigram_index(entries), nodes=live(mine("graph_node")), edges=live(mine("graph_edge")), doc_lines=mine("doc_line"), chunks=mine("doc_chunk").withColumn("id", F.lit(0).cast("bigint")), settings=self.settings, explored=self._explored(key))
+        out = Y.recall(
+            q, entries=entries, index=S.bigram_index(entries), nodes=live(mine("graph_node")), edges=live(mine("graph_edge")), doc_lines=mine("doc_line"), chunks=self.store.read("doc_chunk").withColumn("id", F.lit(0).cast("bigint")),
+            settings=self.settings if window is None else replace(self.settings, evidence_window=window), explored=self._explored(key), all_entries=everything, all_index=S.bigram_index(everything.filter(F.col("object_type") == DOC_CHUNK)),
+        )
         if key:
             shown = out.seeds.select("object_no").unionByName(out.neighbours.select("object_no")).select(F.lit(key).alias("state_key"), F.col("object_no").alias("node_no"))
             self.store.write("state", B.evict(B.add(self.store.read("state"), shown, self._now()), capacity=self.settings.state_capacity))
         return out
 
-    def clear_recall_state(self, graph_no: str, state_id: str, version: int | None = None) -> None:
+    def _query_vector(self, text: str) -> list[float] | None:
+        """Vector of a query; without one, or if the embedder fails, search is by text alone and a warning is kept."""
+        try:
+            return self.embed_query(text)
+        except Exception as e:
+            self.warnings.append(f"query embedding: {type(e).__name__}: {e}")
+            return None
+
+    def clear_recall_state(self, graph_no: str, state_id: str, version: int | None = None) -> bool:
         s = self.scope(graph_no, version)
         keys = self.spark.createDataFrame([(state_key(s.graph_no, s.graph_version, state_id),)], "state_key string")
-        self.store.write("state", B.clear(self.store.read("state"), keys))
+        old = self.store.read("state")
+        known = not old.join(keys, "state_key", "left_semi").isEmpty()
+        if known:
+            self.store.write("state", B.clear(old, keys))
+        return known
 
     def _mine(self, name: str, graph_no: str, version: int | None) -> DataFrame:
         return self.store.read(name).filter(self.scope(graph_no, version).where())
@@ -265,7 +353,7 @@ class Service:
 
     def reindex(self, graph_no: str, version: int | None = None) -> dict:
         s = self.scope(graph_no, version)
-        index = W.index_rows(*(self._mine(n, graph_no, s.graph_version) for n in ("graph_node", "graph_edge", "doc_chunk", "entity_alias")), embed=embedder(self.dim))
+        index = W.index_rows(*(self._mine(n, graph_no, s.graph_version) for n in ("graph_node", "graph_edge", "doc_chunk", "entity_alias")), embed=self.embed_column)
         self._swap("search_index", index, s.graph_no, s.graph_version)
         row = W.reindex_counts(self._mine("search_index", graph_no, s.graph_version)).first()
         return row.asDict() if row else {}
@@ -326,7 +414,7 @@ class Service:
         """Index rows of single nodes and edges (object_type, object_no) written anew; dead ones are removed."""
         s = self.scope(graph_no, version)
         mine = lambda n: self._mine(n, graph_no, s.graph_version)
-        new = W.reindexed(mine("search_index"), keys, nodes=mine("graph_node"), edges=mine("graph_edge"), aliases=mine("entity_alias"), embed=embedder(self.dim))
+        new = W.reindexed(mine("search_index"), keys, nodes=mine("graph_node"), edges=mine("graph_edge"), aliases=mine("entity_alias"), embed=self.embed_column)
         self._swap("search_index", Scratch(self.spark, "reindex").write(new), s.graph_no, s.graph_version)
 
     def alias_of(self, entity: str, graph_no: str, version: int | None = None) -> list[str]:
@@ -338,43 +426,131 @@ class Service:
 
     # --- tasks
 
-    def enqueue_ingest(self, graph_no: str, *, max_attempts: int = 3, force: bool = False) -> dict:
-        asked = self.spark.createDataFrame([(graph_no, new_id("task"), '{"force":%s}' % str(force).lower())], "graph_no string, task_no string, payload string")
+    def enqueue_ingest(self, graph_no: str, *, max_attempts: int = 3, force: bool = False, allow_empty: bool = False) -> dict:
+        """(task_no, created) of the graph's one active task, made if there is none; workers get a hint."""
+        payload = json.dumps({"force": force, "allow_empty": allow_empty})
+        asked = self.spark.createDataFrame([(graph_no, new_id("task"), payload)], "graph_no string, task_no string, payload string")
         tasks, answer = T.enqueue(self.store.read("task"), asked, self._now(), max_attempts=max_attempts)
         row = answer.first().asDict()
         if row["created"]:
-            self.store.write("task", tasks.filter(F.col("task_no") != row["task_no"]).unionByName(tasks.filter(F.col("task_no") == row["task_no"])).withColumn("task_no", F.coalesce("task_no", F.lit(row["task_no"]))))
+            self._put_tasks(lambda _: tasks)
+            self.hints.send()
         return row
 
+    def _put_tasks(self, change) -> None:
+        """The task table after a transition; heartbeats and the worker take turns."""
+        with self._lock:
+            self.store.write("task", change(self.store.read("task")))
+
     def task_status(self, task_no: str) -> dict | None:
-        row = self.store.read("task").filter(F.col("task_no") == task_no).first()
-        return row.asDict() if row else None
+        """A task with its run and the run's steps."""
+        row = self._task_rows(self.store.read("task").filter(F.col("task_no") == task_no)).first()
+        return row.asDict(recursive=True) if row else None
+
+    def _task_rows(self, tasks: DataFrame) -> DataFrame:
+        return T.task_list(tasks, self.store.read("pipeline_run"), self.store.read("pipeline_step"))
 
-    def list_tasks(self, limit: int = 20) -> DataFrame:
-        return self.store.read("task").orderBy(F.desc("create_time"), "task_no").limit(limit)
+    def list_tasks(self, limit: int = 20, graph_no: str | None = None) -> DataFrame:
+        tasks = self.store.read("task")
+        tasks = tasks if graph_no is None else tasks.filter(F.col("graph_no") == graph_no)
+        return self._task_rows(tasks.orderBy(F.desc("create_time"), "task_no").limit(limit))
 
     def retry_task(self, task_no: str, max_attempts: int | None = None) -> bool:
         asked = self.spark.createDataFrame([(task_no,)], "task_no string")
-        self.store.write("task", T.retry(self.store.read("task"), asked, self._now(), max_attempts=max_attempts))
-        return (self.task_status(task_no) or {}).get("status") == T.QUEUED
+        before = self.store.read("task").filter((F.col("task_no") == task_no) & (F.col("status") == T.FAILED))
+        if before.isEmpty():
+            return False
+        self._put_tasks(lambda t: T.retry(t, asked, self._now(), max_attempts=max_attempts))
+        done = self.store.read("task").filter((F.col("task_no") == task_no) & (F.col("status") == T.QUEUED)).first() is not None
+        if done:
+            steps, runs = self.store.read("pipeline_step"), self.store.read("pipeline_run").filter(F.col("task_no") == task_no)
+            self.store.write("pipeline_step", T.reopen(steps, runs))
+            self.hints.send()
+        return done
 
-    def run_worker(self, worker: str = "worker", max_tasks: int | None = None) -> int:
-        """Recover expired leases, then claim and run due tasks one by one until none is left; returns how many ran."""
+    def _checkpoint(self, run_no: str, events: DataFrame) -> None:
+        self.store.write("pipeline_step", T.checkpoint(self.store.read("pipeline_step"), events.withColumn("run_no", F.lit(run_no)), self._now()))
+
+    def _plan(self, task: dict, force: bool) -> tuple[str, DataFrame]:
+        """(run, its documents' changes): the task's run, made on its first attempt, with a step a document to extract."""
+        graph_no = task["graph_no"]
+        base, target = V.resolve_versions(self.store.read("graph").filter("graph_version > 0"), self.store.read("doc"), graph_no)
+        known = self.store.read("doc").filter((F.col("graph_no") == graph_no) & (F.col("graph_version") == (base or 0)))
+        changes = Scratch(self.spark, "plan").write(V.classify(self._texts(graph_no), known, force=force))
+        runs = self.store.read("pipeline_run")
+        row = runs.filter(F.col("task_no") == task["task_no"]).first()
+        run_no = row["run_no"] if row else new_id("run")
+        steps = T.plan_steps(self.store.read("pipeline_step"), changes.filter("change <> 'removed'").select(F.lit(run_no).alias("run_no"), F.col("doc_no").alias("step_key")), max_attempts=task["max_attempts"])
+        self.store.write("pipeline_step", steps)
+        mine = self.spark.createDataFrame([(run_no, task["task_no"], graph_no, base, target)], "run_no string, task_no string, graph_no string, base_version bigint, target_version bigint")
+        self.store.write("pipeline_run", T.upsert_run(runs, mine, self.store.read("pipeline_step"), T.RUNNING, None, self._now()))
+        return run_no, changes
+
+    def _close_run(self, run_no: str, status: str, error: str | None) -> None:
+        runs = self.store.read("pipeline_run")
+        mine = runs.filter(F.col("run_no") == run_no).select("run_no", "task_no", "graph_no", "base_version", "target_version")
+        self.store.write("pipeline_run", T.upsert_run(runs, mine, self.store.read("pipeline_step"), status, error, self._now()))
+
+    def _execute(self, task: dict, worker: str) -> str | None:
+        """Run a claimed task; returns its error, if any. While it runs its lease is renewed at a third of its time; each
+        document is a step: unchanged ones are skipped, extracted ones succeed or fail with the build."""
+        if task["status"] != T.RUNNING or task["task_type"] != "INGEST":
+            return f"ValueError: not a running ingest task: {task['task_no']}"
+        stop = threading.Event()
+
+        def beat() -> None:
+            while not stop.wait(max(1.0, self.settings.lease_seconds / 3)):
+                self._put_tasks(lambda t: T.heartbeat(t, self._now(), worker, lease_seconds=self.settings.lease_seconds))
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
+        run_no, error, events = None, None, None
+        try:
+            options = json.loads(task["payload"] or "{}")
+            run_no, changes = self._plan(task, bool(options.get("force")))
+            events = Scratch(self.spark, "steps").write(changes.filter("change <> 'removed'").select(F.col("doc_no").alias("step_key"), F.col("change") == "unchanged"))
+            same = events.columns[1]
+            busy = events.filter(~F.col(same)).select("step_key")
+            note = lambda df, event, why=None: df.select("step_key", F.lit(event).alias("event"), F.lit(why).cast("string").alias("error"))
+            self._checkpoint(run_no, note(busy, "started").unionByName(note(events.filter(F.col(same)).select("step_key"), "skipped")))
+            self.build(task["graph_no"], force=bool(options.get("force")), allow_empty=bool(options.get("allow_empty")))
+            self._checkpoint(run_no, note(busy, "succeeded"))
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"[:8000]
+            if events is not None:
+                self._checkpoint(run_no, note(busy, "failed", error))
+        finally:
+            stop.set()
+            thread.join()
+        if run_no:
+            left = task["attempts"] < task["max_attempts"]
+            self._close_run(run_no, T.SUCCEEDED if error is None else T.RETRYING if left else T.FAILED, error)
+        return error
+
+    def run_worker(self, worker: str = "worker", max_tasks: int | None = None, *, wait_seconds: float = 0.0) -> int:
+        """Recover expired leases, then claim and run due tasks one by one until none is left, after waiting
+        ``wait_seconds`` for a hint; returns how many ran."""
         done = 0
         while max_tasks is None or done < max_tasks:
-            self.store.write("task", T.claim(T.recover_expired(self.store.read("task"), self._now()), self._now(), worker, lease_seconds=self.settings.lease_seconds))
+            now = self._now()
+            due = self.store.read("task").filter((F.col("status") == T.RUNNING) | ((F.col("status") == T.QUEUED) & (F.col("available_at") <= now)))
+            if not due.isEmpty():
+                self._put_tasks(lambda t: T.claim(T.recover_expired(t, now), now, worker, lease_seconds=self.settings.lease_seconds))
             row = self.store.read("task").filter((F.col("status") == T.RUNNING) & (F.col("worker_id") == worker)).first()
             if row is None:
+                if wait_seconds > 0 and self.hints.wait(wait_seconds):
+                    continue
                 break
-            error = None
-            try:
-                self.build(row["graph_no"], force='"force":true' in (row["payload"] or ""))
-            except Exception as e:
-                error = f"{type(e).__name__}: {e}"[:8000]
+            error = self._execute(row.asDict(), worker)
             outcome = self.spark.createDataFrame([(row["task_no"], error)], "task_no string, error string")
-            self.store.write("task", T.finish(self.store.read("task"), outcome, self._now(), retry_delay=self.settings.retry_delay_seconds))
+            self._put_tasks(lambda t: T.finish(t, outcome, self._now(), retry_delay=self.settings.retry_delay_seconds))
             done += 1
         return done
 
 
+def content_name(doc_no: str) -> str:
+    """File name of a page's text."""
+    return re.sub(r"[^\w.-]+", "_", doc_no)[-80:] + "-" + uuid.uuid5(uuid.NAMESPACE_URL, doc_no).hex[:8] + ".md"
+
+
 __all__ = ["MERGED", "PRUNED", "Service", "Store", "content_hash"]

@@ -68,6 +68,14 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
+def download(url: str) -> str:
+    """A page over the network, by the standard library."""
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"User-Agent": "quillgraph"}), timeout=30) as r:
+        return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+
+
 def fetch(urls: DataFrame, fetcher: Callable[[str], str]) -> DataFrame:
     """(doc_no, origin_url, text, error) of addresses by an injected fetcher that returns HTML; an empty page or a failure
     leaves a note instead of a text."""

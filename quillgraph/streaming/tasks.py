@@ -76,6 +76,26 @@ def checkpoint(steps: DataFrame, events: DataFrame, now: Column) -> DataFrame:
     }).drop("x", "starts")
 
 
+def reopen(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """Steps with the failed ones of the runs PENDING again, their attempts counted anew."""
+    mine = steps.join(runs.select("run_no", F.lit(True).alias("again")).distinct(), "run_no", "left")
+    hit = F.col("again") & (F.col("status") == FAILED)
+    out = mine.withColumns({"status": F.when(hit, PENDING).otherwise(F.col("status")), "attempts": F.when(hit, 0).otherwise(F.col("attempts")), "error": F.when(hit, F.lit(None)).otherwise(F.col("error"))})
+    return out.select(*steps.columns)
+
+
+def upsert_run(runs: DataFrame, mine: DataFrame, steps: DataFrame, status: str, error: str | None, now: Column) -> DataFrame:
+    """Run table with the given runs (run_no, task_no, graph_no, base_version, target_version) in a status, their steps
+    counted; a run keeps its first start, and one that is over its end."""
+    over = status in (SUCCEEDED, FAILED)
+    counted = mine.join(progress(steps), "run_no", "left").join(runs.select("run_no", F.col("started_at").alias("begun")), "run_no", "left")
+    new = counted.select(
+        "run_no", "task_no", "graph_no", "base_version", "target_version", F.lit(status).alias("status"), *[F.coalesce(c, F.lit(0)).cast("int").alias(f"{n}_steps") for c, n in (("total", "total"), ("completed", "completed"), ("failed", "failed"))],
+        F.lit(error).cast("string").alias("error"), F.coalesce("begun", now).alias("started_at"), (now if over else F.lit(None).cast("timestamp_ntz")).alias("finished_at"),
+    )
+    return runs.join(mine.select("run_no"), "run_no", "left_anti").select(*new.columns).unionByName(new)
+
+
 def progress(steps: DataFrame) -> DataFrame:
     """(run_no, total, completed, failed) in one pass; skipped steps count as completed."""
     return steps.groupBy("run_no").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin(SUCCEEDED, SKIPPED)).alias("completed"), F.count_if(F.col("status") == FAILED).alias("failed"))

@@ -22,3 +22,12 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def shipped(spark):
+    """A session with adaptive execution and code generation, as queries run outside the tests."""
+    session = spark.newSession()
+    for name, value in {"spark.sql.adaptive.enabled": "true", "spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK", "spark.sql.shuffle.partitions": "4"}.items():
+        session.conf.set(name, value)
+    return session

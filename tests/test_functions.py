@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quillgraph.functions import keys as K
@@ -48,14 +50,30 @@ def test_json_tolerance_and_templates(spark):
     assert X.fill_template("{{a}}-{{b}}", {"a": "{{b}}", "b": "2"}) == "{{b}}-2"
 
 
-def test_chunks(spark):
-    assert list(X.cut_chunks("", 10, 2)) == [] and list(X.cut_chunks("   \n  ", 100, 2)) == []
-    assert list(X.cut_chunks("a\nb\nc", 100, 20)) == [(0, "a\nb\nc", 1, 3)]
-    text = "\n".join(f"line{i:02d}xyz" for i in range(10))
-    parts = list(X.cut_chunks(text, 30, 10))
-    assert [p[0] for p in parts] == list(range(len(parts))) and len(parts) > 1
-    assert parts[0][2] == 1 and parts[-1][3] == 10 and all(len(p[1]) <= 30 for p in parts)
-    assert len(list(X.cut_chunks("x" * 100, 20, 999))) < 200
+def _pieces(text, size, overlap):
+    """One after the other, as the definition has it."""
+    size, out, at = max(size, 1), [], 0
+    overlap = min(max(overlap, 0), size - 1)
+    while at < len(text):
+        end = min(at + size, len(text))
+        feeds = [i for i in range(at, end) if text[i] == "\n"]
+        if end < len(text) and feeds and feeds[-1] - at > size // 2:
+            end = feeds[-1]
+        if text[at:end].strip():
+            out.append((len(out), text[at:end].strip("\n"), 1 + text[:at].count("\n"), 1 + text[: max(at, end - 1)].count("\n")))
+        if end == len(text):
+            break
+        at = end - overlap if end - overlap > at else end
+    return out
+
+
+def test_chunks():
+    assert X.cut_pieces([], 10, 2) == [] == X.cut_pieces(["", "   \n  "], 100, 2)
+    assert X.cut_pieces(["", "a\nb\nc"], 100, 20) == [(1, 0, "a\nb\nc", 1, 3)]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é中\n\n 👩") for _ in range(rng.choice([0, 1, 7, 8, 9, 60, 300]))) for _ in range(60)] + ["x" * 100, "\n" * 50, "\ud800ab"]
+    for size, overlap in ((8, 3), (20, 999), (1, 0), (0, -1), (30, 10)):
+        assert X.cut_pieces(texts, size, overlap) == [(t, *p) for t, text in enumerate(texts) for p in _pieces(text, size, overlap)]
 
 
 def test_tokens_refs_and_properties(spark):

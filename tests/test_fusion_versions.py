@@ -104,6 +104,11 @@ def test_what_was_written_to_a_moved_edge_since_the_merge_stays(spark):
     assert (row["source_node_no"], row["properties"], row["graph_edge_no"]) == ("b", '{"new":1}', e.first()["graph_edge_no"])
 
 
+def test_edges_under_adaptive_execution_and_code_generation(shipped):
+    test_edges_move_fold_and_lose_loops(shipped)
+    test_components_of_chains(shipped)
+
+
 def test_pruning_comes_undone(spark):
     n = nodes(spark, ("orphan", "o", "text", '{"p":1}', {"d1": ["1"]}, False), ("kept", "p", None, "{}", {"d1": ["1"], "d2": ["1"]}, False))
     none = {t: spark.createDataFrame([], SCHEMAS[t]) for t in ("graph_edge", "domain_entity", "entity_alias", "merge_edge")}

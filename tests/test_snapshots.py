@@ -51,3 +51,8 @@ def test_one_exchange_of_the_rows_and_no_sort(spark):
     df = spark.createDataFrame([(1, "g", 1, "a", "x", 5), (3, "g", 2, "a", "y", 1)], "id bigint, graph_no string, graph_version bigint, doc_no string, sha256 string, t int")
     plan = snapshot_changes(df, compared=[F.col("sha256")], time=F.col("t"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 1 and "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_under_adaptive_execution_and_code_generation(shipped):
+    test_changes_versions_may_skip_and_case_means_nothing(shipped)
+    test_latest_delivery_counts_and_null_time_is_oldest(shipped)
