@@ -43,8 +43,6 @@ SCHEMAS: dict[str, T.StructType] = {
     "pipeline_run": _schema({"run_no": _S, "task_no": _S, "graph_no": _S, "base_version": _L, "target_version": _L, "status": _S, "total_steps": _I, "completed_steps": _I, "failed_steps": _I, "error": _S, "started_at": _TS, "finished_at": _TS}),
     "pipeline_step": _schema({"step_no": _S, "run_no": _S, "step_key": _S, "status": _S, "attempts": _I, "max_attempts": _I, "error": _S, "started_at": _TS, "finished_at": _TS}),
 }
-#: Columns by which a stored table of a graph is partitioned, so that a scope reads its own files only.
-PARTITIONS = {n: [c for c in SCOPE if c in s.fieldNames()] for n, s in SCHEMAS.items()}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from dataclasses import replace
 from datetime import datetime, timezone
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from .sources import manifest as M
 from .streaming import state as B
 from .streaming import tasks as T
 
+#: Tables kept scope by scope.
+SCOPED = {n for n, t in SCHEMAS.items() if n != "graph" and set(SCOPE) <= set(t.fieldNames())}
 _STATE = "state_key string, node_no string, last_access timestamp_ntz"
 
 
@@ -60,10 +63,28 @@ class Store:
     def _current(self, name: str) -> str | None:
         return (self._generations(name) or [None])[-1]
 
-    def read(self, name: str) -> DataFrame:
-        at = self._current(name)
-        schema = SCHEMAS.get(name, _STATE if name == "state" else None)
-        return self.spark.createDataFrame([], schema) if at is None else self.spark.read.parquet(f"{self.root}/{name}/{at}")
+    def _scopes(self, name: str) -> list[str]:
+        folder = self._path(f"{name}/scopes")
+        return sorted(f"{name}/scopes/{x.getPath().getName()}" for x in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
+    @staticmethod
+    def _scope(name: str, graph_no: str, version: int) -> str:
+        return f"{name}/scopes/{quote(graph_no, safe='')}@{version}"
+
+    def read(self, name: str, scope: GraphScope | None = None) -> DataFrame:
+        """A table, or what it has of one scope, which reads that scope's files only."""
+        schema = SCHEMAS.get(name) or _STATE
+        if name in SCOPED:
+            folders = self._scopes(name) if scope is None else [self._scope(name, scope.graph_no, scope.graph_version)]
+        else:
+            folders = [name]
+        paths = [f"{self.root}/{f}/{at}" for f in folders if (at := self._current(f))]
+        df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return df.filter(scope.where()) if scope is not None and name not in SCOPED else df
+
+    def swap(self, name: str, rows: DataFrame, graph_no: str, version: int) -> None:
+        """Rows of one scope replaced; other scopes' files are left alone."""
+        self.write(self._scope(name, graph_no, version), rows)
 
     def write(self, name: str, df: DataFrame) -> None:
         """The generation completed last is the table; two more stay for plans that were made over them."""
@@ -166,7 +187,7 @@ class Service:
         if graphs.filter((F.col("graph_no") == graph_no) & (F.col("graph_version") == target)).isEmpty():
             st.put("graph", [{"graph_no": graph_no, "graph_version": target, "name": name, "status": BUILDING, "projection_done": False}])
         unchanged = changes.filter("change = 'unchanged'").select(F.lit(graph_no).alias("graph_no"), "doc_no")
-        mine = lambda n: st.read(n).filter((F.col("graph_no") == graph_no) & (F.col("graph_version") == (base or 0)))
+        mine = lambda n: st.read(n, GraphScope(graph_no, base or 0))
         p = V.project(mine("graph_node"), mine("graph_edge"), mine("domain_entity"), mine("entity_alias"), mine("doc_chunk"), mine("search_index"), unchanged, base=base or 0, target=target)
         kept = {n: V.project_docs(mine(n), unchanged, base=base or 0, target=target) for n in ("doc", "doc_line", "doc_chunk")}
         todo = scratch.write(docs.join(V.to_extract(changes).select("doc_no"), "doc_no", "left_semi").withColumn("graph_version", F.lit(target).cast("bigint")))
@@ -217,11 +238,8 @@ class Service:
 
     def _swap(self, name: str, rows: DataFrame, graph_no: str, version: int) -> None:
         """Table with the rows of one scope replaced."""
-        rest = self.store.read(name).filter(~((F.col("graph_no") == graph_no) & (F.col("graph_version") == version)))
-        want = SCHEMAS[name]
         have = rows.columns
-        fixed = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields])
-        self.store.write(name, rest.select(*want.fieldNames()).unionByName(fixed))
+        self.store.swap(name, rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]), graph_no, version)
 
     def ingest_urls(self, graph_no: str, urls: list[str], folder: str) -> dict:
         """Pages of addresses by the injected fetcher, their main content written as files and registered; a page that
@@ -305,7 +323,7 @@ class Service:
         scope = self.scope(graph_no, version)
         wordings, warning = expand_query(question, self.rewriter, self.settings.max_queries)
         self.warnings += [warning] if warning else []
-        mine = lambda n: self.store.read(n).filter(scope.where())
+        mine = lambda n: self.store.read(n, scope)
         entries, everything = mine("search_index"), self.store.read("search_index")
         rows = [("q", i, scope.graph_no, scope.graph_version, w, self._query_vector(w)) for i, w in enumerate(wordings)]
         q = self.spark.createDataFrame(rows, "query_no string, variant_no int, graph_no string, graph_version bigint, text string, embedding array<double>")
@@ -337,7 +355,7 @@ class Service:
         return known
 
     def _mine(self, name: str, graph_no: str, version: int | None) -> DataFrame:
-        return self.store.read(name).filter(self.scope(graph_no, version).where())
+        return self.store.read(name, self.scope(graph_no, version))
 
     def find_entities(self, text: str, graph_no: str, version: int | None = None, limit: int = 20) -> DataFrame:
         return L.find_entities(self._mine("graph_node", graph_no, version), self._mine("domain_entity", graph_no, version), text, limit=limit)
