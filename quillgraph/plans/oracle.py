@@ -128,7 +128,7 @@ SQL["find_entities_like"] = _with("nodes") + """SELECT h.graph_no, h.graph_versi
   SELECT *, row_number() OVER (PARTITION BY graph_no, graph_version ORDER BY graph_node_no) AS n FROM alive WHERE contains(strip_accents(lower(name)), 'ledger')) h
   LEFT JOIN domains d USING (graph_no, graph_version, graph_node_no) WHERE n <= 20"""
 SQL["node_domain_join"] = _with("nodes") + "SELECT n.graph_no, n.graph_version, graph_node_no, coalesce(d.type, n.type) AS class, d.entity_spec, n.deleted FROM nodes n LEFT JOIN domains d USING (graph_no, graph_version, graph_node_no)"
-SQL["typed_nodes"] = _with("nodes") + "SELECT graph_no, graph_version, graph_node_no, entity_spec FROM alive JOIN domains d USING (graph_no, graph_version, graph_node_no) WHERE d.type = 'Asset'"
+SQL["typed_nodes"] = _with("nodes") + "SELECT graph_no, graph_version, graph_node_no, entity_spec, d.type FROM alive JOIN domains d USING (graph_no, graph_version, graph_node_no)"
 SQL["relations_one_hop"] = _with("nodes", "pairs", "edges") + """, both_ways AS (
   SELECT graph_no, graph_version, source_node_no AS node_no, 'out' AS direction, name AS label, target_node_no AS other_no FROM edges
   UNION ALL SELECT graph_no, graph_version, target_node_no, 'in', name, source_node_no FROM edges WHERE source_node_no <> target_node_no)
@@ -210,7 +210,7 @@ SQL["source_classes"] = _with("docs") + f"""SELECT graph_no, graph_version, doc_
 SQL["content_hashes"] = _with("docs") + """, newest AS (SELECT graph_no, doc_no, arg_max(lower(sha256), graph_version) AS stored FROM docs WHERE sha256 IS NOT NULL GROUP BY ALL)
 SELECT d.graph_no, d.doc_no, sha256(d.text) AS sha256, coalesce(sha256(d.text) = stored, false) AS agrees FROM documents d JOIN newest USING (graph_no, doc_no)"""
 SQL["url_keys"] = _with("docs") + r"""SELECT graph_no, graph_version, doc_no, left('url:' || regexp_replace(regexp_replace(regexp_replace(origin_url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '[?#].*$', ''), '/+$', ''), 512) AS url_no FROM docs WHERE trim(origin_url) <> ''"""
-SQL["edge_keys"] = _with("trade") + "SELECT source, name, target, left(sha256(source || '|' || name || '|' || target), 32) AS edge_no FROM trade WHERE name IN ('based_in', 'located_in')"
+SQL["edge_keys"] = _with("trade") + "SELECT source, name, target, left(sha256(source || '|' || name || '|' || target), 32) AS edge_no FROM trade"
 
 SQL["validate_nodes"] = """WITH x AS (SELECT id AS seq, name, split_part(graph_node_no, ':', 1) AS type, CASE WHEN len(string_split(graph_node_no, ':')) > 2 THEN split_part(graph_node_no, ':', 2) END AS spec FROM kg_graph_node),
 y AS (SELECT *, CASE WHEN name IS NULL OR trim(name) = '' THEN 'node: empty name' WHEN type NOT IN ('Asset', 'Relation', 'Event', 'Behavior') THEN 'node: unknown type'
@@ -233,7 +233,7 @@ SELECT o.graph_no, o.graph_version, o.graph_node_no, o.name, CASE WHEN coalesce(
   coalesce(sup.support, 0)::int AS support, CASE WHEN o.ref IS NULL AND sup.support IS NULL THEN NULL ELSE coalesce(tok.tokens, 0) END::int AS tokens, coalesce(o.deleted, false) AS deleted
 FROM old o LEFT JOIN said s USING (graph_no, graph_version, graph_node_no) LEFT JOIN sup USING (graph_no, graph_version, graph_node_no) LEFT JOIN tok USING (graph_no, graph_version, graph_node_no)"""
 SQL["edge_upsert"] = _with("nodes", "pairs", "edges") + """SELECT graph_no, graph_version, graph_edge_no, source_node_no, target_node_no, name, '{"confidence":"EXTRACTED"}' AS properties, coalesce(cardinality(ref), 0)::int AS support FROM edges"""
-SQL["index_copy_version"] = _with("idx") + """SELECT graph_no, graph_version + 1 AS graph_version, object_type, object_no, len(embedding)::int AS dim FROM idx WHERE object_type = 'NODE' AND graph_version = (SELECT max(graph_version) FROM idx)"""
+SQL["index_copy_version"] = _with("idx") + """SELECT graph_no, graph_version + 1 AS graph_version, object_type, object_no, len(embedding)::int AS dim FROM idx WHERE graph_version = (SELECT max(graph_version) FROM idx)"""
 SQL["reindex_counts"] = _with("nodes", "pairs", "edges") + """, all_rows AS (SELECT graph_no, graph_version, 'NODE' AS t FROM alive UNION ALL SELECT graph_no, graph_version, 'EDGE' FROM edges
   UNION ALL SELECT graph_no, graph_version, 'DOC_CHUNK' FROM (SELECT DISTINCT graph_no, graph_version, chunk_no FROM kg_doc_chunk))
 SELECT graph_no, graph_version, count(*) FILTER (t = 'NODE') AS nodes, count(*) FILTER (t = 'EDGE') AS edges, count(*) FILTER (t = 'DOC_CHUNK') AS doc_chunks FROM all_rows GROUP BY ALL"""
@@ -338,6 +338,14 @@ full_lines AS (SELECT query_no, graph_no, graph_version, doc_no, unnest(range(CA
 vs AS (SELECT graph_no, max(graph_version) AS graph_version FROM nodes GROUP BY graph_no),
 numbered AS (SELECT l.graph_no, vs.graph_version, l.doc_no, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS content FROM lines l JOIN vs USING (graph_no) WHERE len(parts) > 0)
 SELECT f.query_no, f.doc_no, f.line_no, sha256(content) AS line_hash FROM full_lines f JOIN numbered n ON n.graph_no = f.graph_no AND n.graph_version = f.graph_version AND n.doc_no = f.doc_no AND n.line_no = f.line_no"""
+SQL["searchable_text"] = _with("nodes", "pairs", "edges") + _ALIASES + rf""", said AS (SELECT graph_no, graph_version, canonical_node_no AS graph_node_no, list(DISTINCT regexp_replace(alias, '^{_WS}+|{_WS}+$', '', 'g')) AS aliases, list(alias ORDER BY alias) AS raw FROM aliases GROUP BY ALL),
+keyed AS (SELECT graph_no, graph_version, graph_node_no, k, json_extract(properties, '$."' || k || '"') AS v FROM (SELECT graph_no, graph_version, graph_node_no, properties, unnest(json_keys(properties)) AS k FROM alive WHERE json_valid(properties) AND json_type(properties) = 'OBJECT')),
+props AS (SELECT graph_no, graph_version, graph_node_no, list(k || ': ' || regexp_replace(v ->> '$', '^{_WS}+|{_WS}+$', '', 'g') ORDER BY k) AS parts FROM keyed WHERE json_type(v) = 'VARCHAR' AND regexp_replace(v ->> '$', '^{_WS}+|{_WS}+$', '', 'g') <> '' GROUP BY ALL),
+joined AS (SELECT n.*, [regexp_replace(name, '^{_WS}+|{_WS}+$', '', 'g'), regexp_replace(description, '^{_WS}+|{_WS}+$', '', 'g')] || coalesce(parts, []) || coalesce(list_transform(raw, lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), []) AS all_parts
+  FROM alive n LEFT JOIN props USING (graph_no, graph_version, graph_node_no) LEFT JOIN said USING (graph_no, graph_version, graph_node_no))
+SELECT graph_no, graph_version, 'NODE' AS object_type, graph_node_no AS object_no, sha256(array_to_string(list_filter(all_parts, lambda x: x IS NOT NULL AND x <> ''), chr(10))) AS text_hash FROM joined
+UNION ALL SELECT graph_no, graph_version, 'EDGE', graph_edge_no, sha256('same_as' || chr(10) || 'confidence: INFERRED') FROM edges
+UNION ALL SELECT graph_no, graph_version, 'DOC_CHUNK', chunk_no, sha256(content) FROM (SELECT DISTINCT graph_no, graph_version, chunk_no, content FROM kg_doc_chunk)"""
 SQL["classify_versions"] = _with("docs", "changes") + "SELECT * FROM changes"
 _KEPT = """, entries AS (SELECT graph_no, graph_node_no, unnest(map_keys(ref)) AS doc_no FROM alive WHERE ref IS NOT NULL),
 kept AS (SELECT e.graph_no, graph_node_no, string_agg(DISTINCT e.doc_no, '|' ORDER BY e.doc_no) AS docs FROM entries e JOIN changes c ON c.graph_no = e.graph_no AND c.doc_no = e.doc_no AND c.change = 'unchanged' GROUP BY e.graph_no, graph_node_no) """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import keys as K
 from ..functions import refs as R
 from ..functions import text as X
 from ..functions.vectors import cosine, dot
-from ..model import DOC_CHUNK, NODE, SCHEMAS, SCOPE, Settings, live
+from ..model import DOC_CHUNK, METATYPES, NODE, SCHEMAS, SCOPE, Settings, live
 from ..operators import codegraph as C
 from ..operators import extract as E
 from ..operators import fusion as U
@@ -72,8 +73,10 @@ def node_domain_join(spark, sf_dir):
 
 @query
 def typed_nodes(spark, sf_dir):
+    """Nodes of each class in turn."""
     n = views.nodes(spark, sf_dir)
-    return L.nodes_of_type(n.drop("class"), views.domain(n), "Asset").select(*SCOPE, "graph_node_no", "entity_spec")
+    of = [L.nodes_of_type(n.drop("class"), views.domain(n), t).select(*SCOPE, "graph_node_no", "entity_spec", F.lit(t).alias("type")) for t in METATYPES]
+    return reduce(DataFrame.unionByName, of)
 
 
 @query
@@ -357,7 +360,7 @@ def url_keys(spark, sf_dir):
 
 @query
 def edge_keys(spark, sf_dir):
-    return views.trade_edges(spark, sf_dir).filter("name in ('based_in', 'located_in')").select("source", "name", "target", K.edge_no(F.col("source"), F.col("name"), F.col("target")).alias("edge_no"))
+    return views.trade_edges(spark, sf_dir).select("source", "name", "target", K.edge_no(F.col("source"), F.col("name"), F.col("target")).alias("edge_no"))
 
 
 @query
@@ -427,7 +430,7 @@ def index_copy_version(spark, sf_dir):
     i = views.index(spark, sf_dir)
     top = i.agg(F.max("graph_version").alias("graph_version"))
     base = top.first()[0] if not top.isEmpty() else 0
-    return W.copy_version(i, i.filter("object_type = 'NODE'").select("graph_no", "object_type", "object_no"), source=base, target=base + 1).select("graph_no", "graph_version", "object_type", "object_no", F.size("embedding").alias("dim"))
+    return W.copy_version(i, i.select("graph_no", "object_type", "object_no").distinct(), source=base, target=base + 1).select("graph_no", "graph_version", "object_type", "object_no", F.size("embedding").alias("dim"))
 
 
 @query
