@@ -1,21 +1,24 @@
 """Variant spellings of persons and organisations, by suffix blocking and longest-common-subsequence comparison.
 
-Every row's name is split into folded words, titles and legal forms fall away, and all suffixes of the words are
-indexed within a graph. Suffixes that are overly common are refined with the place and employer named in the
-description, where a row without one meets all the others, and worked on in parts; none is discarded. Pairs that share a
-suffix are compared word by word by the ratio of their longest common subsequence, with initials, short forms and
-abbreviations; descriptions confirm or refute.
+Every row's name is split into folded words, titles and legal forms fall away, and the suffixes of the words that tell
+names apart are indexed within a graph. Suffixes that are overly common are refined with the names a description holds
+and with what the rest of the name must look like, where a row without one meets all the others, and worked on in
+parts; none is discarded. Pairs that share a suffix are compared word by word by the ratio of their longest common
+subsequence, with initials, short forms and abbreviations; descriptions confirm or refute.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -49,23 +52,14 @@ for _line in _SHORT_FORMS.replace("\n", " ").split(";"):
     for _form in _forms:
         _SHORT.setdefault(_form, set()).add(_full)
 
-#: Layouts of descriptions: r what one does, e with whom, c where.
-_PERSON_LAYOUTS = [
-    re.compile(r"^(?P<r>.+?) at (?P<e>.+), based in (?P<c>.+?)\.?$"),
-    re.compile(r"^Works in (?P<c>.+?) as (?P<r>.+?); reports go to (?P<e>.+?)\.?$"),
-    re.compile(r"^(?P<r>.+) \((?P<e>[^()/]+) / (?P<c>[^()/]+)\)$"),
-    re.compile(r"^(?P<c>[^:,]+): (?P<r>.+), (?P<e>[^,]+)$"),
-    re.compile(r"^(?P<e>.+), (?P<c>[^,]+) office$"),
-    re.compile(r"^(?P<r>[^,]+), (?P<c>[^,]+)$"),
-]
-_BODY_LAYOUTS = [
-    re.compile(r"^(?P<e>[\w-]+), offices in (?P<c>.+?)\.?$"),
-    re.compile(r"^(?P<c>[^,()]+), (?P<r>[^()]+) \((?P<e>[^()]+)\)$"),
-    re.compile(r"^(?P<r>[^–]+) – (?P<e>[^–]+) – (?P<c>[^–]+)$"),
-    re.compile(r"^(?P<e>\S+) (?P<r>.+) with its seat in (?P<c>.+?)\.?$"),
-    re.compile(r"^Runs as an? (?P<e>\S+) (?P<r>.+) out of (?P<c>.+?)\.?$"),
-    re.compile(r"^(?P<r>[^,]+), (?P<c>[^,]+)$"),
-]
+#: Words of descriptions that say how something is put, not what.
+_HOW = set(
+    "a an and as at by for from in into is it its of on or out over the that to under up was were which who with works work working worked based located runs run reports report reporting "
+    "go goes seat seats office offices headquartered headquarters since".split()
+)
+#: Share of a kind's descriptions from which a word counts as common, which bounds their number, and the descriptions in
+#: which two common words would meet by chance, if they never do, to count as alternatives.
+COMMON_WORD, ALTERNATIVE = 0.01, 5
 
 
 def fold(text: str) -> str:
@@ -126,15 +120,22 @@ def body_words(name: str) -> list[str]:
     return kept or words
 
 
-def evidence(kind: str, description: str | None) -> tuple[str | None, str | None, str | None]:
-    """(place, with whom or of what kind, doing what) as far as the description tells."""
-    text = re.sub(r"\s+", " ", description or "").strip()
-    for layout in _PERSON_LAYOUTS if kind == "Person" else _BODY_LAYOUTS:
-        m = layout.match(text)
-        if m:
-            g = m.groupdict()
-            return tuple(fold(g[k]).strip() if g.get(k) else None for k in ("c", "e", "r"))  # type: ignore[return-value]
-    return None, None, None
+def evidence(description: str | None) -> tuple[list[str], list[str]]:
+    """(words of names, other words) of a description, folded, each once; a capital letter makes a name, at the beginning
+    only if a name or a separator follows."""
+    text = description or ""
+    found = [(m.group(), m.end()) for m in re.finditer(r"[^\W_]+(?:-[^\W_]+)*", text)]
+    named: dict[str, None] = {}
+    plain: dict[str, None] = {}
+    for i, (word, end) in enumerate(found):
+        f = fold(word)
+        if f in _HOW:
+            continue
+        name = word[0].isupper()
+        if name and i == 0:
+            name = text[end : end + 1] in tuple(":,;(") or (text[end : end + 1] == " " and len(found) > 1 and found[1][0][0].isupper())
+        (named if name else plain)[f] = None
+    return list(named), list(plain)
 
 
 def _abbreviates(short: str, word: str) -> bool:
@@ -149,20 +150,22 @@ def _same_word(a: str, b: str) -> bool:
     return lcs_ratio(a, b) >= WORD_RATIO and abs(len(a) - len(b)) <= 2
 
 
-@lru_cache(maxsize=200_000)
-def same_doing(a: str, b: str) -> bool:
-    """Whether two wordings of an occupation or trade can be the same."""
-    wa, wb = (sorted(re.findall(r"\w+", x)) for x in (a, b))
-    if wa == wb or set(wa) <= set(wb) or set(wb) <= set(wa):
-        return True
-    joined = sorted((a, b), key=len)
-    letters = re.sub(r"\W", "", joined[0])
-    if letters == "".join(w[0] for w in re.findall(r"\w+", joined[1])):
-        return True
-    few, many = sorted((wa, wb), key=len)
-    if all(any(x == y or _abbreviates(x, y) or _abbreviates(y, x) or (len(x) > 4 and x[:5] == y[:5]) for y in many) for x in few):
+def _wording(a: str, b: str) -> bool:
+    """Whether two words of descriptions can be wordings of one thing."""
+    return a == b or _abbreviates(a, b) or _abbreviates(b, a) or (len(a) > 4 and len(b) > 4 and a[:5] == b[:5])
+
+
+def contradict(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]], alternatives: set[tuple[str, str]]) -> bool:
+    """Whether two descriptions' (names, other words) cannot be of the same one: both hold names of which neither has all
+    of the other's, or what each says besides are alternatives of each other."""
+    if a[0] and b[0] and not (set(a[0]) <= set(b[0]) or set(b[0]) <= set(a[0])):
         return True
-    return {a, b} == {"agronomist", "crop adviser"}
+    left = [w for w in a[1] if not any(_wording(w, x) for x in b[1])]
+    right = [w for w in b[1] if not any(_wording(w, x) for x in a[1])]
+    for few, many in ((left, right), (right, left)):
+        if len(few) == 1 and few[0] == "".join(w[0] for w in many):  # initials of what the other spells out
+            return False
+    return any((min(u, v), max(u, v)) in alternatives for u in left for v in right)
 
 
 def _given_match(a: str, b: str) -> int:
@@ -252,40 +255,114 @@ def body_match(a: str, b: str) -> int:
     return weakest
 
 
-def judge(kind: str, a: tuple, b: tuple) -> int:
-    """2 to link, 1 to link unless another candidate fits as well, 0 to keep apart; a and b: (name, place, whom, doing)."""
+def judge(kind: str, a: tuple, b: tuple, alternatives: set[tuple[str, str]] = frozenset()) -> int:
+    """2 to link, 1 to link unless another candidate fits as well, 0 to keep apart; a and b: (name, names in the
+    description, its other words)."""
     name = (person_match if kind == "Person" else body_match)(a[0], b[0])
-    if not name:
+    if not name or contradict(a[1:], b[1:], alternatives):
         return 0
-    places = a[1] is not None and b[1] is not None
-    if places and a[1] != b[1]:
-        return 0
-    if a[2] is not None and b[2] is not None and a[2] != b[2]:
-        return 0
-    if a[3] is not None and b[3] is not None and not same_doing(*sorted((a[3], b[3]))):
-        return 0
-    if name == 2:
-        return 2
-    return 2 if places else 1
+    return 2 if name == 2 or (a[1] and b[1]) else 1
 
 
-_PROFILE = "id bigint, graph_no string, kind string, name string, place string, whom string, doing string, words array<string>"
+def _letters(word: str) -> int:
+    """A bit for every letter of a word."""
+    return sum({1 << (ord(c) % 61) for c in word})
+
+
+def block_keys(kind: str, name: str) -> list[tuple[str, int, int]]:
+    """(key, letters, length) under which a name meets others: suffixes of its words (persons: of the surname) with the
+    word's letters and length; what a mistyped end leaves, and initials, without them."""
+    if kind == "Person":
+        _, surname = person_words(name)
+        words = [surname] if surname else []
+        # an end or a middle mistyped leaves no common suffix
+        extra = [f"<{w[:MIN_SUFFIX]}" for w in words] + [f"^{w[:2]}{w[-2:]}" for w in words if len(w) > 4]
+    else:
+        words = body_words(name)
+        extra = ["=" + "".join(sorted(w[0] for w in words) if len(words) > 1 else sorted(words[0]))] if words else []
+        words = [w for w in words if len(w) > 1]
+    keys = {(w[i:], _letters(w), len(w)) for w in words for i in range(max(len(w) - MIN_SUFFIX + 1, 1))}
+    return sorted(keys | {(k, 0, 0) for k in extra})
+
+
+@lru_cache(maxsize=100_000)
+def refinements(kind: str, name: str) -> tuple[str, ...]:
+    """Of the rest of a name, what two spellings share one of at least; none for names without a rest, which fit all.
+
+    Persons: initials of the given name and of what it may be short for, and its end. Organisations: the first letters of
+    all words, and their last ones.
+    """
+    if kind != "Person":
+        words = body_words(name)
+        return ("i" + "".join(sorted(w[0] for w in words)), "l" + "".join(sorted(w[-1] for w in words))) if len(words) > 1 else ()
+    given, _ = person_words(name)
+    if not given:
+        return ()
+    g = given[0]
+    full = set(_SHORT.get(g, ()))
+    if len(g) > 1:
+        full |= {f for form, fulls in _SHORT.items() if abs(len(form) - len(g)) <= 1 and lcs_ratio(form, g) >= (0.75 if len(g) > 3 else 0.66) for f in fulls}
+    keys = {"i" + w[0] for w in {g, *full}}
+    if len(g) > 4:
+        keys.add("e" + g[-3:])
+    return tuple(sorted(keys))
+
+
+_PROFILE = "id bigint, graph_no string, kind string, name string, named array<string>, plain array<string>"
+_ENTRY = "block bigint, lead bigint, letters bigint, size int"
 
 
 def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        out = []
-        for number, graph, kind, name, description in rows.itertuples(index=False):
-            words = body_words(name) if kind != "Person" else [w for part in [person_words(name)] for w in [*part[0], part[1]]]
-            keys = [w for w in words if len(w) > 1]
-            if kind == "Person" and words:
-                keys.append("<" + words[-1][:MIN_SUFFIX])  # a surname mistyped at its very end shares no suffix
-            if kind != "Person" and len(words) > 1:
-                keys.append("=" + "".join(sorted(w[0] for w in words)))  # what an acronym would be made of
-            elif kind != "Person" and words:
-                keys.append("=" + "".join(sorted(words[0])))
-            out.append((number, graph, kind, name, *evidence(kind, description), list(dict.fromkeys(keys))))
-        yield pd.DataFrame(out, columns=["id", "graph_no", "kind", "name", "place", "whom", "doing", "words"])
+        yield pd.DataFrame([(i, g, k, n, *evidence(d)) for i, g, k, n, d in rows.itertuples(index=False)], columns=["id", "graph_no", "kind", "name", "named", "plain"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lead, *rest = (c.to_pylist() for c in batch.columns)
+        digests, many, letters, sizes = [], [], [], []
+        for graph, kind, name in zip(*rest):
+            keys = block_keys(kind, name)
+            # a block is known by a digest; names that share one by chance are compared in vain
+            own = hashlib.blake2b(f"{graph}\0{kind}\0".encode(), digest_size=8)
+            for key, mask, size in keys:
+                h = own.copy()
+                h.update(key.encode())
+                digests.append(h.digest())
+                letters.append(mask)
+                sizes.append(size)
+            many.append(len(keys))
+        columns = [pa.array(np.frombuffer(b"".join(digests), np.int64)), pa.array(np.repeat(np.array(lead, np.int64), many)), pa.array(letters, pa.int64()), pa.array(sizes, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "lead", "letters", "size"])
+
+
+def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield pd.DataFrame({"lead": rows["lead"], "named": rows["named"], "rest": [list(refinements(k, n)) for k, n in zip(rows["kind"], rows["name"])]})
+
+
+def alternatives(descriptions: DataFrame) -> dict[str, set[tuple[str, str]]]:
+    """By kind, pairs of common words that never stand in one description although chance would have them to.
+
+    ``descriptions`` is (kind, plain). Words count as common from a share of COMMON_WORD of a kind's descriptions, so
+    there are at most 1 / COMMON_WORD times the mean number of words of them; the counts cover all descriptions.
+    """
+    said = descriptions.filter("size(plain) > 0").select("kind", F.array_sort(F.array_distinct("plain")).alias("plain"))
+    totals = {r[0]: r[1] for r in said.groupBy("kind").agg(F.count(F.lit(1))).collect()}
+    if not totals:
+        return {}
+    least = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(max(2.0, COMMON_WORD * n)))])
+    counts = said.select("kind", F.explode("plain").alias("w")).groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least[F.col("kind")])
+    df = {(k, w): n for k, w, n in counts.toLocalIterator()}
+    common = F.array(*[F.lit(w) for w in sorted({w for _, w in df})]).cast("array<string>")
+    met = said.select("kind", F.array_intersect("plain", common).alias("ws")).filter("size(ws) > 1")
+    met = met.select("kind", F.explode("ws").alias("u"), "ws").select("kind", "u", F.explode("ws").alias("v")).filter("u < v").distinct()
+    together = {tuple(r) for r in met.toLocalIterator()}
+    out: dict[str, set[tuple[str, str]]] = {}
+    for kind, n in totals.items():
+        words = sorted(w for k, w in df if k == kind)
+        out[kind] = {(u, v) for i, u in enumerate(words) for v in words[i + 1 :] if df[kind, u] * df[kind, v] / n >= ALTERNATIVE and (kind, u, v) not in together}
+    return out
 
 
 def same_entity_pairs(nodes: DataFrame, *, kinds: tuple[str, ...] = ("Person", "Organization")) -> DataFrame:
@@ -302,42 +379,31 @@ def same_entity_pairs(nodes: DataFrame, *, kinds: tuple[str, ...] = ("Person", "
     rows = rows.filter(F.col("id").isNotNull() & F.col("graph_no").isNotNull() & ~is_stand_in(F.col("name")))
     rows = rows.select(F.col("id").cast("bigint").alias("id"), "graph_no", "kind", F.trim("name").alias("name"), F.when(~is_stand_in(F.col("description")), F.col("description")).alias("description"))
     profiles = scratch.write(rows.mapInPandas(_profiles, _PROFILE))
-    look = ["graph_no", "kind", "name", "place", "whom", "doing"]
+    look = ["graph_no", "kind", "name", "named", "plain"]
     # Rows that look alike in everything compared stand behind the smallest of them.
-    leaders = scratch.write(profiles.groupBy(*look).agg(F.min("id").alias("lead"), F.first("words").alias("words")))
-    words = leaders.select("lead", "graph_no", "kind", "place", "whom", F.explode(F.array_distinct("words")).alias("word"))
-    suffixes = words.select(
-        "lead", "graph_no", "kind", "place", "whom",
-        F.explode(
-            F.when(F.col("word").rlike("^[=<]"), F.array(F.struct(F.col("word").alias("suffix"), F.lit("^").alias("before"))))
-            .otherwise(F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("word") - (MIN_SUFFIX - 1), F.lit(1))),
-                lambda n: F.struct(F.substring(F.col("word"), n, F.length("word")).alias("suffix"), F.when(n == 1, F.lit("^")).otherwise(F.substring(F.col("word"), n - 1, F.lit(1))).alias("before")),
-            ))
-        ).alias("x"),
-    ).select("lead", "graph_no", "kind", "place", "whom", "x.suffix", "x.before").distinct()
-    block = ["graph_no", "kind", "suffix"]
-    suffixes = scratch.write(suffixes)
-    counts = suffixes.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted = suffixes.join(counts, block)
-    rare = counted.filter(F.col("n") <= COMMON).select(*block, "lead", "before")
-    other = rare.select(*block, F.col("lead").alias("other"), F.col("before").alias("before_other"))
-    # A pair meets at its longest common suffix only: where the letters before differ or both words are whole.
-    longest = "before <> before_other or before = '^'"
-    met = rare.join(other, block).filter("lead < other").filter(longest).select("lead", "other")
-    met = met.unionByName(_met_in_parts(counted.filter(F.col("n") > COMMON), block, longest)).distinct()
-    side = lambda n, s: leaders.select(F.col("lead").alias(n), *[F.col(c).alias(f"{c}{s}") for c in look])
-    candidates = met.join(side("lead", "_a"), "lead").join(side("other", "_b"), "other").filter("(place_a is null or place_b is null or place_a = place_b) and (whom_a is null or whom_b is null or whom_a = whom_b)")
+    leaders = scratch.write(profiles.groupBy(*look).agg(F.min("id").alias("lead")))
+    entries = scratch.write(leaders.select("lead", "graph_no", "kind", "name").mapInArrow(_entries, _ENTRY))
+    counts = entries.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = scratch.write(entries.join(counts, "block"))
+    rare = counted.filter(F.col("n") <= COMMON).select("block", "lead", "letters", "size")
+    met = rare.join(_renamed(rare), "block").filter("lead < other").filter(_can_match()).select("lead", "other")
+    common = counted.filter(F.col("n") > COMMON)
+    refined = leaders.join(common.select("lead").distinct(), "lead", "left_semi").select("lead", "kind", "name", "named").mapInPandas(_refined, "lead bigint, named array<string>, rest array<string>")
+    met = scratch.write(met.unionByName(_met_in_parts(common.join(refined, "lead"))).distinct())
+    side = lambda n, s: leaders.select(F.col("lead").alias(n), *[F.col(c).alias(f"{c}{s}") for c in look[1:]])
+    nested = (F.size("named_a") == 0) | (F.size("named_b") == 0) | (F.size(F.array_intersect("named_a", "named_b")) == F.least(F.size("named_a"), F.size("named_b")))
+    candidates = met.join(side("lead", "_a"), "lead").join(side("other", "_b"), "other").filter(nested)
+    apart = alternatives(leaders.select("kind", "plain"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            verdict = [
-                judge(kind, (na, pa, wa, da), (nb, pb, wb, db))
-                for kind, na, nb, pa, pb, wa, wb, da, db in zip(b["kind_a"], b["name_a"], b["name_b"], *(b[c].where(b[c].notna(), None) for c in ("place_a", "place_b", "whom_a", "whom_b", "doing_a", "doing_b")))
-            ]
+            columns = (b[c] for c in ("kind_a", "name_a", "named_a", "plain_a", "name_b", "named_b", "plain_b"))
+            verdict = [judge(k, (na, list(ca), list(pa)), (nb, list(cb), list(pb)), apart.get(k, frozenset())) for k, na, ca, pa, nb, cb, pb in zip(*columns)]
             out = pd.DataFrame({"a": b["lead"], "b": b["other"], "level": verdict})
+            hit = out["level"] > 0
+            out, b = out[hit], b[hit]
             out["weak_a"], out["weak_b"] = ([_is_weak(k, n) for k, n in zip(b["kind_a"], b[c])] for c in ("name_a", "name_b"))
-            yield out[out["level"] > 0]
+            yield out
 
     judged = scratch.write(candidates.mapInPandas(compare, "a bigint, b bigint, level int, weak_a boolean, weak_b boolean"))
     strong = judged.filter("level = 2").select("a", "b")
@@ -357,26 +423,41 @@ def same_entity_pairs(nodes: DataFrame, *, kinds: tuple[str, ...] = ("Person", "
     return members.select(F.col("id").alias("id_a"), "root").join(members.select(F.col("id").alias("id_b"), "root"), "root").filter("id_a < id_b").select("id_a", "id_b")
 
 
-def _met_in_parts(entries: DataFrame, block: list[str], longest: str) -> DataFrame:
-    """(lead, other), smaller first, of all pairs of a block that place and employer do not refute.
+def _renamed(entries: DataFrame) -> DataFrame:
+    return entries.withColumnsRenamed({"lead": "other", "letters": "letters_b", "size": "size_b"})
+
+
+def _can_match() -> Column:
+    """Whether two words (letters, size) can reach the least ratio: letters that the other lacks are in no subsequence."""
+    shared = F.least(F.col("size") - F.bit_count(F.col("letters").bitwiseAND(F.bitwise_not("letters_b"))), F.col("size_b") - F.bit_count(F.col("letters_b").bitwiseAND(F.bitwise_not("letters"))))
+    return (F.col("letters") == 0) | (F.col("letters_b") == 0) | (2 * shared >= (F.col("size") + F.col("size_b")) * (WORD_RATIO - 1e-9))
 
-    Rows are told apart by which of the two they name; rows that both name one must agree in it, which is part of the
-    key, so a pair meets under one key. The rows of a key are dealt to parts and every two parts meet in a task.
+
+def _met_in_parts(entries: DataFrame) -> DataFrame:
+    """(lead, other), smaller first, of the pairs of overly common blocks that names in descriptions and the rest of the
+    name do not rule out.
+
+    Rows are told apart by which of the two they have. Where both have names, one's are all among the other's, so they
+    meet under the first of the fewer; where both have a rest of the name, under one they share; a row without meets
+    all. The rows of a key are dealt to parts of about PART and every two parts meet in a task.
     """
-    names = F.when(F.col("place").isNotNull(), 1).otherwise(0) + F.when(F.col("whom").isNotNull(), 2).otherwise(0)
+    has = F.when(F.size("named") > 0, 1).otherwise(0) + F.when(F.size("rest") > 0, 2).otherwise(0)
     parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = entries.withColumns({"names": names, "part": F.pmod(F.xxhash64("lead"), parts).cast("int"), "parts": F.sequence(F.lit(0), parts - 1)})
-    key = [*block, "names_a", "names_b", "part_a", "part_b", "same_place", "same_whom"]
+    dealt = entries.withColumns({"has": has, "part": F.pmod(F.xxhash64("lead"), parts).cast("int"), "parts": F.sequence(F.lit(0), parts - 1)})
+    key = ["block", "has_a", "has_b", "part_a", "part_b", "same_name", "same_rest"]
 
-    def side(own: str, its: str, lead: str, before: str) -> DataFrame:
-        d = dealt.withColumn(f"names_{own}", F.col("names")).withColumn(f"names_{its}", F.explode(F.array(*map(F.lit, range(4))))).filter("names_a <= names_b")
+    def side(own: str, its: str) -> DataFrame:
+        d = dealt.withColumn(f"has_{own}", F.col("has")).withColumn(f"has_{its}", F.explode(F.array(*map(F.lit, range(4))))).filter("has_a <= has_b")
         d = d.withColumn(f"part_{own}", F.col("part")).withColumn(f"part_{its}", F.explode("parts"))
-        both = F.col("names_a").bitwiseAND(F.col("names_b"))
-        same = {"same_place": F.when(both.bitwiseAND(F.lit(1)) > 0, F.col("place")).otherwise(""), "same_whom": F.when(both.bitwiseAND(F.lit(2)) > 0, F.col("whom")).otherwise("")}
-        return d.withColumns(same).select(*key, F.col("lead").alias(lead), F.col("before").alias(before))
-
-    met = side("a", "b", "x", "before").join(side("b", "a", "y", "before_other"), key).filter("names_a < names_b or x < y").filter(longest)
-    return met.select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("other"))
+        both = F.col("has_a").bitwiseAND(F.col("has_b"))
+        tagged = lambda t: F.transform("named", lambda x: F.concat(F.lit(t), x))
+        first = lambda t: F.array(F.concat(F.lit(t), F.array_min("named")))
+        names = F.concat(tagged(own), first(its))
+        d = d.withColumn("same_name", F.explode(F.when(both.bitwiseAND(F.lit(1)) > 0, names).otherwise(F.array(F.lit("")))))
+        return d.withColumn("same_rest", F.explode(F.when(both.bitwiseAND(F.lit(2)) > 0, F.col("rest")).otherwise(F.array(F.lit(""))))).select(*key, "lead", "letters", "size")
+
+    met = side("a", "b").join(_renamed(side("b", "a")), key).filter("lead <> other").filter(_can_match())
+    return met.select(F.least("lead", "other").alias("lead"), F.greatest("lead", "other").alias("other"))
 
 
 def _is_weak(kind: str, name: str) -> bool:
