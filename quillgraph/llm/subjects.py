@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from .tokenize import _LETTER, _NUMBER, _SPACE
 
 #: Label rows the models are fitted on, at most.
 FIT_LABELS = 6000
+#: Code points of labelled texts the models are fitted on, at most; label rows beyond are left out of the fit.
+FIT_CHARS = 20_000_000
 #: Bins a nat in the histogram of all sentences' gains that acceptance is calibrated on, and the nats it ends at.
 BINS, FAR = 256, 1000
 #: Pseudo-count that ties the bigrams to the unigrams and these to the background.
@@ -287,7 +289,7 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, lis
 
 
 def _corpus_counts(texts: DataFrame):
-    """Counter of given words and pairs over the whole corpus."""
+    """Counter of given words and pairs over the main body of the whole corpus (text, page)."""
     context = texts.sparkSession.sparkContext
 
     def count(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -298,8 +300,8 @@ def _corpus_counts(texts: DataFrame):
             ws, ps = shared.value
             sums = np.zeros(total + 2, np.int64)
             for batch in batches:
-                for _, _, part in _batches(batch, 0):
-                    s = cut_sentences(part)
+                for at, end, part in _batches(batch, 0):
+                    s = cut_sentences(main_body(part, batch.column(1).slice(at, end - at).fill_null(False).to_pylist()))
                     u, b = _find(ws, s.word), _find(ps, s.pair)
                     sums[:v] += np.bincount(u[u >= 0], minlength=v)
                     sums[v:total] += np.bincount(b[b >= 0], minlength=total - v)
@@ -316,10 +318,11 @@ def _corpus_counts(texts: DataFrame):
     return count
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, share: float = 0.25, fit_labels: int = FIT_LABELS) -> DataFrame:
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, share: float = 0.25, fit_labels: int = FIT_LABELS, fit_chars: int = FIT_CHARS) -> DataFrame:
     """(doc_id, subject_no, share) of every document at least ``share`` of whose sentences are about a subject.
 
-    The models are fitted on at most ``fit_labels`` label rows, taken in the order of a hash of label_id; label
+    The models are fitted on at most ``fit_labels`` label rows, taken in the order of a hash of label_id, whose texts
+    have at most ``fit_chars`` code points together, which bounds what the driver holds; label
     spellings are trimmed and lower-cased, null and unknown ones are left out. Acceptance is calibrated on the sentences
     of all documents: their gains are written once, counted, and compared with the threshold that follows. Null, empty
     and blank texts have no subject; without labels or subjects the result is empty; repeated documents give one row; texts are read whole;
@@ -334,12 +337,14 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     marks = sample.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     usable = documents.filter(F.col("text").rlike(r"(?U)\S")).select("doc_id", "text", (F.col("source") == "web").alias("page"), F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang"))
     # at most fit_labels rows, so the broadcast is bounded
-    rows = usable.join(F.broadcast(marks), "doc_id").orderBy("doc_id", "text").toPandas()
+    rows = usable.join(F.broadcast(marks), "doc_id")
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= fit_chars).drop("upto").orderBy("doc_id", "text").toPandas()
     rows["page"] = rows["page"].fillna(False).astype(bool)
     if not len(rows) or not names:
         return spark.createDataFrame([], schema)
     s = cut_sentences(main_body(rows["text"].tolist(), rows["page"].tolist()))
-    model = fit_model(s, [{spelled[x] for x in v} for v in rows["subjects"]], rows["lang"].tolist(), names, _corpus_counts(usable.select("text")))
+    model = fit_model(s, [{spelled[x] for x in v} for v in rows["subjects"]], rows["lang"].tolist(), names, _corpus_counts(usable.select("text", "page")))
     shared = spark.sparkContext.broadcast(model)
     told = T.StructType([schema["doc_id"], T.StructField("best", T.ArrayType(T.FloatType())), T.StructField("subject", T.ArrayType(T.ShortType()))])
 
