@@ -29,18 +29,20 @@ def _edge(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _strip_leaves(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _strip_leaves(edges: DataFrame, scratch: Scratch, spent: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """One pass over degree-one vertices: (remaining edges, parent pointers of the removed)."""
     leaves = _degrees(edges).filter("d = 1").select(*_edge("u", "lo"), "u")
     # A lone edge has two leaves; only its larger end goes.
     gone = scratch.write(leaves.groupBy("a", "b").agg(F.max("u").alias("child")))
+    spent.append(gone)
     parents = gone.select("child", F.when(F.col("child") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent"))
     return edges.join(gone.select("a", "b"), ["a", "b"], "left_anti"), parents
 
 
-def _compress_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+def _compress_chains(edges: DataFrame, scratch: Scratch, spent: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Replace every maximal chain of degree-two vertices by one edge between its ends."""
     inner = scratch.write(_degrees(edges).filter("d = 2").select("u", "lo", "hi"))
+    spent.append(inner)
     if inner.isEmpty():
         return edges, None
     # Arc (p, c): standing on inner vertex c, come from p. It points at the arc (c, other neighbour).
@@ -63,6 +65,8 @@ def _compress_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dat
         unfinished = left
     ends = arcs.filter("not open").groupBy("c").agg(F.min("n").alias("e1"), F.max("n").alias("e2"))
     ends = scratch.write(ends)
+    spent.append(ends)
+    scratch.drop(arcs)
     removed = inner.join(ends.select(F.col("c").alias("u")), "u", "left_semi")
     cut = removed.select(*_edge("u", "lo")).unionByName(removed.select(*_edge("u", "hi"))).distinct()
     bridges = ends.filter("e1 < e2").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
@@ -100,14 +104,16 @@ def connected_groups(pairs: DataFrame, spark: SparkSession | None = None) -> Dat
     pairs = scratch.write(pairs.select(*_edge("a", "b")).filter("a is not null and b is not null").distinct())
     edges = pairs.filter("a <> b")
     pointers: list[DataFrame] = []
+    #: tables the pointers are read from, done with once the forest is written
+    spent: list[DataFrame] = []
     total = edges.count()
     while total:
-        stripped, leaves = _strip_leaves(edges, scratch)
+        stripped, leaves = _strip_leaves(edges, scratch, spent)
         stripped = scratch.write(stripped)
-        rest, chains = _compress_chains(stripped, scratch)
+        rest, chains = _compress_chains(stripped, scratch, spent)
         pointers += [p for p in (leaves, chains) if p is not None]
-        edges = scratch.write(rest)
-        scratch.drop(stripped)
+        former, edges = edges, scratch.write(rest)
+        scratch.drop(stripped, former)
         left = edges.count()
         if left > total * (1 - MIN_SHRINK):
             pointers.append(_solve_core(edges, scratch))
@@ -119,6 +125,7 @@ def connected_groups(pairs: DataFrame, spark: SparkSession | None = None) -> Dat
     for p in pointers[1:]:
         forest = forest.unionByName(p)
     forest = scratch.write(forest)
+    scratch.drop(*spent, edges)
     # Restore: every removed vertex walks to its root, the walks doubling in length.
     while True:
         above = forest.select(F.col("child").alias("parent"), F.col("parent").alias("up"))
