@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -247,14 +248,17 @@ def encode_corpus(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
     """(key, ids array<int>) of every row: the ids of its text, the empty list for an empty or null text.
 
     No shuffle; repeated rows give repeated results; long texts are encoded whole. ``vocabulary`` is the path of the
-    rank file (or the environment variable QUILLGRAPH_BPE), which every executor must be able to read.
+    rank file (or the environment variable QUILLGRAPH_BPE); where an executor has no such file it reads the copy the
+    driver sends.
     """
     path = vocabulary or os.environ.get("QUILLGRAPH_BPE", DEFAULT_VOCABULARY)
+    if os.path.exists(path):
+        documents.sparkSession.sparkContext.addFile(path)
     field = documents.schema[key]
     schema = T.StructType([T.StructField(key, field.dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             at, chars = 0, 0
