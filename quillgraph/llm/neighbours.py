@@ -33,6 +33,8 @@ PROBE_RATIO, PROBE_LISTS = 1.20, 4
 BROADCAST_IDS = 1_000_000
 #: Beam and degree of the centroid graph.
 BEAM, DEGREE = 16, 16
+#: Vectors that search the graph together, and cosines held at once when its links are made: both bound memory, not results.
+TOGETHER, COSINES = 2048, 1 << 22
 
 
 class CentroidGraph:
@@ -43,13 +45,14 @@ class CentroidGraph:
         k = len(centroids)
         rng = np.random.default_rng(seed)
         near = min(DEGREE, k - 1)
-        links = []
-        for at in range(0, k, 1024):
-            s = centroids[at : at + 1024] @ centroids.T
+        self.links = np.zeros((k, near + 4), np.int32)
+        step = min(1024, max(1, COSINES // k))
+        for at in range(0, k if near else 0, step):
+            s = centroids[at : at + step] @ centroids.T
             s[np.arange(len(s)), np.arange(at, at + len(s))] = -9
-            links.append(np.argpartition(-s, max(near - 1, 0), axis=1)[:, :near] if near else np.zeros((len(s), 0), int))
-        far = rng.integers(0, k, size=(k, 4))
-        self.links = np.concatenate([np.concatenate(links), far], axis=1).astype(np.int32)
+            # copied out, as a slice would keep the whole block of k numbers a row
+            self.links[at : at + step, :near] = np.argpartition(-s, near - 1, axis=1)[:, :near]
+        self.links[:, near:] = rng.integers(0, k, size=(k, 4))
         # entry points spread over the collection: a coarse net of about sqrt(k) centroids
         self.entry = rng.permutation(k)[: max(BEAM, int(4 * np.sqrt(k)))].astype(np.int32)
 
@@ -145,7 +148,9 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) ->
 
 def choose_lists(graph: CentroidGraph, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, role) of unit vectors; role 1 is posted to the list, 2 asks it, 3 both."""
-    near, score = graph.search(units)
+    # a search holds a mark for every vector and centroid
+    found = [graph.search(units[at : at + TOGETHER]) for at in range(0, max(len(units), 1), TOGETHER)]
+    near, score = (np.concatenate(x) for x in zip(*found))
     far = np.sqrt(np.maximum(2 - 2 * score, 0))
     reach, place = far[:, :1], np.arange(far.shape[1])
     post = (far <= reach * POST_RATIO + 1e-6) & (place < POST_LISTS)
@@ -276,9 +281,9 @@ def nearest(rows: DataFrame, *, k: int = 5, dim: int = 64, min_score: float = -1
         for batch in batches:
             ids, unit = _units(batch, dim)
             unit, number = unit.astype(np.float32), ids.to_numpy()
-            for at in range(0, len(unit), 2048):
-                r, where, role = choose_lists(graph, unit[at : at + 2048])
-                own = (number[at : at + 2048][r].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            for at in range(0, len(unit), TOGETHER):
+                r, where, role = choose_lists(graph, unit[at : at + TOGETHER])
+                own = (number[at : at + TOGETHER][r].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
                 p, b = (own % parts[where].astype(np.uint64)).astype(np.int64), (own % blocks[where].astype(np.uint64)).astype(np.int64)
                 # a posting lies in its part, for every block of askers; an asker in its block, for every part
                 spread = parts[where] * blocks[where]
@@ -288,7 +293,7 @@ def nearest(rows: DataFrame, *, k: int = 5, dim: int = 64, min_score: float = -1
                 there &= role[i]
                 hit = np.flatnonzero(there)
                 i, cell, there = i[hit], cell[hit] + base[where[i[hit]]], there[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(number[at : at + 2048][r[i]] * 4 + there), _binary(unit[at : at + 2048][r[i]])], names=["cell", "who", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(number[at : at + TOGETHER][r[i]] * 4 + there), _binary(unit[at : at + TOGETHER][r[i]])], names=["cell", "who", "unit"])
 
     def score(table: pa.Table) -> pa.Table:
         who = table.column("who").to_numpy()

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
@@ -122,6 +123,28 @@ def test_centroid_graph_finds_the_nearest():
     assert (found[:, 0] == (x[:500] @ c.T).argmax(1)).mean() > 0.95 and (np.diff(score, axis=1) <= 1e-6).all()
 
 
+def test_driver_holds_no_table_of_centroids_by_centroids_or_vectors_by_centroids():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    try:
+        graph = CentroidGraph(x[:6000])
+        links = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        row, where, role = N.choose_lists(graph, x)
+        lists = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 6,000 x 6,000 numbers of eight bytes are 288 MB, 12,000 x 6,000 marks 72 MB
+    assert links < 100e6 and lists < 60e6
+    # every vector once, in order, whichever part it is searched in
+    assert (np.unique(row[role & 1 > 0]) == np.arange(len(x))).all() and (np.diff(row) >= 0).all()
+    best = (x[2048 * 2 :] @ x[:6000].T).argmax(1)
+    first = where[np.searchsorted(row, np.arange(2048 * 2, len(x)))]
+    assert (first == best).mean() > 0.8
+
+
 NODE = "id bigint, graph_no string, graph_version bigint, graph_node_no string, name string, type string, description string, properties string, ref map<string,array<string>>, deleted boolean, create_time timestamp_ntz, update_time timestamp_ntz, latest string"
 
 
