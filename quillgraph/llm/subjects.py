@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ K = 4.0
 ROUNDS, CLEAR = 3, 3.5
 #: Code points worked on at once; a longer text is still taken whole, alone.
 BATCH_CHARS = 1_000_000
+#: Sentences whose gains are summed at once, and counts of the vocabulary written in one row.
+STEP, COUNTS = 8192, 65_536
 _ENDERS = np.array([ord(c) for c in ".?!。？！"], dtype=np.uint32)
 _WIDE_ENDERS = np.array([ord(c) for c in "。？！"], dtype=np.uint32)
 _OPENERS = np.array([ord(c) for c in "-–*•#>`"], dtype=np.uint32)
@@ -161,26 +164,30 @@ class SubjectModel:
     word_gain: np.ndarray
     pair_gain: np.ndarray
 
+    def table(self) -> np.ndarray:
+        """Gains of all pairs, then of all words, then zeros for what is unknown."""
+        return np.concatenate([self.pair_gain, self.word_gain, np.zeros((1, self.word_gain.shape[1]), np.float32)])
+
     def gains(self, s: Sentences) -> np.ndarray:
         """(sentence, subject) gains over the background, summed over the words."""
         if not len(s.word):
             return np.zeros((0, len(self.subjects)), np.float32)
-        b = _find(self.pairs, s.pair)
-        # rows: known pairs, then known words, then zeros
-        last = len(self.pairs) + len(self.words)
-        row = b.copy()
-        new = np.flatnonzero(b < 0)
-        u = _find(self.words, s.word[new])
-        row[new] = np.where(u >= 0, len(self.pairs) + u, last)
-        table = np.concatenate([self.pair_gain, self.word_gain, np.zeros((1, self.word_gain.shape[1]), np.float32)])
         heads = np.flatnonzero(np.concatenate([[True], np.diff(s.sentence) > 0]))
-        out = np.empty((len(heads), table.shape[1]), np.float32)
-        step = 8192  # sentences at a time, so that the gathered rows stay small
-        for at in range(0, len(heads), step):
-            a = heads[at]
-            z = heads[at + step] if at + step < len(heads) else len(row)
-            out[at : at + step] = np.add.reduceat(table[row[a:z]], heads[at : at + step] - a, axis=0)
-        return out
+        row = _rows(_find(self.words, s.word), _find(self.pairs, s.pair), len(self.words), len(self.pairs))
+        return np.concatenate(list(_summed(self.table(), row, heads)))
+
+
+def _rows(u: np.ndarray, b: np.ndarray, words: int, pairs: int) -> np.ndarray:
+    """Rows of a model's table from the places of words and pairs: that of the pair if known, else that of the word."""
+    return np.where(b >= 0, b, np.where(u >= 0, pairs + u, pairs + words))
+
+
+def _summed(table: np.ndarray, row: np.ndarray, heads: np.ndarray) -> Iterator[np.ndarray]:
+    """Sums of the table's rows over sentences that begin at ``heads``, some sentences at a time, so that the gathered rows stay small."""
+    for at in range(0, len(heads), STEP):
+        a = heads[at]
+        z = heads[at + STEP] if at + STEP < len(heads) else len(row)
+        yield np.add.reduceat(table[row[a:z]], heads[at : at + STEP] - a, axis=0)
 
 
 class _Estimator:
@@ -288,34 +295,57 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, lis
             at, size = i + 1, 0
 
 
-def _corpus_counts(texts: DataFrame):
-    """Counter of given words and pairs over the main body of the whole corpus (text, page)."""
-    context = texts.sparkSession.sparkContext
+class _Corpus:
+    """Main body of the whole corpus (doc_id, text, page), cut into sentences once.
 
-    def count(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
-        shared = context.broadcast((words, pairs))  # as large as the vocabulary of the bounded sample
+    Called with the words and pairs of the sample it counts both over all sentences, and writes the full sentences of
+    every document to ``scratch`` as rows of a model's table, so that their gains need no texts.
+    """
+
+    def __init__(self, texts: DataFrame, scratch: Scratch):
+        self.texts, self.scratch = texts, scratch
+
+    def __call__(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+        shared = self.texts.sparkSession.sparkContext.broadcast((words, pairs))  # as large as the vocabulary of the bounded sample
         v, total = len(words), len(words) + len(pairs)
+        longs = T.ArrayType(T.LongType())
+        told = T.StructType([T.StructField("doc_id", self.texts.schema["doc_id"].dataType), T.StructField("row", T.BinaryType()), T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("place", longs), T.StructField("n", longs)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ws, ps = shared.value
             sums = np.zeros(total + 2, np.int64)
             for batch in batches:
-                for at, end, part in _batches(batch, 0):
-                    s = cut_sentences(main_body(part, batch.column(1).slice(at, end - at).fill_null(False).to_pylist()))
+                for at, end, part in _batches(batch, 1):
+                    s = cut_sentences(main_body(part, batch.column(2).slice(at, end - at).fill_null(False).to_pylist()))
                     u, b = _find(ws, s.word), _find(ps, s.pair)
                     sums[:v] += np.bincount(u[u >= 0], minlength=v)
                     sums[v:total] += np.bincount(b[b >= 0], minlength=total - v)
                     sums[total] += len(s.word)
                     sums[total + 1] += len(s.full)
+                    # of every full sentence the table's rows, four bytes each, and how many they are
+                    data = _rows(u, b, v, total - v)[s.full[s.sentence]].astype("<i4").tobytes()
+                    size = np.bincount(s.sentence, minlength=len(s.full))[s.full].astype(np.int32)
+                    edges = np.searchsorted(s.text[s.full], np.arange(end - at + 1))
+                    byte = (4 * np.concatenate([[0], np.cumsum(size)])[edges]).tolist()
+                    rows = pa.array([data[x:y] for x, y in pairwise(byte)], pa.binary())
+                    none = pa.nulls(end - at, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), rows, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(size)), none, none], names=told.names)
             some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], names=["place", "n"])
-
-        rows = texts.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+            if len(some):
+                edges = pa.array([*range(0, len(some), COUNTS), len(some)], pa.int32())
+                k = len(edges) - 1
+                counts = [pa.ListArray.from_arrays(edges, pa.array(x, pa.int64())) for x in (some, sums[some])]
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(0).type), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int32())), *counts], names=told.names)
+
+        self.written = self.scratch.write(self.texts.mapInArrow(run, told))
+        counts = self.written.filter(F.col("place").isNotNull()).select(F.inline(F.arrays_zip("place", "n"))).groupBy("place").agg(F.sum("n").alias("n")).toPandas()
         sums = np.zeros(total + 2, np.int64)
-        sums[rows["place"].to_numpy()] = rows["n"].to_numpy()
+        sums[counts["place"].to_numpy()] = counts["n"].to_numpy()
         return sums[:v], sums[v:total], int(sums[total]), int(sums[total + 1])
 
-    return count
+    def sentences(self) -> DataFrame:
+        """(doc_id, row, size) of every document."""
+        return self.written.filter(F.col("size").isNotNull()).select("doc_id", "row", "size")
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, share: float = 0.25, fit_labels: int = FIT_LABELS, fit_chars: int = FIT_CHARS) -> DataFrame:
@@ -326,7 +356,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     spellings are trimmed and lower-cased, null and unknown ones are left out. Acceptance is calibrated on the sentences
     of all documents: their gains are written once, counted, and compared with the threshold that follows. Null, empty
     and blank texts have no subject; without labels or subjects the result is empty; repeated documents give one row; texts are read whole;
-    the subject list is a parameter table of few rows. Two passes over the texts, no shuffle of them.
+    the subject list is a parameter table of few rows. The texts are cut once, without a shuffle; what their words are in
+    the vocabulary is written (four bytes a word) and dropped when the gains are.
     """
     spark = documents.sparkSession
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("subject_no", T.StringType()), T.StructField("share", T.DoubleType())])
@@ -344,22 +375,27 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     if not len(rows) or not names:
         return spark.createDataFrame([], schema)
     s = cut_sentences(main_body(rows["text"].tolist(), rows["page"].tolist()))
-    model = fit_model(s, [{spelled[x] for x in v} for v in rows["subjects"]], rows["lang"].tolist(), names, _corpus_counts(usable.select("text", "page")))
-    shared = spark.sparkContext.broadcast(model)
+    scratch = Scratch(spark, "subjects")
+    corpus = _Corpus(usable.select("doc_id", "text", "page"), scratch)
+    model = fit_model(s, [{spelled[x] for x in v} for v in rows["subjects"]], rows["lang"].tolist(), names, corpus)
+    shared = spark.sparkContext.broadcast(model.table())
     told = T.StructType([schema["doc_id"], T.StructField("best", T.ArrayType(T.FloatType())), T.StructField("subject", T.ArrayType(T.ShortType()))])
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        table = shared.value
         for batch in batches:
-            for at, end, texts in _batches(batch, 1):
-                s = cut_sentences(main_body(texts, batch.column(2).slice(at, end - at).fill_null(False).to_pylist()))
-                g = m.gains(s)[s.full]
-                edges = pa.array(np.searchsorted(s.text[s.full], np.arange(len(texts) + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (g.max(1), g.argmax(1).astype(np.int16))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *lists], names=told.names)
+            size = batch.column(2).flatten().to_numpy()
+            best, subject = np.empty(len(size), np.float32), np.empty(len(size), np.int16)
+            at = 0
+            for g in _summed(table, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4"), np.cumsum(size) - size):
+                best[at : at + len(g)], subject[at : at + len(g)] = g.max(1), g.argmax(1)
+                at += len(g)
+            edges = pa.array(np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(edges, pa.array(x)) for x in (best, subject))], names=told.names)
 
     # the gain and subject of every full sentence, a few bytes each
-    scored = Scratch(spark, "subjects").write(usable.mapInArrow(gains, told))
+    scored = scratch.write(corpus.sentences().mapInArrow(gains, told))
+    scratch.drop(corpus.written)
     bins = scored.select(F.explode("best").alias("x")).groupBy(F.floor(F.greatest(F.least("x", F.lit(float(FAR))), F.lit(-float(FAR))) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")
     threshold = _valley((bins["bin"].to_numpy() + 0.5) / BINS, bins["n"].to_numpy())
 

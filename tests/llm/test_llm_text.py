@@ -237,6 +237,22 @@ def test_acceptance_is_calibrated_on_all_documents(spark, monkeypatch):
     assert seen == [int(S.cut_sentences([r[1] for r in docs]).full.sum())]
 
 
+def test_texts_are_cut_once(spark, monkeypatch):
+    docs, truth = corpus()
+    labels = [(i, i, min(truth[i]), "lab") for i in range(0, 150, 2)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, subject_no string")
+    lab = spark.createDataFrame(labels, "label_id bigint, doc_id bigint, subject_no string, labeller string")
+    seen, cut = spark.sparkContext.accumulator(0), S.cut_sentences
+
+    def counted(texts):
+        seen.add(len(texts))
+        return cut(texts)
+
+    monkeypatch.setattr(S, "cut_sentences", counted)
+    S.document_subjects(d, lab, spark.createDataFrame([(s, "") for s in WORDS], "subject_no string, scope_note string")).collect()
+    assert seen.value == len(docs) + len(labels)  # the labelled ones at the driver besides
+
+
 def test_sentences():
     s = S.cut_sentences(["# Title here\nOne two three. Four five six?\n- alpha\n- beta\n```\ncode it now.\n```\n第一句话。第二句话。", "", "a wrapped line that goes on and on until the margin\nends here."])
     assert s.full.sum() == 5 and s.text.tolist().count(0) == 7 and s.text.tolist().count(2) == 1
