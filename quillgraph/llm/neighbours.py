@@ -1,14 +1,15 @@
-"""The k most similar vectors of every vector, from balanced posting lists.
+"""The k most similar vectors of every vector, from few long lists that are searched through cells in memory.
 
-Centroids are fitted on a bounded sample, heavy clusters split by further centroids, and searched through a neighbour
-graph held in memory. Every vector is posted to its nearest centroid and, when it lies near a border, to a further one
-whose distance is within a ratio of the nearest; a query reads the lists selected by the same kind of ratio. A vector
-goes through one exchange, once for every list it is posted to or asks. Lists whose share of the sample says that they
-are long are dealt to parts and read part by part. Equal directions are searched once and share the answer.
+Centroids are fitted on a bounded sample and heavy clusters split by further centroids. Every vector goes to the list of its
+nearest centroid and to those nearly as near. The longer the lists, the fewer the borders between a vector and its
+neighbours, so lists are as long as a task can hold; within one, each vector enters several of many overlapping cells, and
+only the vectors of a cell are compared. Lists that the sample says are longer are dealt to parts and read part by part;
+large tables go through the exchange some lists at a time. Equal directions are searched once and share the answer.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +21,28 @@ from ..session import Scratch
 
 #: Vectors the centroids are fitted on: so many a list within these bounds, taken by a hash of the id; every vector is indexed.
 FIT_A_LIST, FIT_LEAST, FIT_MOST = 16, 20_000, 65_536
-#: Vectors a list aims at, and the greatest number of lists (bounds what is broadcast: 32,768 x dim x 4 bytes and the links).
-LIST_ROWS, MAX_LISTS = 256, 32_768
+#: Vectors a list aims at, vectors and lists that are worth having several lists for small tables, and the greatest number of lists
+#: (bounds what is broadcast: 32,768 x dim x 4 bytes and the links).
+LIST_ROWS, SPREAD_ROWS, SPREAD_LISTS, MAX_LISTS = 65_536, 4096, 24, 32_768
 #: Clusters of more than this many times the mean are split by further centroids.
 HEAVY = 2.0
 #: Postings and queries worked on together.
-MAX_LIST = 4096
-#: Replicas and probes: the ratio to the nearest centroid's distance and the most lists.
-POST_RATIO, POST_LISTS = 1.10, 2
-PROBE_RATIO, PROBE_LISTS = 1.20, 4
+MAX_LIST = 1 << 19
+#: Lists of a vector: those whose centroid's cosine is at most so much below the nearest one's, and their greatest number.
+MARGIN, LISTS = 0.10, 5
+#: Centroids that are all compared with a vector; more are searched through the graph.
+SCANNED = 8192
+#: Rows of a list up to which all pairs are compared; beyond, the cells of a row, the rows a cell aims at and those compared together.
+PLAIN, CELLS, CELL_ROWS, BLOCK = 4096, 10, 512, 1024
+#: Answers held before the repeats among them are dropped.
+HELD = 4 << 20
+#: Copies of vectors that one exchange may hold anyway, and those for each vector beyond which the lists are taken in turns.
+TURN_ROWS, TURN_COPIES = 4_000_000, 1.5
 #: Ids that are broadcast; more are joined by an exchange.
 BROADCAST_IDS = 1_000_000
 #: Beam and degree of the centroid graph.
 BEAM, DEGREE = 16, 16
-#: Vectors that search the graph together, and cosines held at once when its links are made: both bound memory, not results.
+#: Vectors that search the graph together, and cosines held at once when its links are made or it is scanned: both bound memory, not results.
 TOGETHER, COSINES = 2048, 1 << 22
 
 
@@ -147,17 +156,26 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) ->
 
 
 def choose_lists(graph: CentroidGraph, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, list, role) of unit vectors; role 1 is posted to the list, 2 asks it, 3 both."""
-    # a search holds a mark for every vector and centroid
-    found = [graph.search(units[at : at + TOGETHER]) for at in range(0, max(len(units), 1), TOGETHER)]
-    near, score = (np.concatenate(x) for x in zip(*found))
-    far = np.sqrt(np.maximum(2 - 2 * score, 0))
-    reach, place = far[:, :1], np.arange(far.shape[1])
-    post = (far <= reach * POST_RATIO + 1e-6) & (place < POST_LISTS)
-    probe = (far <= reach * PROBE_RATIO + 1e-6) & (place < PROBE_LISTS)
-    role = np.where(score > -5, post + 2 * probe.astype(np.int8), 0)
-    r, c = np.nonzero(role)
-    return r, near[r, c].astype(np.int64), role[r, c].astype(np.int8)
+    """(row, list, role) of unit vectors, the nearest list of a row first; role 1 is posted to the list, 2 asks it, 3 both."""
+    k = len(graph.c)
+    take = min(LISTS, k)
+    # a search holds a mark for every vector and centroid, a scan a cosine and a place
+    step = TOGETHER if k > SCANNED else max(1, min(TOGETHER, COSINES // 4 // k))
+    near, score = [np.zeros((0, take), np.int64)], [np.zeros((0, take), np.float32)]
+    for at in range(0, len(units), step):
+        if k > SCANNED:
+            n, s = (x[:, :take] for x in graph.search(units[at : at + step]))
+        else:
+            whole = units[at : at + step] @ graph.c.T
+            n = np.argpartition(whole, k - take, axis=1)[:, k - take :]
+            s = np.take_along_axis(whole, n, 1)
+            order = np.argsort(-s, axis=1, kind="stable")
+            n, s = np.take_along_axis(n, order, 1), np.take_along_axis(s, order, 1)
+        near.append(n.astype(np.int64))
+        score.append(s)
+    near, score = np.concatenate(near), np.concatenate(score)
+    r, c = np.nonzero((score >= score[:, :1] - MARGIN) & (score > -5))
+    return r, near[r, c], np.full(len(r), 3, np.int8)
 
 
 _MIX = np.random.default_rng(11).integers(0, 1 << 63, size=(2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,33 +210,96 @@ def _binary(m: np.ndarray) -> pa.Array:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    parts = whole.chunks if isinstance(whole, pa.ChunkedArray) else [whole]
-    return np.concatenate([np.zeros((0, dim), np.float32), *[np.frombuffer(b"".join(p.to_pylist()), np.float32).reshape(-1, dim) for p in parts]])
+    parts = [np.zeros((0, dim), np.float32)]
+    for p in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(p):
+            ends = np.frombuffer(p.buffers()[1], np.int32)[p.offset : p.offset + len(p) + 1]
+            parts.append(np.frombuffer(p.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, dim))
+    return np.concatenate(parts)
+
+
+def _first(asker: np.ndarray, other: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k answers of every asker, repeats left out."""
+    _, once = np.unique(asker * len(ids) + other, return_index=True)
+    asker, other, score = asker[once], other[once], score[once]
+    order = np.lexsort((ids[other], -score, asker))
+    asker, other, score = asker[order], other[order], score[order]
+    kept = np.arange(len(asker)) - np.searchsorted(asker, asker, "left") < k
+    return asker[kept], other[kept], score[kept]
+
+
+def cells_of(units: np.ndarray, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells every row enters, in order of the cells. A cell stands for a pair of directions, one of each of two
+    sets; a row enters those where the sum of both is greatest, so that like rows share cells."""
+    n, dim = units.shape
+    side = max(4, int(np.ceil(np.sqrt(n * CELLS / CELL_ROWS))))
+    rng = np.random.default_rng(seed)
+    ways = rng.normal(size=(2, side, dim)).astype(np.float32)
+    ways /= np.linalg.norm(ways, axis=2, keepdims=True)
+    centre = units.mean(axis=0)
+    best = min(side, CELLS)
+    i, j = np.divmod(np.arange(best * best), best)
+    # the cell of the places i and j (from 0) is outdone by (i + 1)(j + 1) - 1 others
+    able = (i + 1) * (j + 1) <= CELLS
+    i, j = i[able], j[able]
+    cells = np.empty((n, CELLS), np.int32)
+    for at in range(0, n, 4096):
+        v = units[at : at + 4096] - centre
+        place, value = [], []
+        for w in ways:
+            s = v @ w.T
+            o = np.argpartition(s, side - best, axis=1)[:, side - best :]
+            t = np.take_along_axis(s, o, 1)
+            order = np.argsort(-t, axis=1)
+            place.append(np.take_along_axis(o, order, 1))
+            value.append(np.take_along_axis(t, order, 1))
+        total = value[0][:, i] + value[1][:, j]
+        o = np.argpartition(total, len(i) - CELLS, axis=1)[:, len(i) - CELLS :]
+        cells[at : at + 4096] = np.take_along_axis(place[0][:, i], o, 1) * side + np.take_along_axis(place[1][:, j], o, 1)
+    flat = cells.ravel()
+    order = np.argsort(flat, kind="stable")
+    return order // CELLS, flat[order]
 
 
 def score_list(ids: np.ndarray, role: np.ndarray, units: np.ndarray, *, k: int, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, other, cosine) of the first k postings for every asker of a list; repeated rows count once."""
+    """(id, other, cosine) of the first k postings for every asker of a list; repeated rows count once. All pairs of a short
+    list are compared, of a longer one those that share a cell."""
     _, first = np.unique(ids * 4 + role, return_index=True)
     ids, role, units = ids[first], role[first], units[first]
-    posted, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    pv, pid = units[posted], ids[posted]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for at in range(0, len(asks) if len(posted) else 0, 1024):
-        qv, qid = units[asks[at : at + 1024]], ids[asks[at : at + 1024]]
-        s = qv @ pv.T
-        s[qid[:, None] == pid[None, :]] = -9
-        # everything that rounding could put among the first k is looked at again in double precision
-        kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -5, np.float32)
-        r, c = np.nonzero(s >= np.maximum(kth - 1e-5, max(min_score - 1e-5, -5))[:, None])
-        exact = np.round(np.einsum("nd,nd->n", qv[r].astype(np.float64), pv[c].astype(np.float64)), 7)
-        hit = exact >= min_score
-        r, c, exact = r[hit], c[hit], exact[hit]
-        order = np.lexsort((pid[c], -exact, r))
-        r, c, exact = r[order], c[order], exact[order]
-        kept = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
-        out.append((qid[r[kept]], pid[c[kept]], exact[kept]))
-    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+    if len(ids) <= PLAIN:
+        row, edge = np.arange(len(ids)), np.array([0, len(ids)])
+    else:
+        row, cell = cells_of(units)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+    asks, posted = role & 2 > 0, role & 1 > 0
+    least = max(min_score - 1e-5, -5)
+    out, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    for start, end in zip(edge[:-1], edge[1:]):
+        own = row[start:end]
+        qs, ps = own[asks[own]], own[posted[own]]
+        pv = units[ps]
+        for at in range(0, len(qs) if len(ps) else 0, BLOCK):
+            q = qs[at : at + BLOCK]
+            s = (pv if len(q) == len(ps) == len(own) else units[q]) @ pv.T  # the product with itself takes half the time
+            hit = np.flatnonzero(s >= least)
+            if len(hit) > 4 * (k + 1) * len(q):
+                # everything that rounding could put among the first k, a row itself aside, is looked at again in double precision
+                s[ids[q][:, None] == ids[ps][None, :]] = -9
+                kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -5, np.float32)
+                hit = np.flatnonzero(s >= np.maximum(kth - 1e-5, least)[:, None])
+            r, c = np.divmod(hit, len(ps))
+            a, b = q[r], ps[c]
+            other = ids[a] != ids[b]
+            a, b = a[other], b[other]
+            exact = np.round(np.einsum("nd,nd->n", units[a].astype(np.float64), units[b].astype(np.float64)), 7)
+            good = exact >= min_score
+            out.append(_first(a[good], b[good], exact[good], ids, k) if len(hit) > 4 * (k + 1) * len(q) else (a[good], b[good], exact[good]))
+            held += len(out[-1][0])
+        if held > HELD:
+            out = [_first(*(np.concatenate(x) for x in zip(*out)), ids, k)]
+            held = len(out[0][0]) // 2
+    a, b, exact = _first(*(np.concatenate(x) for x in zip(*out)), ids, k)
+    return ids[a], ids[b], exact
 
 
 def nearest(rows: DataFrame, *, k: int = 5, dim: int = 64, min_score: float = -1.0, id_col: str = "id", vector: str = "embedding") -> DataFrame:
@@ -253,7 +334,7 @@ def nearest(rows: DataFrame, *, k: int = 5, dim: int = 64, min_score: float = -1
     # rows that share their direction with a smaller id; few as a rule, so the vectors need no exchange for this
     copies = scratch.write(light.join(sets.filter("n > 1"), ["d1", "d2"]).select("lead", "id"))
     leaders = _without(source, copies.filter("id <> lead").select("id"))
-    lists = int(min(MAX_LISTS, max(1, -(-total // LIST_ROWS))))
+    lists = int(min(MAX_LISTS, max(1, -(-total // LIST_ROWS), min(SPREAD_LISTS, total // SPREAD_ROWS))))
     wanted = int(min(FIT_MOST, max(FIT_LEAST, FIT_A_LIST * lists)))
     bound = F.lit(min(wanted, total) * (2**63 - 1) // total)
 
@@ -274,33 +355,48 @@ def nearest(rows: DataFrame, *, k: int = 5, dim: int = 64, min_score: float = -1
     scale = total / len(sample) / MAX_LIST
     parts, blocks = (np.maximum(1, np.ceil(np.bincount(where[role & bit > 0], minlength=len(graph.c)) * scale)).astype(np.int64) for bit in (1, 2))
     base = np.concatenate([[0], np.cumsum(parts * blocks)])
+    copies_each = (parts + blocks - 1)[where].sum() / len(sample)
+    turns = 1 if total * copies_each <= TURN_ROWS else int(np.ceil(copies_each / TURN_COPIES))
     shared = spark.sparkContext.broadcast((graph, parts, blocks, base))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, parts, blocks, base = shared.value
-        for batch in batches:
-            ids, unit = _units(batch, dim)
-            unit, number = unit.astype(np.float32), ids.to_numpy()
-            for at in range(0, len(unit), TOGETHER):
-                r, where, role = choose_lists(graph, unit[at : at + TOGETHER])
-                own = (number[at : at + TOGETHER][r].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                p, b = (own % parts[where].astype(np.uint64)).astype(np.int64), (own % blocks[where].astype(np.uint64)).astype(np.int64)
-                # a posting lies in its part, for every block of askers; an asker in its block, for every part
-                spread = parts[where] * blocks[where]
-                i = np.repeat(np.arange(len(r)), spread)
-                cell = np.arange(len(i)) - np.repeat(np.cumsum(spread) - spread, spread)
-                there = np.where(cell // blocks[where[i]] == p[i], 1, 0) | np.where(cell % blocks[where[i]] == b[i], 2, 0)
-                there &= role[i]
-                hit = np.flatnonzero(there)
-                i, cell, there = i[hit], cell[hit] + base[where[i[hit]]], there[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(number[at : at + TOGETHER][r[i]] * 4 + there), _binary(unit[at : at + TOGETHER][r[i]])], names=["cell", "who", "unit"])
+    def assign(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            graph, parts, blocks, base = shared.value
+            for batch in batches:
+                ids, unit = _units(batch, dim)
+                unit, number = unit.astype(np.float32), ids.to_numpy()
+                for at in range(0, len(unit), TOGETHER):
+                    r, where, role = choose_lists(graph, unit[at : at + TOGETHER])
+                    now = where % turns == turn
+                    r, where, role = r[now], where[now], role[now]
+                    own = (number[at : at + TOGETHER][r].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                    p, b = (own % parts[where].astype(np.uint64)).astype(np.int64), (own % blocks[where].astype(np.uint64)).astype(np.int64)
+                    # a posting lies in its part, for every block of askers; an asker in its block, for every part
+                    spread = parts[where] * blocks[where]
+                    i = np.repeat(np.arange(len(r)), spread)
+                    cell = np.arange(len(i)) - np.repeat(np.cumsum(spread) - spread, spread)
+                    there = np.where(cell // blocks[where[i]] == p[i], 1, 0) | np.where(cell % blocks[where[i]] == b[i], 2, 0)
+                    there &= role[i]
+                    hit = np.flatnonzero(there)
+                    i, cell, there = i[hit], cell[hit] + base[where[i[hit]]], there[hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(number[at : at + TOGETHER][r[i]] * 4 + there), _binary(unit[at : at + TOGETHER][r[i]])], names=["cell", "who", "unit"])
+
+        return run
 
     def score(table: pa.Table) -> pa.Table:
         who = table.column("who").to_numpy()
         out = score_list(who >> 2, (who & 3).astype(np.int8), _matrix(table.column("unit"), dim), k=k, min_score=min_score)
         return pa.table([pa.array(x) for x in out], names=["id", "other", "score"])
 
-    found = leaders.mapInArrow(assign, "cell bigint, who bigint, unit binary").groupBy("cell").applyInArrow(score, "id bigint, other bigint, score double")
+    def turned(turn: int) -> DataFrame:
+        return leaders.mapInArrow(assign(turn), "cell bigint, who bigint, unit binary").groupBy("cell").applyInArrow(score, "id bigint, other bigint, score double")
+
+    found = turned(0) if turns == 1 else scratch.write(turned(0))
+    for turn in range(1, turns):
+        # what the exchange before has left on disk goes with the driver's garbage
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        found = found.unionByName(scratch.write(turned(turn)))
     # A neighbour stands for its copies, of which the first k + 1 can be wanted; the limit works before the exchange, too.
     first = copies.withColumn("r", F.row_number().over(Window.partitionBy("lead").orderBy("id"))).filter(F.col("r") <= k + 1)
     sets_ = scratch.write(first.groupBy("lead").agg(F.sort_array(F.collect_list("id")).alias("members")))

@@ -106,6 +106,34 @@ def test_long_lists_are_read_in_parts_without_loss(spark, monkeypatch):
     assert got == brute(list(range(300)), m, 5, 0.85)
 
 
+def test_lists_are_taken_in_turns_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    m = np.repeat(rng.normal(size=(30, 16)), 10, axis=0) + rng.normal(size=(300, 16)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, embedding array<double>")
+    monkeypatch.setattr(N, "LIST_ROWS", 30)
+    monkeypatch.setattr(N, "MARGIN", 9)  # five lists of the ten for every vector
+    whole = {tuple(r) for r in nearest(df, dim=16, min_score=0.85).collect()}
+    monkeypatch.setattr(N, "TURN_ROWS", 0)
+    assert {tuple(r) for r in nearest(df, dim=16, min_score=0.85).collect()} == whole
+    assert len({(min(i, j), max(i, j)) for i, j, *_ in whole} ^ brute(list(range(300)), m, 5, 0.85)) <= 10
+
+
+def test_lonely_pairs_share_a_list_and_a_cell():
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=(6000, 64))
+    m = np.concatenate([one, one + rng.normal(size=one.shape) * 0.4]).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    c = rng.normal(size=(1000, 64)).astype(np.float32)  # as many lists as a table of several GB has
+    row, where, role = N.choose_lists(CentroidGraph(c / np.linalg.norm(c, axis=1, keepdims=True)), m)
+    posted, asked = ({(r, w) for r, w, o in zip(row.tolist(), where.tolist(), role.tolist()) if o & bit} for bit in (1, 2))
+    lists = {(r, w) for r, w in asked if ((r + 6000) % 12000, w) in posted}
+    assert len({r for r, _ in lists}) >= 0.97 * 12000
+    a, b, _ = N.score_list(np.arange(12000), np.full(12000, 3, np.int8), m, k=5, min_score=0.85)
+    want = {(i, (i + 6000) % 12000) for i in range(12000) if m[i] @ m[(i + 6000) % 12000] >= 0.8501}
+    got = set(zip(a.tolist(), b.tolist()))
+    assert len(got & want) >= 0.98 * len(want)
+
+
 def test_heavy_clusters_are_split():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(1800, 16)) * 0.05 + 1, rng.normal(size=(200, 16))]).astype(np.float32)
