@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from ..functions.refs import fold_properties, fold_refs, support
 from ..model import MERGED, PRUNED, ROLLED_BACK, SCOPE, live
 from ..session import Scratch
 from .lookup import unreferenced
-from .search import bigrams
 
 _NODE_KEY = [*SCOPE, "graph_node_no"]
 Clusterer = Callable[[str, list[str]], list[list[str]]]
@@ -28,46 +28,195 @@ def slug_clusterer(_type: str, names: list[str]) -> list[list[str]]:
     return [g for g in groups.values() if len(g) > 1]
 
 
+#: Names of a class that ask together and at most so many of these parts, names they are compared with at once, and names of small classes bundled.
+ASK_ROWS, ASK_PARTS, OFFER_ROWS, BUNDLE_ROWS = 8192, 32, 131_072, 32_768
+#: Askers counted together, and the first columns ranked; each further stretch is four times as wide.
+ASK_BLOCK, FIRST_COLUMNS = 256, 64
+
+
+def name_grams(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, name, size of every name) of the distinct pairs of characters, in order of the grams; a single character stands for itself."""
+    length = np.array([len(x) for x in names], np.int64)
+    text = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(names)), length)
+    last = np.zeros(len(text), bool)
+    last[np.cumsum(length)[length > 0] - 1] = True
+    after = np.where(last, 0x1FFFFF, np.append(text[1:], 0))
+    used = ~last | (length[owner] == 1)
+    _, gram = np.unique((text << 21 | after)[used], return_inverse=True)
+    code = np.unique(gram * len(names) + owner[used])
+    gram, name = np.divmod(code, max(len(names), 1))
+    return gram, name, np.bincount(name, minlength=len(names))
+
+
+def most_alike(names: list[str], asks: np.ndarray, offered: np.ndarray, *, limit: int, min_shared: int, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(asker, other, shared, united), an asker's best first, of the ``limit`` offered names most alike to every asking one; ``names`` are in
+    the order that decides between equal scores, and the first are kept.
+
+    Counts what all pairs share: bigrams of many names as bits, the others along their posting lists. What a list ends with bounds what can
+    still enter it, so that few pairs are ranked.
+    """
+    gram, name, size = name_grams(names)
+    ask, offer = np.flatnonzero(asks), np.flatnonzero(offered)
+    place = np.full(len(names), -1)
+    place[offer] = np.arange(len(offer))
+    df = np.bincount(gram)
+    # bits cost every pair the same, lists the square of their length
+    often = df > max(common, len(names) // 16)
+    bit = np.cumsum(often) - 1
+    words = -(-int(often.sum()) // 64)
+    bits = np.zeros((words, len(names)), np.uint64)
+    dense = often[gram]
+    np.bitwise_or.at(bits, (bit[gram[dense]] // 64, name[dense]), np.uint64(1) << (bit[gram[dense]] % 64).astype(np.uint64))
+    theirs = bits[:, offer]
+    rare = ~dense & (df[gram] > 1)
+    gram, name = gram[rare], name[rare]
+    to = place[name]
+    listed_gram, listed = gram[to >= 0], to[to >= 0]
+    by_name = np.argsort(name, kind="stable")
+    own, own_gram = name[by_name], gram[by_name]
+    short = len(size) == 0 or size.max() <= 250
+    size_to = size[offer].astype(np.float32)
+    kind = np.uint8 if short else np.uint32
+    done = [(np.zeros(0, np.int64),) * 4]
+    for at in range(0, len(ask) if len(offer) else 0, ASK_BLOCK):
+        rows = ask[at : at + ASK_BLOCK]
+        shared = np.zeros((len(rows), len(offer)), kind)
+        for w in range(words):
+            mine = bits[w, rows]
+            for r in np.flatnonzero(mine):
+                shared[r] += np.bitwise_count(theirs[w] & mine[r])
+        start, end = np.searchsorted(own, rows, "left"), np.searchsorted(own, rows, "right")
+        for r in range(len(rows)):
+            g = own_gram[start[r] : end[r]]
+            for x, y in zip(np.searchsorted(listed_gram, g, "left"), np.searchsorted(listed_gram, g, "right")):
+                shared[r, listed[x:y]] += 1
+        self_at = place[rows]
+        shared[np.flatnonzero(self_at >= 0), self_at[self_at >= 0]] = 0
+        r = c = o = u = score = np.zeros(0, np.int64)
+        bound = np.zeros(len(rows), np.float32)
+        size_of = size[rows].astype(np.float32)
+        left, width = 0, FIRST_COLUMNS
+        while left < len(offer):
+            part = shared[:, left : left + width]
+            # shared / united > t is shared > t / (1 + t) * (both sizes); equal scores go to the earlier column. United numbers up to 500 leave
+            # 1 / 1000 between different scores here, longer names' scores may be equal once rounded
+            least = (bound * size_of)[:, None] + bound[:, None] * size_to[None, left : left + width]
+            hit = part > least + np.float32(2e-4) if short else part > least * np.float32(1 - 1e-4) - np.float32(1e-3)
+            i, j = np.nonzero(hit & (part >= min_shared))
+            more = part[i, j].astype(np.int64)
+            j = j + left
+            all_ = size[rows[i]] + size[offer[j]] - more
+            r, c, o, u = np.concatenate([r, i]), np.concatenate([c, j]), np.concatenate([o, more]), np.concatenate([u, all_])
+            score = np.floor(o / u * 1e6 + 0.5)
+            order = np.lexsort((c, -score, r))
+            r, c, o, u = r[order], c[order], o[order], u[order]
+            number = np.arange(len(r)) - np.searchsorted(r, r, "left")
+            kept = number < limit
+            r, c, o, u, number = r[kept], c[kept], o[kept], u[kept], number[kept]
+            full = number == limit - 1
+            t = o[full] / u[full]
+            bound[r[full]] = t / (1 + t)
+            left, width = left + width, width * 4
+        done.append((rows[r], offer[c], o, u))
+    return tuple(np.concatenate(x) for x in zip(*done))  # type: ignore[return-value]
+
+
+_PAIR = "graph_no string, graph_version bigint, graph_node_no string, candidate_no string, shared bigint, united bigint, rank int"
+
+
+def _asked(nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """(named nodes dealt to cells of names that are compared, whether each list comes from a single cell). A cell has whole small classes, or a part
+    of a large class's names that ask (role 2) and a part of those that are offered (role 1)."""
+    scratch = Scratch(nodes.sparkSession, "names")
+    named = live(nodes).select(*_NODE_KEY, "class", "name", F.lower(F.regexp_replace("name", r"(?U)^\s+|\s+$", "")).alias("low")).filter(F.length("low") > 0)
+    named = scratch.write(named)
+    kinds = scratch.write(named.groupBy(*SCOPE, "class").agg(F.count(F.lit(1)).alias("n")))
+    total, most = kinds.agg(F.sum("n"), F.max("n")).first()
+    bundles = max(1, -(-(total or 0) // BUNDLE_ROWS))
+    kinds = kinds.withColumns({"asking": F.least(F.ceil(F.col("n") / ASK_ROWS), F.lit(ASK_PARTS)).cast("int"), "offering": F.ceil(F.col("n") / OFFER_ROWS).cast("int")})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*SCOPE, "class"]]
+    dealt = named.join(kinds.withColumnsRenamed({c: f"_{c}" for c in [*SCOPE, "class"]}), same).drop(*[f"_{c}" for c in [*SCOPE, "class"]])
+    mine = lambda parts, seed: F.pmod(F.xxhash64("graph_node_no", F.lit(seed)), F.col(parts)).cast("int")
+    cells = F.expr("flatten(transform(sequence(0, asking - 1), a -> transform(sequence(0, offering - 1), o -> struct(a, o, IF(a = ask, 2, 0) + IF(o = offer, 1, 0) AS role))))")
+    dealt = dealt.withColumns({"ask": mine("asking", 1), "offer": mine("offering", 2)}).withColumn("x", F.explode(F.filter(cells, lambda x: x["role"] > 0)))
+    whole = (F.col("asking") == 1) & (F.col("offering") == 1)
+    group = F.xxhash64(*SCOPE, "class")
+    cell = F.when(whole, F.concat(F.lit("b"), F.pmod(group, F.lit(bundles)))).otherwise(F.concat_ws("-", group, "x.a", "x.o"))
+    return dealt.select(cell.alias("cell"), F.col("x.role").alias("role"), *_NODE_KEY, "class", "name", "low"), (most or 0) <= OFFER_ROWS
+
+
+def _classes(table: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(names in order of their keys, who asks, who is offered) of every class in a cell."""
+    table = table.sort_values("graph_node_no", kind="stable")
+    for _, own in table.groupby([*SCOPE, "class"], sort=False, dropna=False):
+        role = own["role"].to_numpy()
+        yield own, role & 2 > 0, role & 1 > 0
+
+
 def fusion_candidates(nodes: DataFrame, *, limit: int = 10, min_shared: int = 2, common: int = 200) -> DataFrame:
     """(scope, graph_node_no, candidate_no, score, rank): the ``limit`` nodes of the same class most alike by the share
     of common name bigrams (Jaccard), itself left out.
 
-    A pair must share ``min_shared`` bigrams. Bigrams in at most ``common`` names of a class open pairs first. The score a
-    node's list ends with then bounds what else can enter it: a name that is as much alike has one of the node's rarest
-    bigrams, common or not, of which so many are looked up that no pair is lost.
+    A pair must share ``min_shared`` bigrams. All pairs of a class are counted where its names lie together in memory, so that
+    what goes through an exchange are names, never pairs; bigrams in at most ``common`` names are counted along their lists.
     """
-    named = live(nodes).select(*_NODE_KEY, "class", F.array_distinct(bigrams(F.regexp_replace("name", r"(?U)^\s+|\s+$", ""))).alias("grams"))
-    posted = named.select(*_NODE_KEY, "class", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    block = [*SCOPE, "class", "gram"]
-    counts = posted.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = posted.join(counts.filter(F.col("n") <= common).select(*block), block)
-    # each pair is counted and scored once, from its smaller key, and mirrored afterwards
-    pairs = kept.join(kept.select(*block, F.col("graph_node_no").alias("candidate_no")), block).filter("graph_node_no < candidate_no")
-    pairs = pairs.groupBy(*_NODE_KEY, "candidate_no").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
-    other = named.select(*SCOPE, F.col("graph_node_no").alias("candidate_no"), F.col("grams").alias("grams_b"))
-
-    def scores(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(named.select(*_NODE_KEY, "grams"), _NODE_KEY).join(other, [*SCOPE, "candidate_no"])
-        both = F.size(F.array_intersect("grams", "grams_b"))
-        return met.filter(both >= min_shared).select(*_NODE_KEY, "candidate_no", F.round(both / F.size(F.array_union("grams", "grams_b")), 6).alias("score"))
-
-    half = scores(pairs)
-    sides = F.explode(F.array(F.struct(F.col("graph_node_no").alias("a"), F.col("candidate_no").alias("b")), F.struct(F.col("candidate_no").alias("a"), F.col("graph_node_no").alias("b"))))
-    scored = half.select(*SCOPE, "score", sides.alias("x")).select(*SCOPE, F.col("x.a").alias("graph_node_no"), F.col("x.b").alias("candidate_no"), "score")
-    rank = F.row_number().over(Window.partitionBy(*_NODE_KEY).orderBy(F.desc("score"), "candidate_no"))
-    first = Scratch(nodes.sparkSession, "candidates").write(scored.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank"))
-
-    # The last score of a full list, less what rounding may hide.
-    last = first.groupBy(*_NODE_KEY).agg(F.count(F.lit(1)).alias("listed"), F.min("score").alias("least")).filter(F.col("listed") >= limit).select(*_NODE_KEY, (F.col("least") - 1e-6).alias("least"))
-    seeds = posted.join(counts, block).groupBy(*_NODE_KEY, "class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by_rarity"), F.count_if(F.col("n") > common).alias("over")).filter("over > 0")
-    seeds = seeds.join(last, _NODE_KEY, "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    seeds = seeds.withColumn("need", F.greatest(F.lit(min_shared), F.ceil(F.col("least") * F.col("size"))).cast("int"))
-    # Pairs not met yet share fewer than min_shared of the rarer bigrams.
-    seeds = seeds.filter(F.col("need") <= F.col("over") + (min_shared - 1)).withColumn("asked", F.size("by_rarity") - F.col("need") + 1).filter("asked > 0")
-    asked = seeds.select(*_NODE_KEY, "class", F.col("size").alias("own"), "least", F.explode(F.slice("by_rarity", F.lit(1), F.col("asked"))).alias("x")).withColumn("gram", F.col("x.gram"))
-    found = asked.join(posted.select(*block, F.col("graph_node_no").alias("candidate_no"), "size"), block).filter("graph_node_no <> candidate_no and size >= least * own and own >= least * size")
-    late = scores(found.select(*_NODE_KEY, "candidate_no").distinct())
-    return first.unionByName(late).distinct().withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: [] for c in [*_NODE_KEY, "candidate_no", "shared", "united", "rank"]})]
+        for own, asks, offered in _classes(table):
+            a, b, o, u = most_alike(own["low"].tolist(), asks, offered, limit=limit, min_shared=min_shared, common=common)
+            key = own["graph_node_no"].to_numpy()
+            place = np.arange(len(a)) - np.searchsorted(a, a, "left") + 1
+            out.append(pd.DataFrame({"graph_no": own["graph_no"].to_numpy()[a], "graph_version": own["graph_version"].to_numpy()[a], "graph_node_no": key[a], "candidate_no": key[b], "shared": o, "united": u, "rank": place}))
+        return pd.concat(out[1:] or out)
+
+    cells, single = _asked(nodes)
+    found = cells.groupBy("cell").applyInPandas(run, _PAIR).withColumn("score", F.round(F.col("shared") / F.col("united"), 6))
+    if not single:
+        rank = F.row_number().over(Window.partitionBy(*_NODE_KEY).orderBy(F.desc("score"), "candidate_no"))
+        found = found.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return found.select(*_NODE_KEY, "candidate_no", "score", "rank")
+
+
+def _ties(kind: str, members: list[tuple[str, str]], clusterer: Clusterer) -> set[tuple[str, str]]:
+    """Pairs of keys, smaller first, from the groups of a seed and its candidates (name, key)."""
+    keys: dict[str, list[str]] = {}
+    for n, k in members:
+        keys.setdefault(n, []).append(k)
+    try:
+        groups = clusterer(kind, list(keys))
+    except Exception:
+        groups = []
+    out = set()
+    for group in groups:
+        known = [n for n in dict.fromkeys(group) if n in keys]
+        ids = [k for n in known for k in keys[n]]
+        out |= {(min(ids[0], k), max(ids[0], k)) for k in ids[1:] if k != ids[0]}
+    return out
+
+
+def candidate_clusters(nodes: DataFrame, clusterer: Clusterer = slug_clusterer, *, limit: int = 10, min_shared: int = 2, common: int = 200) -> DataFrame:
+    """``cluster`` of the ``fusion_candidates``, asked where these are found: lists of candidates go through no exchange unless
+    a class is so large that they come from several."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for own, asks, offered in _classes(table):
+            a, b, *_ = most_alike(own["low"].tolist(), asks, offered, limit=limit, min_shared=min_shared, common=common)
+            said = list(zip(own["name"], own["graph_node_no"]))
+            g, v, kind = own["graph_no"].iat[0], own["graph_version"].iat[0], own["class"].iat[0]
+            edge = np.flatnonzero(np.diff(a, prepend=-1, append=-1)) if len(a) else np.zeros(1, int)
+            tied: set[tuple[str, str]] = set()
+            for start, end in zip(edge[:-1], edge[1:]):
+                tied |= _ties(kind, [said[a[start]], *(said[i] for i in b[start:end])], clusterer)
+            out += [(g, v, *pair) for pair in sorted(tied)]
+        return pd.DataFrame(out, columns=["graph_no", "graph_version", "a", "b"])
+
+    cells, single = _asked(nodes)
+    if not single:
+        return cluster(fusion_candidates(nodes, limit=limit, min_shared=min_shared, common=common), nodes, clusterer)
+    return cells.groupBy("cell").applyInPandas(run, "graph_no string, graph_version bigint, a string, b string").distinct()
 
 
 def cluster(candidates: DataFrame, nodes: DataFrame, clusterer: Clusterer = slug_clusterer) -> DataFrame:
@@ -83,17 +232,7 @@ def cluster(candidates: DataFrame, nodes: DataFrame, clusterer: Clusterer = slug
             out = []
             for g, v, no, kind, name, c in b[[*_NODE_KEY, "class", "seed_name", "c"]].itertuples(index=False):
                 members = [(name, no), *((x["candidate_name"], x["candidate_no"]) for x in c)]
-                keys: dict[str, list[str]] = {}
-                for n, k in members:
-                    keys.setdefault(n, []).append(k)
-                try:
-                    groups = clusterer(kind, list(keys))
-                except Exception:
-                    groups = []
-                for group in groups:
-                    known = [n for n in dict.fromkeys(group) if n in keys]
-                    ids = [k for n in known for k in keys[n]]
-                    out += [(g, v, min(ids[0], k), max(ids[0], k)) for k in ids[1:] if k != ids[0]]
+                out += [(g, v, *pair) for pair in _ties(kind, members, clusterer)]
             yield pd.DataFrame(out, columns=["graph_no", "graph_version", "a", "b"])
 
     return asked.mapInPandas(run, "graph_no string, graph_version bigint, a string, b string").distinct()

@@ -169,6 +169,30 @@ def test_candidates_over_common_bigrams_are_those_of_all_pairs(spark):
         assert got == want
 
 
+def test_candidates_send_names_and_no_pairs(spark, monkeypatch):
+    def by_last_word(_kind, names):
+        groups = {}
+        for name in names:
+            groups.setdefault(name.split()[-1], []).append(name)
+        return [g for g in groups.values() if len(g) > 1]
+
+    names = [f"{a} {b}" for a in ("Anna", "Hanna", "Joanna", "Annabel") for b in ("Berg", "Berger", "Sandberg", "Iceberg")] + ["", "x", "Åsa 李小龙", "x" * 300 + " Berg"]
+    n = nodes(spark, *[(f"P:{i:02d}", name, None, "{}", {}, False) for i, name in enumerate(names)]).withColumn("class", F.lit("P"))
+    grams = [{x.lower()[i : i + 2] for i in range(len(x) - 1)} for x in names]
+    pairs = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(grams) for j, b in enumerate(grams) if j != i and len(a & b) >= 2}
+    want = {(f"P:{i:02d}", f"P:{j:02d}") for i in range(len(names)) for j in sorted((j for k, j in pairs if k == i), key=lambda j: (-round(pairs[i, j], 6), j))[:4]}
+    tied = {tuple(r) for r in U.candidate_clusters(n, by_last_word, limit=4).select("a", "b").collect()}
+    for ask, offer in ((8192, 131_072), (5, 7)):  # in one cell, and in parts
+        monkeypatch.setattr(U, "ASK_ROWS", ask)
+        monkeypatch.setattr(U, "OFFER_ROWS", offer)
+        found = U.fusion_candidates(n, limit=4)
+        assert {(r["graph_node_no"], r["candidate_no"]) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "gram" not in plan and "Join" not in plan.split("FlatMapGroupsInPandas")[0]
+        assert {tuple(r) for r in U.candidate_clusters(n, by_last_word, limit=4).select("a", "b").collect()} == tied
+        assert {tuple(r) for r in U.cluster(found, n, by_last_word).select("a", "b").collect()} == tied
+
+
 def test_clusters_use_given_names_only(spark):
     n = nodes(spark, *[(f"P:{i}", name, None, "{}", {}, False) for i, name in enumerate(["Ada Lovelace", "ada-lovelace", "Grace Hopper"])]).withColumn("class", F.lit("P"))
     c = U.fusion_candidates(n, min_shared=1)
