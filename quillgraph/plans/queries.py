@@ -464,7 +464,7 @@ def fusion_clusters(spark, sf_dir):
         return [g for g in groups.values() if len(g) > 1]
 
     n = views.nodes(spark, sf_dir)
-    return U.cluster(U.fusion_candidates(n, limit=Settings.candidate_topk), n, by_first_word)
+    return U.candidate_clusters(n, by_first_word, limit=Settings.candidate_topk)
 
 
 def _groups(spark, sf_dir, n):
