@@ -5,6 +5,7 @@ import pytest
 from quillgraph.model import SCOPE
 from quillgraph.operators import rank as A
 from quillgraph.operators import recall as Y
+from quillgraph.operators import search as S
 
 LISTS = "q string, list_no int, object_no string, rank int, value double"
 
@@ -116,3 +117,18 @@ def test_retry_takes_the_strictest_tier_that_suffices(spark):
 
 def test_scope_columns():
     assert SCOPE == ["graph_no", "graph_version"]
+
+
+def test_questions_meet_all_scopes_without_a_join_of_pairs(spark):
+    rows = [(f"g{i % 3}", i % 2, "DOC_CHUNK", f"c{i % 17:02d}", f"text {i % 5} of chunk {i % 7}", [float(i % 4), 1.0, float(i % 3)]) for i in range(60)]
+    rows += [("g0", 9, "DOC_CHUNK", "zero", "text", [0.0, 0.0, 0.0]), ("g0", 9, "DOC_CHUNK", "short", "other", [1.0]), ("g0", 9, "DOC_CHUNK", "none", "", None)]
+    e = spark.createDataFrame(rows, "graph_no string, graph_version bigint, object_type string, object_no string, searchable_text string, embedding array<double>").dropDuplicates(["graph_no", "graph_version", "object_no"])
+    q = spark.createDataFrame([("a", "g0", 0, "text 1", [1.0, 1.0, 0.0]), ("b", "g1", 1, "chunk 3", [0.0, 2.0, 5.0])], "query_no string, graph_no string, graph_version bigint, text string, embedding array<double>")
+    index = S.bigram_index(e)
+    vector, text = S.vector_channel(e, q, limit=4, scoped=False), S.text_channel(index, e, q, limit=4, scoped=False)
+    assert "Join" not in vector._jdf.queryExecution().executedPlan().toString()
+    # scores of at least -1 take the way that joins every pair
+    pairs = S.vector_channel(e, q, min_score=-1.0, limit=99, scoped=False).filter("score > 0 and rank <= 4")
+    assert sorted(map(tuple, vector.collect())) == sorted(map(tuple, pairs.select(vector.columns).collect()))
+    pairs = S.text_channel(index, e, q, min_score=-1.0, limit=99, scoped=False).filter("score > 0 and rank <= 4")
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, pairs.select(text.columns).collect()))
